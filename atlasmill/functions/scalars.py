@@ -32,8 +32,8 @@ def parse_identifier(key: Column | str) -> Column:
 
 
 def is_accession(key: Column | str) -> Column:
-    """Whether the key (isoform suffix allowed) is a valid accession."""
-    return as_col(key).rlike(rf"^(?:{ACCESSION})(?:-\d+)?$")
+    """Whether the whole key is a valid accession."""
+    return as_col(key).rlike(rf"^(?:{ACCESSION})$")
 
 
 def normalize_value(value: Column | str) -> Column:
