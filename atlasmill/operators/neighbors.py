@@ -21,6 +21,8 @@ from . import distances
 from .arrays import list_column, matrix, vector
 from .sweep import Blocks, assign_blocks, bounds, knn_visits, sweep, visit_table
 
+THRESHOLDS_PER_ROW = 48
+
 
 class _TopK:
     """Keeps the k best (score, gid) of each receiver row."""
@@ -83,28 +85,37 @@ class _CountCloser:
         self.metric = metric
 
     def start(self, table: pa.Table) -> None:
-        self.pair = vector(table["pair"], np.int64)
-        self.base = vector(table["base"], np.int64)
         self.vec = matrix(table["vec"])
-        self.score = vector(table["score"])
-        self.total = self.base.astype(np.int64)
+        pairs = table["pairs"].combine_chunks()
+        sizes = pairs.value_lengths().to_numpy(zero_copy_only=False)
+        shape = (len(sizes), int(sizes.max(initial=0)))
+        self.used = np.arange(shape[1])[None, :] < sizes[:, None]
+        self.pair = np.zeros(shape, np.int64)
+        self.pair[self.used] = vector(pairs.flatten(), np.int64)
+        self.score = np.full(shape, -np.inf)
+        self.score[self.used] = vector(table["scores"].combine_chunks().flatten())
+        self.total = np.repeat(vector(table["base"], np.int64)[:, None], shape[1], axis=1)
 
     def step(self, batch: pa.RecordBatch) -> None:
         vec = matrix(batch.column("vec"))
         w = vector(batch.column("w"), np.int64)
-        for part in distances.tiles(len(self.pair), len(w)):
+        weights = w.astype(np.float64)
+        for part in distances.tiles(len(self.vec), len(w)):
             rough, slack = distances.screen(self.vec[part], vec, self.metric)
-            limit = self.score[part][:, None]
-            sure = rough < limit - 2 * slack
-            add = sure @ w
-            r, c = np.nonzero(~sure & (rough <= limit + 2 * slack))
-            if len(r):
-                close = distances.exact(self.vec[part][r], vec[c], self.metric) < limit[r, 0]
-                np.add.at(add, r[close], w[c[close]])
-            self.total[part] += add
+            for q in range(self.score.shape[1]):
+                limit = self.score[part, q][:, None]
+                sure = rough < limit - 2 * slack
+                add = np.rint(sure @ weights).astype(np.int64)
+                r, c = np.nonzero(~sure & (rough <= limit + 2 * slack))
+                if len(r):
+                    close = distances.exact(self.vec[part][r], vec[c], self.metric) < limit[r, 0]
+                    np.add.at(add, r[close], w[c[close]])
+                self.total[part, q] += add
 
     def finish(self) -> Iterator[pa.RecordBatch]:
-        yield pa.RecordBatch.from_arrays([pa.array(self.pair), pa.array(self.total)], names=["pair", "closer"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(self.pair[self.used]), pa.array(self.total[self.used])], names=["pair", "closer"]
+        )
 
 
 def _vec64(c: str | Column) -> Column:
@@ -157,7 +168,7 @@ def knn(
     source = keyed.select("key", "vec") if metric != "cosine" else _unit(keyed.select("key", "vec"))
     members, distinct = collapse_copies(source)
     members = members.persist(StorageLevel.MEMORY_AND_DISK)
-    blocks = assign_blocks(distinct, metric, block_rows)
+    blocks = assign_blocks(distinct, "euclidean" if metric == "cosine" else metric, block_rows)
     lists = _knn_distinct(blocks, k)
     out = _expand(members, distinct, lists, k)
     out = out.withColumn("distance", _distance(F.col("score"), metric)).drop("score")
@@ -266,8 +277,9 @@ def distance_ranks(
     keyed = ordered_keys(points.select(id_col, _vec64(vec_col).alias("vec")), id_col)
     keyed = keyed.persist(StorageLevel.MEMORY_AND_DISK)
     source = keyed.select("key", "vec") if metric != "cosine" else _unit(keyed.select("key", "vec"))
+    space = "euclidean" if metric == "cosine" else metric
     members, distinct = collapse_copies(source)
-    blocks = assign_blocks(distinct, metric, block_rows)
+    blocks = assign_blocks(distinct, space, block_rows)
 
     kind = points.schema[id_col].dataType
     integral = isinstance(kind, (T.LongType, T.IntegerType, T.ShortType, T.ByteType))
@@ -286,17 +298,28 @@ def distance_ranks(
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
     todo = placed.select(F.col("gi").alias("i"), F.col("gj").alias("j")).distinct()
-    scored = pair_scores(todo, distinct.select(F.col("gid").alias("key"), "vec"), "euclidean" if metric == "cosine" else metric)
+    scored = pair_scores(todo, distinct.select(F.col("gid").alias("key"), "vec"), space)
     scored = scored.withColumn("pair", F.monotonically_increasing_id()).persist(StorageLevel.MEMORY_AND_DISK)
-    receivers = scored.join(
-        blocks.points.select(F.col("gid").alias("i"), "vec", "block"), "i"
-    ).select("pair", "score", "vec", "block")
+    # one receiver row per point and at most a few dozen thresholds: a point that is asked for
+    # more of them is spread over several rows
+    asked = scored.groupBy("i").agg(F.ceil(F.count("*") / THRESHOLDS_PER_ROW).alias("parts"))
+    receivers = (
+        scored.join(asked, "i")
+        .groupBy("i", F.pmod(F.xxhash64("j"), F.col("parts")).alias("part"))
+        .agg(
+            F.collect_list(F.struct("pair", "score")).alias("t"),
+            F.min("score").alias("lo"),
+            F.max("score").alias("hi"),
+        )
+        .join(blocks.points.select(F.col("gid").alias("i"), "vec", "block"), "i")
+        .select(F.col("t.pair").alias("pairs"), F.col("t.score").alias("scores"), "lo", "hi", "vec", "block")
+    )
 
     reach = {
         r["block"]: (r["lo"], r["hi"])
-        for r in receivers.groupBy("block").agg(F.min("score").alias("lo"), F.max("score").alias("hi")).collect()
+        for r in receivers.groupBy("block").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).collect()
     }
-    squared = metric != "manhattan"
+    squared = space != "manhattan"
     visits, base = [], []
     for row, block in enumerate(blocks.ids):
         if block not in reach:
@@ -310,9 +333,9 @@ def distance_ranks(
     spark = points.sparkSession
     bases = spark.createDataFrame(base or [(0, 0)], "block int, base bigint")
     counted = sweep(
-        receivers.join(F.broadcast(bases), "block"),
+        receivers.drop("lo", "hi").join(F.broadcast(bases), "block"),
         blocks.points.select("w", "vec", "block"),
-        lambda: _CountCloser(metric),
+        lambda: _CountCloser(space),
         "pair bigint, closer bigint",
         len(blocks.ids),
         visit_table(spark, blocks, visits),

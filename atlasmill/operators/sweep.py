@@ -169,14 +169,10 @@ def sweep(
 
     ``fold()`` builds an object with ``start(table)``, ``step(batch)`` and
     ``finish() -> iterator of RecordBatch``. ``visits`` limits which blocks meet; without it
-    each block meets all of them.
+    each of the ``n_blocks`` receiver blocks (numbered from 0) meets all of them.
     """
     if visits is None:
-        blocks = receivers.select("block").distinct().agg(F.collect_list("block").alias("owners"))
-        # one row holding the few thousand block numbers
-        spark = receivers.sparkSession
-        owners = [int(b) for b in blocks.first()["owners"]]
-        tagged = streamed.withColumn("owner", F.explode(F.lit(owners) if owners else F.array().cast("array<int>")))
+        tagged = streamed.withColumn("owner", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
     else:
         tagged = streamed.join(visits, "block").withColumn("owner", F.explode("owners")).drop("owners")
     left = receivers.withColumns({"owner": F.col("block"), "role": F.lit(0)}).drop("block")
