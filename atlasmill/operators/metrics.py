@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from . import distances
 from .arrays import matrix, vector
 from .neighbors import distance_ranks, knn, ordered_keys
@@ -158,12 +159,11 @@ def silhouette(df: DataFrame, label_col: str = "label", vec_col: str = "low", bl
         F.col(label_col).alias("label"), F.col(vec_col).cast("array<double>").alias("vec")
     )
     classes = ordered_keys(labelled.select("label").distinct().withColumn("label", F.col("label").cast("string")), "label")
-    points = (
+    points = cut_lineage(
         labelled.withColumn("label", F.col("label").cast("string"))
         .groupBy("label", "vec").agg(F.count("*").alias("w"))
         .join(classes.withColumnRenamed("key", "cls"), "label")
         .select(F.monotonically_increasing_id().alias("gid"), "w", "cls", "vec")
-        .persist()
     )
     if points.select("cls").distinct().limit(2).count() < 2:
         return df.sparkSession.createDataFrame([(None,)], "silhouette double")

@@ -12,11 +12,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut_lineage
 from . import distances
 from .arrays import list_column, matrix, vector
 from .sweep import Blocks, assign_blocks, bounds, knn_visits, sweep, visit_table
@@ -131,7 +131,7 @@ def ordered_keys(df: DataFrame, id_col: str) -> DataFrame:
     if isinstance(df.schema[id_col].dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
         return df.withColumn("key", F.col(id_col).cast("bigint"))
     numbered = df.select(id_col).orderBy(id_col).withColumn("key", F.monotonically_increasing_id())
-    return df.join(numbered.persist(StorageLevel.MEMORY_AND_DISK), id_col)
+    return df.join(cut_lineage(numbered), id_col)
 
 
 def collapse_copies(points: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -143,7 +143,7 @@ def collapse_copies(points: DataFrame) -> tuple[DataFrame, DataFrame]:
     vectors that do have copies.
     """
     distinct = points.groupBy("vec").agg(F.min("key").alias("gid"), F.count("*").alias("w"))
-    distinct = distinct.persist(StorageLevel.MEMORY_AND_DISK)
+    distinct = cut_lineage(distinct)
     shared = distinct.filter("w > 1").select("vec", "gid")
     salts = 16
     spread = shared.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
@@ -167,7 +167,7 @@ def knn(
     keyed = ordered_keys(points.select(id_col, _vec64(vec_col).alias("vec")), id_col)
     source = keyed.select("key", "vec") if metric != "cosine" else _unit(keyed.select("key", "vec"))
     members, distinct = collapse_copies(source)
-    members = members.persist(StorageLevel.MEMORY_AND_DISK)
+    members = cut_lineage(members)
     blocks = assign_blocks(distinct, "euclidean" if metric == "cosine" else metric, block_rows)
     lists = _knn_distinct(blocks, k)
     out = _expand(members, distinct, lists, k)
@@ -275,7 +275,6 @@ def distance_ranks(
     (rows at equal distance share the rank). Adds ``rank_hi``.
     """
     keyed = ordered_keys(points.select(id_col, _vec64(vec_col).alias("vec")), id_col)
-    keyed = keyed.persist(StorageLevel.MEMORY_AND_DISK)
     source = keyed.select("key", "vec") if metric != "cosine" else _unit(keyed.select("key", "vec"))
     space = "euclidean" if metric == "cosine" else metric
     members, distinct = collapse_copies(source)
@@ -292,18 +291,17 @@ def distance_ranks(
             numbered = numbered.join(names.withColumnRenamed("_name", side), side).withColumnRenamed("key", f"k{side}")
     # copies of one vector see the same world: only distinct (vector, vector) pairs are counted
     gids = members.select("key", "gid")
-    placed = (
+    placed = cut_lineage(
         numbered.join(gids.select(F.col("key").alias("ki"), F.col("gid").alias("gi")), "ki")
         .join(gids.select(F.col("key").alias("kj"), F.col("gid").alias("gj")), "kj")
-        .persist(StorageLevel.MEMORY_AND_DISK)
     )
     todo = placed.select(F.col("gi").alias("i"), F.col("gj").alias("j")).distinct()
     scored = pair_scores(todo, distinct.select(F.col("gid").alias("key"), "vec"), space)
-    scored = scored.withColumn("pair", F.monotonically_increasing_id()).persist(StorageLevel.MEMORY_AND_DISK)
+    scored = cut_lineage(scored.withColumn("pair", F.monotonically_increasing_id()))
     # one receiver row per point and at most a few dozen thresholds: a point that is asked for
     # more of them is spread over several rows
     asked = scored.groupBy("i").agg(F.ceil(F.count("*") / THRESHOLDS_PER_ROW).alias("parts"))
-    receivers = (
+    receivers = cut_lineage(
         scored.join(asked, "i")
         .groupBy("i", F.pmod(F.xxhash64("j"), F.col("parts")).alias("part"))
         .agg(

@@ -16,10 +16,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from . import distances
 from .arrays import list_column, matrix
 
@@ -87,7 +87,7 @@ def assign_blocks(points: DataFrame, metric: str = "euclidean", block_rows: int
                 names=[*names, "vec", "cell", "reach"],
             )
 
-    located = points.select(*names, "vec").mapInArrow(locate, out_schema).persist(StorageLevel.MEMORY_AND_DISK)
+    located = cut_lineage(points.select(*names, "vec").mapInArrow(locate, out_schema))
     cells = {r["cell"]: r["n"] for r in located.groupBy("cell").agg(F.count("*").alias("n")).collect()}
     first, plan = 0, []
     for cell in sorted(cells):

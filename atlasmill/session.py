@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,27 +30,43 @@ def build_session(app_name: str = "atlasmill", master: str | None = None, **conf
     return builder.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster.
 
-    Only when the session names none (unit tests) a scratch folder is set.
+    Only when the session names none (unit tests) a scratch folder is used.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
-        return configured
-    jsc = spark.sparkContext._jsc.sc()
-    current = jsc.getCheckpointDir()
+        return configured.rstrip("/")
+    current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
-        return current.get()
-    scratch = os.path.join(tempfile.gettempdir(), "atlasmill-checkpoints")
-    spark.sparkContext.setCheckpointDir(scratch)
-    return scratch
+        return current.get().rstrip("/")
+    return os.path.join(tempfile.gettempdir(), "atlasmill-checkpoints")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the result survives the loss of any executor."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the frame to the shared folder and read it back.
+
+    The result survives the loss of any executor, later plans start from a file
+    scan, and their size estimates are the real file sizes (a checkpointed RDD
+    would carry the estimates of its whole history along).
+    """
+    path = f"{shared_folder(df.sparkSession)}/atlasmill-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._atlasmill_path = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Delete a table of :func:`cut_lineage` that a newer one has replaced."""
+    path = getattr(df, "_atlasmill_path", None)
+    if path is None:
+        return
+    jvm = df.sparkSession._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    target.getFileSystem(conf).delete(target, True)
 
 
 def task_width(spark: SparkSession) -> int:
