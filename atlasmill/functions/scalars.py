@@ -110,7 +110,7 @@ def natural_sort_key(text: Column | str, width: int = 20) -> Column:
 def signal_bounds(feature: Column | str) -> Column:
     """``struct(sp_start, sp_end)`` when exactly one clean ``SIGNAL a..b`` exists, else NULL."""
     feature = as_col(feature)
-    pattern = r"SIGNAL (\d+)\.\.(\d+)"
+    pattern = r"SIGNAL\s+(\d+)\.\.(\d+)"
     starts = F.regexp_extract_all(feature, F.lit(pattern), F.lit(1))
     ends = F.regexp_extract_all(feature, F.lit(pattern), F.lit(2))
     return F.when(

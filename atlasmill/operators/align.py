@@ -138,7 +138,7 @@ def batch_ids(df: DataFrame, order: str, size: int) -> DataFrame:
     Positions come from a range sort plus per-partition offsets, so no single
     task numbers the whole table.
     """
-    from .layout import dense_index
+    from .ordering import dense_index
 
     index = dense_index(df, order).withColumnRenamed("key", "_pos")
     return df.join(index, order).withColumn("batch", F.floor(F.col("_pos") / F.lit(size)).cast("long")).drop("_pos")

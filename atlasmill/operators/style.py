@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import colors
 from ..functions.cells import display_values, extract_categories
 from ..functions.scalars import MISSING_KEY, STYLE_MISSING
+from .ordering import position_in_group
 
 # Marker vocabulary and the keys a style may set.
 SHAPES = ["circle", "diamond", "plus", "square", "triangle-down", "triangle-up"]
@@ -37,7 +38,8 @@ def value_frequencies(annotations: DataFrame, columns: list[str] | None = None)
 def zorder(freq: DataFrame, mode: str = "size-desc", missing: list[str] = ZORDER_MISSING) -> DataFrame:
     """Stack order 0.. per annotation; missing labels always last.
 
-    Ranks run over the category table (one row per distinct value).
+    An annotation may have any number of distinct values, so positions come
+    from a range sort.
     """
     keys = {
         "size-desc": [F.desc("n"), F.asc("value")],
@@ -46,8 +48,7 @@ def zorder(freq: DataFrame, mode: str = "size-desc", missing: list[str] = ZORDER
     }.get(mode, [F.asc("value")])
     is_missing = F.col("value").isin(missing)
     order = [is_missing.asc(), *keys, F.asc("value")]
-    rank = F.row_number().over(Window.partitionBy("annotation").orderBy(*order))
-    return freq.withColumn("zorder", (rank - 1).cast("int"))
+    return position_in_group(freq, ["annotation"], order, "zorder").withColumn("zorder", F.col("zorder").cast("int"))
 
 
 def top_categories(cells: DataFrame, cell_col: str = "cell", top: int = 9) -> DataFrame:
@@ -127,24 +128,20 @@ def _bounded(df: DataFrame, what: str) -> list:
 
 
 def style_template(freq: DataFrame) -> DataFrame:
-    """A pre-filled style per annotation, values by descending frequency: (annotation, colors)."""
-    missing = F.col("value").isin(ZORDER_MISSING)
-    entry = F.struct(
-        (-F.col("n")).alias("o"), "value",
-        F.when(missing, F.lit(colors.MISSING_COLOR)).otherwise(F.lit("")).alias("color"),
-    )
-    return freq.groupBy("annotation").agg(F.array_sort(F.collect_list(entry)).alias("l")).select(
-        "annotation", F.transform("l", lambda e: F.struct(e["value"].alias("value"), e["color"].alias("color"))).alias("colors")
-    )
+    """Pre-filled style rows, values by descending frequency: (annotation, value, color, position)."""
+    color = F.when(F.col("value").isin(ZORDER_MISSING), F.lit(colors.MISSING_COLOR)).otherwise(F.lit(""))
+    ranked = position_in_group(freq, ["annotation"], [F.desc("n"), "value"], "position")
+    return ranked.select("annotation", "value", color.alias("color"), F.col("position").cast("int").alias("position"))
 
 
 def template_dict(freq: DataFrame) -> dict:
     out = {}
-    for r in sorted(_bounded(style_template(freq), "annotations"), key=lambda r: r["annotation"]):
-        out[r["annotation"]] = {
+    for r in sorted(_bounded(style_template(freq), "categories"), key=lambda r: (r["annotation"], r["position"])):
+        entry = out.setdefault(r["annotation"], {
             "sortMode": "size-desc", "maxVisibleValues": 10, "shapeSize": 30, "selectedPaletteId": "kellys",
-            "hiddenValues": [], "colors": {e["value"]: e["color"] for e in r["colors"]}, "shapes": {},
-        }
+            "hiddenValues": [], "colors": {}, "shapes": {},
+        })
+        entry["colors"][r["value"]] = r["color"]
     return out
 
 
