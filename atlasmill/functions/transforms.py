@@ -54,7 +54,7 @@ def strip_aspect(value: Column | str) -> Column:
 
 def name_enzymes(value: Column | str, names: Column) -> Column:
     """Append ``(name)`` to each code found in the map column ``names``; evidence is kept."""
-    codes = F.filter(F.transform(items(value), F.trim), lambda c: c != "")
+    codes = F.filter(F.transform(items(value), lambda c: F.trim(c)), lambda c: c != "")
 
     def render(item: Column) -> Column:
         code, evidence = split_last_pipe(item)

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 from . import distances
 from .arrays import matrix, vector
-from .neighbors import distance_ranks, knn, ordered_keys
-from .sweep import assign_blocks, sweep
+from .neighbors import distance_ranks, knn
+from .ordering import with_position
+from .sweep import assign_blocks, bounds, sweep, visit_table
 from ..functions.scalars import is_valid_label
 
 DEFAULT_K = 15
@@ -72,31 +73,32 @@ def labelled_neighbors(near: DataFrame, labels: DataFrame, id_col: str = "identi
     return near.join(li, "i").join(lj, "j")
 
 
-def knn_purity(near: DataFrame) -> DataFrame:
+def knn_purity(near: DataFrame, by: list[str] = ()) -> DataFrame:
     """Mean share of same-label neighbours over rows of :func:`labelled_neighbors`."""
-    per_row = near.groupBy("i").agg(F.avg((F.col("li") == F.col("lj")).cast("double")).alias("share"))
-    return per_row.agg(F.avg("share").alias("purity"))
+    per_row = near.groupBy(*by, "i").agg(F.avg((F.col("li") == F.col("lj")).cast("double")).alias("share"))
+    return per_row.groupBy(*by).agg(F.avg("share").alias("purity"))
 
 
-def loo_votes(near: DataFrame) -> DataFrame:
+def loo_votes(near: DataFrame, by: list[str] = ()) -> DataFrame:
     """Majority label of the neighbours, ties to the smaller label: ``(i, li, predicted)``."""
-    votes = near.groupBy("i", "li", "lj").agg(F.count("*").alias("votes"))
+    votes = near.groupBy(*by, "i", "li", "lj").agg(F.count("*").alias("votes"))
     # smallest (-votes, label) wins; an aggregate, so no per-row window sort
-    return votes.groupBy("i", "li").agg(
+    return votes.groupBy(*by, "i", "li").agg(
         F.min(F.struct((-F.col("votes")).alias("v"), F.col("lj"))).getField("lj").alias("predicted")
     )
 
 
-def loo_accuracy(near: DataFrame) -> DataFrame:
-    return loo_votes(near).agg(F.avg((F.col("li") == F.col("predicted")).cast("double")).alias("accuracy"))
+def loo_accuracy(near: DataFrame, by: list[str] = ()) -> DataFrame:
+    hit = (F.col("li") == F.col("predicted")).cast("double")
+    return loo_votes(near, by).groupBy(*by).agg(F.avg(hit).alias("accuracy"))
 
 
-def standard_scaled(df: DataFrame, columns: list[str]) -> DataFrame:
+def standard_scaled(df: DataFrame, columns: list[str], by: list[str] = ()) -> DataFrame:
     """z-scores with the population deviation; constant columns are only centred."""
-    facts = df.agg(
+    facts = df.groupBy(*by).agg(
         *[F.avg(c).alias(f"_m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"_s_{c}") for c in columns]
     )
-    out = df.join(F.broadcast(facts))
+    out = df.join(facts, list(by)) if by else df.join(F.broadcast(facts))
     for c in columns:
         sd = F.when(F.col(f"_s_{c}") > 0, F.col(f"_s_{c}")).otherwise(F.lit(1.0))
         out = out.withColumn(c, (F.col(c) - F.col(f"_m_{c}")) / sd)
@@ -104,7 +106,14 @@ def standard_scaled(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 class _Silhouette:
-    """Mean distance to every class, streamed class by class; keeps only a and b."""
+    """Mean distance to every class, streamed class by class; keeps only a and b.
+
+    With ``gap`` points further away than it belong to another group and are
+    ignored (a class lies wholly in one group).
+    """
+
+    def __init__(self, gap: float | None):
+        self.gap = gap
 
     def start(self, table: pa.Table) -> None:
         self.key = vector(table["gid"], np.int64)
@@ -122,7 +131,10 @@ class _Silhouette:
         mine = self.cls == self.current
         if self.size > 1:
             self.own[mine] = self.sum[mine] / (self.size - 1)
-        self.nearest[~mine] = np.minimum(self.nearest[~mine], self.sum[~mine] / self.size)
+        mean = self.sum[~mine] / self.size
+        if self.gap is not None:
+            mean = np.where(mean < self.gap, mean, np.inf)
+        self.nearest[~mine] = np.minimum(self.nearest[~mine], mean)
 
     def step(self, batch: pa.RecordBatch) -> None:
         cls = vector(batch.column("cls"), np.int64)
@@ -150,29 +162,124 @@ class _Silhouette:
         )
 
 
-def silhouette(df: DataFrame, label_col: str = "label", vec_col: str = "low", block_rows: int = 4096) -> DataFrame:
-    """Mean silhouette over labelled rows (one row, NULL below two classes).
+def silhouette(
+    df: DataFrame, label_col: str = "label", vec_col: str = "low", by: list[str] = (), block_rows: int = 4096
+) -> DataFrame:
+    """Mean silhouette over labelled rows, optionally per group of ``by`` columns.
 
-    Equal points of one class are collapsed to a weighted point first.
+    Equal points of one class are collapsed to a weighted point first. Groups
+    with fewer than two classes give NULL.
     """
+    by = list(by)
+    if not by:
+        whole = silhouette(df.withColumn("_all", F.lit(0)), label_col, vec_col, ["_all"], block_rows)
+        return whole.agg(F.max("silhouette").alias("silhouette"))
     labelled = df.filter(is_valid_label(label_col)).select(
-        F.col(label_col).alias("label"), F.col(vec_col).cast("array<double>").alias("vec")
+        *by, F.col(label_col).cast("string").alias("label"), F.col(vec_col).cast("array<double>").alias("vec")
     )
-    classes = ordered_keys(labelled.select("label").distinct().withColumn("label", F.col("label").cast("string")), "label")
-    points = cut_lineage(
-        labelled.withColumn("label", F.col("label").cast("string"))
-        .groupBy("label", "vec").agg(F.count("*").alias("w"))
-        .join(classes.withColumnRenamed("key", "cls"), "label")
-        .select(F.monotonically_increasing_id().alias("gid"), "w", "cls", "vec")
+    counted = labelled.groupBy(*by, "label", "vec").agg(F.count("*").alias("w"))
+    classes = cut_lineage(
+        counted.groupBy(*by, "label").agg(F.sum("w").alias("_size")).withColumn("cls", F.monotonically_increasing_id())
     )
-    if points.select("cls").distinct().limit(2).count() < 2:
-        return df.sparkSession.createDataFrame([(None,)], "silhouette double")
-    blocks = assign_blocks(points, "euclidean", block_rows)
+    groups = classes.groupBy(*by).agg(F.count("*").alias("_classes")).withColumn("grp", F.monotonically_increasing_id())
+    groups = cut_lineage(groups.filter("_classes > 1"))
+    coded = counted.join(classes.drop("_size"), [*by, "label"])
+    coded = coded.join(groups.drop("_classes"), by)
+    points = cut_lineage(coded.select(F.monotonically_increasing_id().alias("gid"), "w", "cls", "grp", "vec"))
+    shifted, gap = separate_groups(points, "grp")
+    blocks = assign_blocks(shifted, "euclidean", block_rows)
+    visits = None
+    if gap is not None:
+        near = [np.flatnonzero(bounds(blocks, row)[0] < gap) for row in range(len(blocks.ids))]
+        visits = visit_table(df.sparkSession, blocks, near)
     scored = sweep(
-        blocks.points, blocks.points, _Silhouette, "gid bigint, w bigint, silhouette double",
-        len(blocks.ids), None, ["cls"],
+        blocks.points.drop("grp"), blocks.points.drop("grp"), lambda: _Silhouette(gap),
+        "gid bigint, w bigint, silhouette double", len(blocks.ids), visits, ["cls"],
+    )
+    mean = scored.join(points.select("gid", "grp"), "gid").groupBy("grp").agg(
+        (F.sum(F.col("silhouette") * F.col("w")) / F.sum("w")).alias("silhouette")
+    )
+    named = groups.join(mean, "grp").select(*by, "silhouette")
+    return classes.select(*by).distinct().join(named, by, "left")
+
+
+def separate_groups(points: DataFrame, group_col: str) -> tuple[DataFrame, float | None]:
+    """Move groups apart along one extra coordinate.
+
+    Rows of a group keep their distances exactly (the extra coordinate is equal)
+    while rows of other groups end up beyond any distance within a group, so one
+    neighbour search serves all groups. Returns the gap, None for a single group.
+    """
+    facts = points.agg(
+        F.max(F.aggregate("vec", F.lit(0.0), lambda a, v: F.greatest(a, F.abs(v)))).alias("top"),
+        F.max(F.size("vec")).alias("dim"),
+        F.min(group_col).alias("lo"), F.max(group_col).alias("hi"),
+    ).first()
+    if facts["lo"] is None or facts["lo"] == facts["hi"]:
+        return points, None
+    ranked = points.select(group_col).distinct()
+    codes = ranked.select(
+        group_col, (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(group_col)) - 1).alias("_place")
+    )
+    # an upper bound on any distance (and any sum of coordinate gaps) within a group
+    gap = 4.0 * (float(facts["top"]) + 1.0) * int(facts["dim"])
+    moved = points.join(F.broadcast(codes), group_col).withColumn(
+        "vec", F.concat("vec", F.array(F.col("_place") * F.lit(gap)))
+    )
+    return moved.drop("_place"), gap
+
+
+def stack_groups(df: DataFrame, by: str, id_col: str, vec_cols: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Make one neighbour search serve all groups of ``by``.
+
+    Returns ``stacked(sid, <vec_cols>)``, groups moved apart in every vector
+    column, and ``names(sid, by, id)``. ``sid`` sorts like the id within a group.
+    """
+    places = cut_lineage(
+        df.select(by).distinct().withColumn(
+            "_place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(by)).cast("bigint")
+        )
+    )
+    joined = df.join(F.broadcast(places), by)
+    numbered = with_position(joined.select(by, "_place", id_col), ["_place", id_col], "sid")
+    stacked = joined.join(numbered, [by, "_place", id_col])
+    for c in vec_cols:
+        moved = stacked.withColumn(c, F.col(c).cast("array<double>"))
+        top = moved.agg(
+            F.max(F.aggregate(c, F.lit(0.0), lambda a, v: F.greatest(a, F.abs(v)))).alias("top"), F.max(F.size(c)).alias("dim")
+        ).first()
+        gap = 4.0 * (float(top["top"]) + 1.0) * int(top["dim"])
+        stacked = moved.withColumn(c, F.concat(c, F.array(F.col("_place") * F.lit(gap))))
+    return cut_lineage(stacked.select("sid", *vec_cols)), numbered.select("sid", by, id_col)
+
+
+def grouped_knn(stacked: DataFrame, names: DataFrame, k: int, vec_col: str, by: str, id_col: str) -> DataFrame:
+    """k nearest within the own group: (by, i, j, rank, distance)."""
+    near = knn(stacked, k, "sid", vec_col)
+    a = names.select(F.col("sid").alias("i"), by, F.col(id_col).alias("_i"))
+    b = names.select(F.col("sid").alias("j"), F.col(by).alias("_by"), F.col(id_col).alias("_j"))
+    joined = near.join(a, "i").join(b, "j").filter(F.col(by) == F.col("_by"))
+    return joined.select(by, F.col("_i").alias("i"), F.col("_j").alias("j"), "rank", "distance")
+
+
+def grouped_ranks(stacked: DataFrame, names: DataFrame, k: int, high: str, low: str, by: str) -> DataFrame:
+    """Neighbourhood table per group: (by, i, j, rank_lo, rank_hi), ids are sids."""
+    near = knn(stacked, k, "sid", low).select("i", "j", F.col("rank").alias("rank_lo"))
+    a = names.select(F.col("sid").alias("i"), by)
+    b = names.select(F.col("sid").alias("j"), F.col(by).alias("_by"))
+    own = near.join(a, "i").join(b, "j").filter(F.col(by) == F.col("_by")).select(by, "i", "j", "rank_lo")
+    return distance_ranks(cut_lineage(own), stacked.select("sid", high), "sid", high)
+
+
+def grouped_trustworthiness(ranked: DataFrame, by: str, n: int, ks: list[int]) -> DataFrame:
+    """Trustworthiness per group (all of size n) and k."""
+    k = F.col("k")
+    penalty = F.when((F.col("rank_lo") <= k) & (F.col("rank_hi") > k), F.col("rank_hi") - k).otherwise(F.lit(0))
+    scale = F.lit(2.0) / (F.lit(float(n)) * k * (2.0 * n - 3.0 * k - 1.0))
+    spread = ranked.withColumn("k", F.explode(F.array(*[F.lit(int(x)) for x in ks])))
+    return spread.groupBy(by, "k").agg(F.sum(penalty).alias("p")).select(
+        by, "k", (F.lit(1.0) - scale * F.col("p")).alias("trustworthiness")
     )
-    return scored.agg((F.sum(F.col("silhouette") * F.col("w")) / F.sum("w")).alias("silhouette"))
 
 
 def two_predictor_r2(df: DataFrame, target: str, x: str = "x", y: str = "y", by: list[str] = ()) -> DataFrame:

@@ -11,7 +11,7 @@ def read_enzyme_names(spark: SparkSession, path: str) -> DataFrame:
     entry = spark.read.option("lineSep", "//\n").text(path)
     text = F.concat(F.lit("\n"), "value", F.lit("\n"))
     code = F.trim(F.regexp_extract(text, r"\nID   ([^\n]*)", 1))
-    lines = F.transform(F.regexp_extract_all(text, F.lit(r"\nDE   ([^\n]*)"), F.lit(1)), F.trim)
+    lines = F.transform(F.regexp_extract_all(text, F.lit(r"\nDE   ([^\n]*)"), F.lit(1)), lambda x: F.trim(x))
     name = F.regexp_replace(F.array_join(lines, " "), r"\.$", "")
     return entry.select(code.alias("code"), name.alias("name"), F.size(lines).alias("n")).filter(
         "code <> '' and n > 0"

@@ -38,7 +38,7 @@ def scan_vectors(spark: SparkSession, paths: list[str], id_col: str = "identifie
                 F.col(id_col).cast("string").alias("identifier"),
                 vec.cast("array<float>").alias("vec"),
                 F.lit(n).alias("file_idx"),
-                F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id()).alias("row_idx"),
+                F.struct("_metadata.file_path", "_metadata.row_index").alias("row_idx"),
             )
         )
     out = frames[0]
