@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.cells import split_last_pipe, with_evidence
 from ..functions.entry import PROPERTIES, as_text, entry_struct
 from ..functions.scalars import sequence_digest
 from ..functions.transforms import transform_annotations
@@ -32,36 +35,46 @@ TAXON_SCHEMA = (
 DOMAIN_SCHEMA = "struct<annotations:array<struct<ted_domain_no:int,cath_label:string,plddt:double>>>"
 
 
-def lookup_map(df: DataFrame, key: str, value: str) -> Column:
-    """A dictionary table of checked size as a map literal for in-cell lookups."""
-    limit = 200_000
-    rows = df.select(key, value).limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError("dictionary too large for in-cell lookup; use name_items, which joins")
-    return F.from_json(F.lit(_json({r[0]: r[1] for r in rows})), "map<string,string>")
+IN_CELL_NAMES = 1000
 
 
-def _json(value) -> str:
-    import json
+def lookup_map(df: DataFrame, key: str, value: str) -> Column:
+    """A small dictionary as a map literal for lookups inside cells.
 
-    return json.dumps(value)
+    Map lookups are linear, so this is for a thousand names at most;
+    :func:`name_items` and :func:`clans_by_join` take dictionaries of any size.
+    """
+    rows = df.select(key, value).limit(IN_CELL_NAMES + 1).collect()
+    if len(rows) > IN_CELL_NAMES:
+        raise ValueError(f"more than {IN_CELL_NAMES} names; use name_items or clans_by_join")
+    return F.from_json(F.lit(json.dumps({r[0]: r[1] for r in rows})), "map<string,string>")
 
 
 def name_items(cells: DataFrame, names: DataFrame, key: str, value: str, id_col: str = "identifier", cell_col: str = "cell") -> DataFrame:
     """Append ``(name)`` to the items of a cell by a join (any dictionary size).
 
-    Item order and evidence are kept.
+    Item order and evidence are kept, blank items are dropped.
     """
-    exploded = cells.select(id_col, F.posexplode(F.split(cell_col, ";")).alias("pos", "item")).select(
-        id_col, "pos", "item", F.trim(F.substring_index("item", "|", 1)).alias(key)
-    )
+    exploded = cells.select(id_col, F.posexplode_outer(F.split(cell_col, ";")).alias("pos", "item"))
+    code, evidence = split_last_pipe(F.trim("item"))
+    exploded = exploded.select(id_col, "pos", code.alias(key), evidence.alias("_evidence"))
     joined = exploded.join(names.select(key, F.col(value).alias("_name")), key, "left")
-    tail = F.when(F.contains("item", F.lit("|")), F.concat(F.lit("|"), F.substring_index("item", "|", -1))).otherwise("")
-    text = F.concat(F.col(key), F.when(F.coalesce("_name", F.lit("")) != "", F.concat(F.lit(" ("), "_name", F.lit(")"))).otherwise(""), tail)
-    grouped = joined.withColumn("_text", text).groupBy(id_col).agg(
-        F.array_sort(F.collect_list(F.struct("pos", "_text"))).alias("_items")
+    named = F.when(
+        F.coalesce("_name", F.lit("")) != "", F.concat(F.col(key), F.lit(" ("), "_name", F.lit(")"))
+    ).otherwise(F.col(key))
+    text = with_evidence(named, F.col("_evidence"))
+    grouped = joined.groupBy(id_col).agg(
+        F.array_sort(F.collect_list(F.when(F.coalesce(key, F.lit("")) != "", F.struct("pos", text.alias("t"))))).alias("_items")
     )
-    return grouped.select(id_col, F.array_join(F.transform("_items", lambda e: e["_text"]), ";").alias(cell_col))
+    return grouped.select(id_col, F.array_join(F.transform("_items", lambda e: e["t"]), ";").alias(cell_col))
+
+
+def clans_by_join(cells: DataFrame, clans: DataFrame, id_col: str = "identifier", cell_col: str = "pfam") -> DataFrame:
+    """Sorted distinct clans of the accessions in a cell, by a join on ``clans(accession, clan)``."""
+    found = F.regexp_extract_all(F.coalesce(cell_col, F.lit("")), F.lit(r"(PF\d+)"), F.lit(1))
+    exploded = cells.select(id_col, F.explode_outer(F.array_distinct(found)).alias("accession"))
+    joined = exploded.join(clans.select("accession", "clan"), "accession", "left")
+    return joined.groupBy(id_col).agg(F.array_join(F.array_sort(F.collect_set("clan")), ";").alias("pfam_clan"))
 
 
 def group_scores(matches: DataFrame, id_col: str = "identifier") -> DataFrame:
@@ -283,9 +296,18 @@ def merge_sources(
     return out
 
 
-def finish_annotations(merged: DataFrame, requested: list[str], enzyme_names: Column | None = None, clan_names: Column | None = None) -> DataFrame:
-    """Field transforms, then the requested columns with the identifier first."""
-    done = transform_annotations(merged, enzyme_names, clan_names)
+def finish_annotations(
+    merged: DataFrame, requested: list[str], enzyme_names: DataFrame | None = None, clans: DataFrame | None = None
+) -> DataFrame:
+    """Field transforms, then the requested columns with the identifier first.
+
+    ``enzyme_names(code, name)`` and ``clans(accession, clan)`` are joined in.
+    """
+    done = transform_annotations(merged)
+    if enzyme_names is not None and "ec" in done.columns:
+        done = done.drop("ec").join(name_items(done.select("identifier", "ec"), enzyme_names, "code", "name", cell_col="ec"), "identifier", "left")
+    if clans is not None and "pfam" in done.columns:
+        done = done.drop("pfam_clan").join(clans_by_join(done.select("identifier", "pfam"), clans), "identifier", "left")
     cols = [F.coalesce(F.col(c), F.lit("")).alias(c) if c in done.columns else F.lit("").alias(c) for c in requested]
     return done.select("identifier", *cols)
 

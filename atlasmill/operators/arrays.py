@@ -7,13 +7,20 @@ import pyarrow as pa
 
 
 def matrix(column: pa.Array | pa.ChunkedArray, dim: int | None = None) -> np.ndarray:
-    """List column of equal-length numeric lists -> (rows, dim) float64."""
+    """List column of equal-length numeric lists -> (rows, dim) float64.
+
+    With ``dim`` given, lists of another length (or NULL) are refused.
+    """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
     rows = len(column)
     if rows == 0:
         return np.empty((0, dim or 0))
+    if dim is not None:
+        sizes = column.value_lengths()
+        if column.null_count or sizes.to_numpy().min() != dim or sizes.to_numpy().max() != dim:
+            raise ValueError(f"dimension mismatch: vectors differ from the expected length {dim}")
     return flat.reshape(rows, -1)
 
 

@@ -73,19 +73,17 @@ def _emit(part) -> Iterator[pa.RecordBatch]:
 
 def moments(df: DataFrame, vec_col: str = "vec") -> Moments:
     """Count, mean and scatter matrix of a vector column."""
-    lengths = df.agg(F.min(F.size(vec_col)).alias("lo"), F.max(F.size(vec_col)).alias("hi")).first()
-    if lengths["hi"] is None:
+    head = df.select(F.size(vec_col).alias("dim")).first()
+    if head is None:
         raise ValueError("no vectors")
-    if lengths["lo"] != lengths["hi"]:
-        raise ValueError(f"dimension mismatch: vectors of length {lengths['lo']} and {lengths['hi']}")
-    dim = int(lengths["hi"])
+    dim = int(head["dim"])
     if dim > MAX_DIM:
         raise ValueError(f"vectors of length {dim} exceed the supported {MAX_DIM}")
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
-            x = matrix(batch.column(0))
+            x = matrix(batch.column(0), dim)
             if len(x):
                 mean = x.mean(axis=0)
                 c = x - mean

@@ -72,9 +72,13 @@ class _TopK:
         self.row, self.score, self.other = row[keep], score[keep], other[keep]
 
     def finish(self) -> Iterator[pa.RecordBatch]:
+        place = np.arange(len(self.row)) - np.searchsorted(self.row, self.row, side="left")
         yield pa.RecordBatch.from_arrays(
-            [pa.array(self.gid[self.row]), pa.array(self.other), pa.array(self.score)],
-            names=["gid", "other", "score"],
+            [
+                pa.array(self.gid[self.row]), pa.array(self.other), pa.array(self.score),
+                pa.array((place + 1).astype(np.int32)),
+            ],
+            names=["gid", "other", "score", "rank"],
         )
 
 
@@ -134,17 +138,18 @@ def ordered_keys(df: DataFrame, id_col: str) -> DataFrame:
     return df.join(cut_lineage(numbered), id_col)
 
 
-def collapse_copies(points: DataFrame) -> tuple[DataFrame, DataFrame]:
+def collapse_copies(points: DataFrame) -> tuple[DataFrame | None, DataFrame]:
     """``points(key, vec)`` -> (members(key, gid), distinct(gid, w, vec)).
 
-    ``gid`` is the smallest key that holds the vector. The aggregation combines
-    map-side, so a hot vector shrinks to one row per task before the shuffle;
-    the members join is on a hash that is salted by the key itself only for
-    vectors that do have copies.
+    ``gid`` is the smallest key that holds the vector; members is None when no
+    vector repeats (then every key is its own gid). The aggregation combines
+    map-side, so a hot vector shrinks to one row per task before the shuffle,
+    and the members join spreads each repeated vector over salted keys.
     """
-    distinct = points.groupBy("vec").agg(F.min("key").alias("gid"), F.count("*").alias("w"))
-    distinct = cut_lineage(distinct)
+    distinct = cut_lineage(points.groupBy("vec").agg(F.min("key").alias("gid"), F.count("*").alias("w")))
     shared = distinct.filter("w > 1").select("vec", "gid")
+    if shared.isEmpty():
+        return None, distinct.select("gid", "w", "vec")
     salts = 16
     spread = shared.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     members = (
@@ -152,7 +157,7 @@ def collapse_copies(points: DataFrame) -> tuple[DataFrame, DataFrame]:
         .join(spread, ["vec", "salt"], "left")
         .select("key", F.coalesce("gid", "key").alias("gid"))
     )
-    return members, distinct.select("gid", "w", "vec")
+    return cut_lineage(members), distinct.select("gid", "w", "vec")
 
 
 def knn(
@@ -167,10 +172,12 @@ def knn(
     keyed = ordered_keys(points.select(id_col, _vec64(vec_col).alias("vec")), id_col)
     source = keyed.select("key", "vec") if metric != "cosine" else _unit(keyed.select("key", "vec"))
     members, distinct = collapse_copies(source)
-    members = cut_lineage(members)
     blocks = assign_blocks(distinct, "euclidean" if metric == "cosine" else metric, block_rows)
     lists = _knn_distinct(blocks, k)
-    out = _expand(members, distinct, lists, k)
+    if members is None:
+        out = lists.select(F.col("gid").alias("i"), F.col("other").alias("j"), "rank", "score")
+    else:
+        out = _expand(members, distinct, lists.drop("rank"), k)
     out = out.withColumn("distance", _distance(F.col("score"), metric)).drop("score")
     return _named(out, keyed, id_col)
 
@@ -211,7 +218,7 @@ def _knn_distinct(blocks: Blocks, k: int) -> DataFrame:
     side = blocks.points.select("gid", "vec", "block")
     metric = blocks.metric
     return sweep(
-        side, side, lambda: _TopK(k, metric), "gid bigint, other bigint, score double", len(blocks.ids), visits
+        side, side, lambda: _TopK(k, metric), "gid bigint, other bigint, score double, rank int", len(blocks.ids), visits
     )
 
 
@@ -290,11 +297,13 @@ def distance_ranks(
         else:
             numbered = numbered.join(names.withColumnRenamed("_name", side), side).withColumnRenamed("key", f"k{side}")
     # copies of one vector see the same world: only distinct (vector, vector) pairs are counted
-    gids = members.select("key", "gid")
-    placed = cut_lineage(
-        numbered.join(gids.select(F.col("key").alias("ki"), F.col("gid").alias("gi")), "ki")
-        .join(gids.select(F.col("key").alias("kj"), F.col("gid").alias("gj")), "kj")
-    )
+    if members is None:
+        placed = numbered.withColumns({"gi": F.col("ki"), "gj": F.col("kj")})
+    else:
+        placed = numbered.join(members.select(F.col("key").alias("ki"), F.col("gid").alias("gi")), "ki").join(
+            members.select(F.col("key").alias("kj"), F.col("gid").alias("gj")), "kj"
+        )
+    placed = cut_lineage(placed)
     todo = placed.select(F.col("gi").alias("i"), F.col("gj").alias("j")).distinct()
     scored = pair_scores(todo, distinct.select(F.col("gid").alias("key"), "vec"), space)
     scored = cut_lineage(scored.withColumn("pair", F.monotonically_increasing_id()))

@@ -77,16 +77,18 @@ def rest_autofill(freq: DataFrame, pinned: list[str], max_visible: int = 10, mod
     """
     spark = freq.sparkSession
     slots = spark.createDataFrame([(i, v) for i, v in enumerate(pinned)], "slot int, wanted string")
-    matches = F.when(F.col("wanted").isin(STYLE_MISSING), F.col("value").isin(STYLE_MISSING)).otherwise(
-        F.col("wanted") == F.col("value")
-    )
-    explicit = freq.join(F.broadcast(slots.filter(F.col("wanted") != REST)), matches).select(
-        "annotation", "slot", "value", F.lit(0).alias("inner")
-    )
+    canon = lambda c: F.when(F.col(c).isin(STYLE_MISSING), F.lit(MISSING_KEY)).otherwise(F.col(c))
+    wanted = slots.filter(F.col("wanted") != REST).withColumn("_c", canon("wanted"))
     exact_first = F.row_number().over(
-        Window.partitionBy("annotation", "slot").orderBy("value")
+        Window.partitionBy("annotation", "slot").orderBy(F.desc(F.col("value") == F.col("wanted")), "value")
+    )
+    explicit = (
+        freq.withColumn("_c", canon("value"))
+        .join(F.broadcast(wanted), "_c")
+        .withColumn("_k", exact_first)
+        .filter("_k = 1")
+        .select("annotation", "slot", "value", F.lit(0).alias("inner"))
     )
-    explicit = explicit.withColumn("_k", exact_first).filter("_k = 1").drop("_k")
     if REST in pinned:
         used = explicit.groupBy("annotation").agg(F.count("*").alias("used"))
         left = freq.join(explicit.select("annotation", "value"), ["annotation", "value"], "left_anti")

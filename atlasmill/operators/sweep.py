@@ -50,12 +50,9 @@ def assign_blocks(points: DataFrame, metric: str = "euclidean", block_rows: int
     space form (unit vectors for cosine).
     """
     spark = points.sparkSession
-    stats = points.agg(
-        F.count("*").alias("n"), F.min(F.size("vec")).alias("lo"), F.max(F.size("vec")).alias("hi")
-    ).first()
-    n, dim = int(stats["n"]), int(stats["hi"] or 0)
-    if n and stats["lo"] != stats["hi"]:
-        raise ValueError(f"vectors differ in length ({stats['lo']} to {stats['hi']})")
+    n = points.count()
+    head = points.select(F.size("vec").alias("dim")).first()
+    dim = int(head["dim"]) if head else 0
     width = max(spark.sparkContext.defaultParallelism, 1)
     limit = max(1, min(MAX_PIVOTS, PIVOT_BYTES // (8 * max(dim, 1))))
     target = max(min(block_rows, max(64, math.ceil(n / (2 * width)))), math.ceil(n / limit))
@@ -75,7 +72,7 @@ def assign_blocks(points: DataFrame, metric: str = "euclidean", block_rows: int
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            vecs = distances.prepare(matrix(batch.column("vec")), metric)
+            vecs = distances.prepare(matrix(batch.column("vec"), dim), metric)
             cell = np.empty(len(vecs), dtype=np.int32)
             for part in distances.tiles(len(vecs), len(pivots)):
                 cell[part] = distances.screen(vecs[part], pivots, metric)[0].argmin(axis=1)

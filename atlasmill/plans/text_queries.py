@@ -241,6 +241,20 @@ def clan_map(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", transforms.family_clans(raw, clans).alias("clans"))
 
 
+@query("clan_map_join", """
+  WITH a AS (SELECT o_orderkey, unnest([o_custkey, o_orderkey % 4000]) AS k FROM orders),
+  c AS (SELECT c_custkey AS k, concat('CL', cast(c_nationkey AS varchar), ' (', c_mktsegment, ')') AS clan FROM customer WHERE c_custkey % 5 <> 4)
+  SELECT o_orderkey AS identifier, coalesce(string_agg(DISTINCT clan, ';' ORDER BY clan), '') AS pfam_clan FROM a LEFT JOIN c USING (k) GROUP BY 1""")
+def clan_map_join(spark, d):
+    cell = F.concat(F.lit("PF"), F.col("o_custkey").cast("string"), F.lit(" (x)|1.5;PF"), (F.col("o_orderkey") % 4000).cast("string"))
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("identifier"), cell.alias("pfam"))
+    clans = table(spark, d, "customer").filter("c_custkey % 5 <> 4").select(
+        F.concat(F.lit("PF"), F.col("c_custkey").cast("string")).alias("accession"),
+        F.concat(F.lit("CL"), F.col("c_nationkey").cast("string"), F.lit(" ("), "c_mktsegment", F.lit(")")).alias("clan"),
+    )
+    return annotate.clans_by_join(rows, clans)
+
+
 @query("ec_append_names", """
   SELECT l_orderkey, l_linenumber, concat(
       cast(l_suppkey % 30 AS varchar), coalesce(' (' || a.n_name || ')', ''), '|EXP;',

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 DELIMITER = b"---PARQUET_DELIMITER---"
 PART_NAMES = ["selected_annotations.parquet", "projections_metadata.parquet", "projections_data.parquet"]
 SETTINGS_NAME = "settings.parquet"
-MAX_PACK_ROWS = 20_000_000
+MAX_PACK_ROWS = 5_000_000
 INTERNAL_COLUMNS = ("organism_id", "sequence")
 
 
