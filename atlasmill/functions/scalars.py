@@ -62,8 +62,9 @@ def safe_identifier(identifier: Column | str) -> Column:
 def strip_keyword_code(keyword: Column | str) -> Column:
     """``KW-0123 (Name)`` -> ``Name``; other text is only trimmed."""
     text = F.trim(as_col(keyword))
-    inner = F.regexp_extract(text, r"(?s)^[^(]*\((.*)\)$", 1)
-    return F.when(text.rlike(r"(?s)^[^(]*\(.*\)$"), F.trim(inner)).otherwise(text)
+    at = F.instr(text, "(")
+    inner = F.trim(F.substr(text, at + 1, F.length(text) - at - 1))
+    return F.when((at > 0) & F.endswith(text, F.lit(")")), inner).otherwise(text)
 
 
 def is_valid_label(label: Column | str) -> Column:
