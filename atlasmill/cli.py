@@ -10,7 +10,7 @@ from dataclasses import fields
 from pyspark.sql import functions as F
 
 from .model import ReducerParams, parse_methods, projection_name
-from .session import build_session
+from .session import build_session, release_all
 
 _PARAMS = {f.name: f.type for f in fields(ReducerParams)}
 
@@ -248,6 +248,7 @@ def main(argv: list[str] | None = None) -> int:
         "annotate": _annotate, "bundle": _bundle, "embed": _embed, "inspect": _inspect, "prepare": _prepare,
         "project": _project, "style": _style,
     }[args.command](spark, args)
+    release_all(spark)
     return 0
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import parse_identifier
+from .ordering import dense_index, one_row
 
 
 def first_wins(df: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -42,7 +43,7 @@ def clean_vectors(df: DataFrame, key: str = "identifier", vec: str = "vec", orde
     skipped, vectors with NaN are dropped."""
     order = list(order)
     dim = df.agg(F.min_by(F.size(vec), F.struct(*order)).alias("_dim"))
-    sized = df.join(F.broadcast(dim)).filter(F.size(vec) == F.col("_dim")).drop("_dim")
+    sized = df.filter(F.size(vec) == one_row(dim)["_dim"])
     return first_wins(sized, key, order).filter(~has_nan(vec))
 
 
@@ -62,9 +63,9 @@ def union_same_name(sets: DataFrame, key: str = "identifier", vec: str = "vec",
         .groupBy(key)
         .agg(F.min("_ok").alias("_ok"))
     )
-    checked = firsts.join(verdict, key).join(F.broadcast(dims))
+    checked, dim = firsts.join(verdict, key), one_row(dims)
     guard = (
-        F.when(F.col("lo") != F.col("hi"), F.raise_error(F.lit("embedding sets differ in dimension")))
+        F.when(dim["lo"] != dim["hi"], F.raise_error(F.lit("embedding sets differ in dimension")))
         .when(~F.col("_ok"), F.raise_error(F.concat(F.lit("conflicting embeddings for "), F.col(key).cast("string"))))
         .otherwise(F.col("_first"))
     )
@@ -138,8 +139,6 @@ def batch_ids(df: DataFrame, order: str, size: int) -> DataFrame:
     Positions come from a range sort plus per-partition offsets, so no single
     task numbers the whole table.
     """
-    from .ordering import dense_index
-
     index = dense_index(df, order).withColumnRenamed("key", "_pos")
     return df.join(index, order).withColumn("batch", F.floor(F.col("_pos") / F.lit(size)).cast("long")).drop("_pos")
 

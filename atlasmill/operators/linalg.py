@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import list_column, matrix, vector
+from .ordering import one_row
 
 MAX_DIM = 4096
 FAN_IN_BYTES = 256 << 20
@@ -266,9 +267,9 @@ def similarity_to_distance(edges: DataFrame, sim_col: str = "sim") -> DataFrame:
         F.max(sim_col).alias("_top"),
         F.count_if((F.col("i") == F.col("j")) & (F.abs(F.col(sim_col) - 1.0) > 1e-8 + 1e-5)).alias("_off"),
     )
-    joined = edges.join(F.broadcast(facts))
-    value = F.when(F.col("_off") == 0, F.sqrt(F.col("_top") - F.col(sim_col))).otherwise(F.col(sim_col))
-    return joined.withColumn("distance", value).drop("_top", "_off")
+    fact = one_row(facts)
+    value = F.when(fact["_off"] == 0, F.sqrt(fact["_top"] - F.col(sim_col))).otherwise(F.col(sim_col))
+    return edges.withColumn("distance", value)
 
 
 def scale_vectors(df: DataFrame, vec_col: str = "vec") -> DataFrame:
@@ -306,11 +307,7 @@ def normalize_projection(df: DataFrame) -> DataFrame:
         "s2": F.when(F.col("c") < 0, F.col("s")).otherwise(-F.col("s")),
         "c2": F.when(F.col("c") < 0, -F.col("c")).otherwise(F.col("c")),
     })
-    j = df.join(F.broadcast(s))
-    px = (F.col("x") - F.col("mx")) / F.col("sd")
-    py = (F.col("y") - F.col("my")) / F.col("sd")
-    drop = ["mx", "my", "vx", "vy", "vxy", "sd", "c", "s", "c1", "s1", "c2", "s2"]
-    return j.withColumns({
-        "nx": px * F.col("c1") + py * F.col("s1"),
-        "ny": px * F.col("s2") + py * F.col("c2"),
-    }).drop(*drop)
+    fact = one_row(s)
+    px = (F.col("x") - fact["mx"]) / fact["sd"]
+    py = (F.col("y") - fact["my"]) / fact["sd"]
+    return df.withColumns({"nx": px * fact["c1"] + py * fact["s1"], "ny": px * fact["s2"] + py * fact["c2"]})

@@ -13,7 +13,7 @@ from ..session import cut_lineage
 from . import distances
 from .arrays import matrix, vector
 from .neighbors import distance_ranks, knn
-from .ordering import with_position
+from .ordering import one_row, with_position
 from .sweep import assign_blocks, bounds, sweep, visit_table
 from ..functions.scalars import is_valid_label
 
@@ -98,10 +98,12 @@ def standard_scaled(df: DataFrame, columns: list[str], by: list[str] = ()) -> Da
     facts = df.groupBy(*by).agg(
         *[F.avg(c).alias(f"_m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"_s_{c}") for c in columns]
     )
-    out = df.join(facts, list(by)) if by else df.join(F.broadcast(facts))
+    fact = None if by else one_row(facts)
+    out = df.join(facts, list(by)) if by else df
+    get = lambda name: F.col(name) if by else fact[name]
     for c in columns:
-        sd = F.when(F.col(f"_s_{c}") > 0, F.col(f"_s_{c}")).otherwise(F.lit(1.0))
-        out = out.withColumn(c, (F.col(c) - F.col(f"_m_{c}")) / sd)
+        sd = F.when(get(f"_s_{c}") > 0, get(f"_s_{c}")).otherwise(F.lit(1.0))
+        out = out.withColumn(c, (F.col(c) - get(f"_m_{c}")) / sd)
     return out.drop(*[f"_{p}_{c}" for c in columns for p in "ms"])
 
 
@@ -217,13 +219,10 @@ def separate_groups(points: DataFrame, group_col: str) -> tuple[DataFrame, float
     ).first()
     if facts["lo"] is None or facts["lo"] == facts["hi"]:
         return points, None
-    ranked = points.select(group_col).distinct()
-    codes = ranked.select(
-        group_col, (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(group_col)) - 1).alias("_place")
-    )
+    codes = with_position(points.select(group_col).distinct(), [group_col], "_place")
     # an upper bound on any distance (and any sum of coordinate gaps) within a group
     gap = 4.0 * (float(facts["top"]) + 1.0) * int(facts["dim"])
-    moved = points.join(F.broadcast(codes), group_col).withColumn(
+    moved = points.join(codes, group_col).withColumn(
         "vec", F.concat("vec", F.array(F.col("_place") * F.lit(gap)))
     )
     return moved.drop("_place"), gap
@@ -235,12 +234,8 @@ def stack_groups(df: DataFrame, by: str, id_col: str, vec_cols: list[str]) -> tu
     Returns ``stacked(sid, <vec_cols>)``, groups moved apart in every vector
     column, and ``names(sid, by, id)``. ``sid`` sorts like the id within a group.
     """
-    places = cut_lineage(
-        df.select(by).distinct().withColumn(
-            "_place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(by)).cast("bigint")
-        )
-    )
-    joined = df.join(F.broadcast(places), by)
+    places = cut_lineage(with_position(df.select(by).distinct(), [by], "_place"))
+    joined = df.join(places, by)
     numbered = with_position(joined.select(by, "_place", id_col), ["_place", id_col], "sid")
     stacked = joined.join(numbered, [by, "_place", id_col])
     for c in vec_cols:
@@ -402,12 +397,10 @@ def bootstrap_samples(df: DataFrame, id_col: str, rounds: int, share: float = 0.
 def outliers(scores: DataFrame, value_col: str, share: float = 0.1) -> DataFrame:
     """Rows at or below the given percentile of the score."""
     cut = scores.agg(F.percentile(value_col, F.lit(share)).alias("_cut"))
-    return scores.join(F.broadcast(cut)).filter(F.col(value_col) <= F.col("_cut")).drop("_cut")
+    return scores.filter(F.col(value_col) <= one_row(cut)["_cut"])
 
 
 def group_shares(df: DataFrame, group_col: str) -> DataFrame:
     counts = df.groupBy(group_col).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("_total"))
-    return counts.join(F.broadcast(total)).select(
-        group_col, "n", (F.col("n") / F.col("_total")).alias("share")
-    )
+    total = one_row(df.agg(F.count("*").alias("total")))["total"]
+    return counts.select(group_col, "n", (F.col("n") / total).alias("share"))

@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 
+def one_row(df: DataFrame) -> Column:
+    """A one-row frame as a struct usable inside any expression (a scalar subquery)."""
+    return df.select(F.struct(*[F.col(c) for c in df.columns])).scalar()
+
+
 def with_position(df: DataFrame, order: list[Column | str], name: str = "pos") -> DataFrame:
     """Add the 0-based position of each row in the given (total) order.
 

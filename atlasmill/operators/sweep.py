@@ -60,7 +60,7 @@ def assign_blocks(points: DataFrame, metric: str = "euclidean", block_rows: int
     sample = (
         points.select("gid", "vec").orderBy(F.xxhash64("gid"), "gid").limit(want).orderBy("gid").collect()
     )
-    pivots = distances.prepare(np.array([r["vec"] for r in sample], dtype=np.float64).reshape(len(sample), -1), metric)
+    pivots = distances.prepare(np.array([r["vec"] for r in sample], dtype=np.float64).reshape(len(sample), dim), metric)
 
     keep = [f for f in points.schema.fields if f.name not in ("vec", "block")]
     names = [f.name for f in keep]
@@ -169,7 +169,7 @@ def sweep(
     each of the ``n_blocks`` receiver blocks (numbered from 0) meets all of them.
     """
     if visits is None:
-        tagged = streamed.withColumn("owner", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+        tagged = streamed.withColumn("owner", F.explode(F.sequence(F.lit(0), F.lit(max(n_blocks - 1, 0)))))
     else:
         tagged = streamed.join(visits, "block").withColumn("owner", F.explode("owners")).drop("owners")
     left = receivers.withColumns({"owner": F.col("block"), "role": F.lit(0)}).drop("block")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.colors import default_color
 from ..functions.scalars import natural_sort_key, standardize_missing
-from .ordering import with_position
+from .ordering import one_row, with_position
 
 
 class AtlasView:
@@ -82,9 +82,9 @@ def category_legend(frame: DataFrame, annotation: str) -> DataFrame:
     """Distinct values in natural order with evenly spaced default colours."""
     values = frame.select(F.col(annotation).alias("value")).distinct().withColumn("_k", natural_sort_key("value"))
     placed = with_position(values, ["_k", "value"], "position").drop("_k")
-    total = placed.agg(F.count("*").alias("_n"))
-    return placed.join(F.broadcast(total)).select(
-        "value", F.col("position").cast("int").alias("position"), default_color("position", "_n").alias("color")
+    total = one_row(placed.agg(F.count("*").alias("n")))["n"]
+    return placed.select(
+        "value", F.col("position").cast("int").alias("position"), default_color("position", total).alias("color")
     )
 
 

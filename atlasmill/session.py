@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_WRITTEN: set[str] = set()
+
 
 def build_session(app_name: str = "atlasmill", master: str | None = None, **conf) -> SparkSession:
     """A session with adaptive execution, UTC time and Arrow transfer.
@@ -55,18 +57,32 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._atlasmill_path = path
+    _WRITTEN.add(path)
     return out
 
 
 def release(df: DataFrame) -> None:
     """Delete a table of :func:`cut_lineage` that a newer one has replaced."""
     path = getattr(df, "_atlasmill_path", None)
-    if path is None:
-        return
-    jvm = df.sparkSession._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    target.getFileSystem(conf).delete(target, True)
+    if path is not None:
+        _delete(df.sparkSession, path)
+
+
+def release_all(spark: SparkSession) -> int:
+    """Delete every table this process has put into the shared folder.
+
+    For the end of a job: frames built on those tables cannot be read afterwards.
+    """
+    paths = list(_WRITTEN)
+    for path in paths:
+        _delete(spark, path)
+    return len(paths)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    _WRITTEN.discard(path)
 
 
 def task_width(spark: SparkSession) -> int:

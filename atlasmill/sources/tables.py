@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.align import last_wins, overlay_outer
+from ..operators.ordering import one_row
 
 
 def read_custom_table(spark: SparkSession, path: str) -> DataFrame:
@@ -68,15 +69,10 @@ def length_report(df: DataFrame, seq_col: str = "sequence") -> DataFrame:
     """
     hist = df.groupBy(F.length(seq_col).alias("len")).agg(F.count("*").alias("n"))
     total = hist.agg(F.sum("n").alias("total"), F.min("len").alias("min_len"), F.max("len").alias("max_len"))
-    from pyspark.sql import Window
-
+    fact = one_row(total)
     upto = F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("len").rowsBetween(Window.unboundedPreceding, 0))
-    mid = hist.withColumn("upto", upto).join(F.broadcast(total)).filter(
-        F.col("upto") > F.floor(F.col("total") / 2)
-    ).agg(F.min("len").alias("median_len"))
-    return total.join(F.broadcast(mid)).select(
-        F.col("total").alias("n"), "min_len", "median_len", "max_len"
-    )
+    mid = hist.withColumn("upto", upto).filter(F.col("upto") > F.floor(fact["total"] / 2)).agg(F.min("len").alias("median_len"))
+    return total.select(F.col("total").alias("n"), "min_len", one_row(mid)["median_len"].alias("median_len"), "max_len")
 
 
 def table_sizes(tables: dict[str, DataFrame]) -> DataFrame:
