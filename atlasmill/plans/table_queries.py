@@ -222,8 +222,8 @@ def similarity_edges_query(spark, d):
       CASE WHEN l_linenumber % 3 = 0 THEN '' ELSE cast(cast(l_quantity AS integer) AS varchar) END AS score,
       l_linenumber * 100000000 + l_suppkey * 10000 + l_partkey AS pos
     FROM lineitem JOIN part ON p_partkey = l_partkey),
-  a AS (SELECT id, db, acc, string_agg(score, ',' ORDER BY pos) FILTER (WHERE score <> '') AS scores,
-      first(name ORDER BY pos) FILTER (WHERE name <> '') AS label FROM m GROUP BY 1, 2, 3)
+  a AS (SELECT id, db, acc, string_agg(score, ',' ORDER BY pos, score) FILTER (WHERE score <> '') AS scores,
+      first(name ORDER BY pos, name) FILTER (WHERE name <> '') AS label FROM m GROUP BY 1, 2, 3)
   SELECT id AS l_orderkey, db, string_agg(concat(acc, coalesce(' (' || label || ')', ''), coalesce('|' || scores, '')), ';' ORDER BY acc) AS cell
   FROM a GROUP BY 1, 2""")
 def group_scores_by_accession(spark, d):
