@@ -116,6 +116,31 @@ def attach_to_headers(headers: DataFrame, metadata: DataFrame, key: str = "ident
     return joined.select(*headers.columns, *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in cols])
 
 
+def spread_nulls(key: Column | str, by: Column | str, prefix: str = "\u0000") -> Column:
+    """A join key whose NULLs are spread over many values that match nothing.
+
+    Rows without a key would otherwise all meet in one task of an outer join.
+    """
+    key = F.col(key) if isinstance(key, str) else key
+    by = F.col(by) if isinstance(by, str) else by
+    return F.coalesce(key, F.concat(F.lit(prefix), F.pmod(F.xxhash64(by), F.lit(4096)).cast("string")))
+
+
+def replace_column(base: DataFrame, values: DataFrame, column: str, key: str = "identifier") -> DataFrame:
+    """Replace a column by a keyed lookup; a row without a value is an error."""
+    found = values.select(key, F.col(column).alias("_new"))
+    value = F.when(F.col("_new").isNull(), F.raise_error(
+        F.concat(F.lit(f"no {column} for "), F.col(key).cast("string"))
+    ).cast(values.schema[column].dataType)).otherwise(F.col("_new"))
+    joined = base.join(found, key, "left").withColumn(column, value).drop("_new")
+    return joined.select(*base.columns, *([] if column in base.columns else [column]))
+
+
+def keep_columns(df: DataFrame, wanted: list[str]) -> DataFrame:
+    """The wanted columns that exist, in the wanted order."""
+    return df.select(*[c for c in wanted if c in df.columns])
+
+
 def unique_sequences(df: DataFrame, id_col: str = "identifier", seq_col: str = "sequence") -> DataFrame:
     """Distinct sequences with one representative id, for work that is paid per sequence."""
     return df.groupBy(seq_col).agg(F.min(id_col).alias("representative"), F.count("*").alias("copies"))
@@ -153,7 +178,7 @@ def normalized_ids(df: DataFrame, key: str = "identifier") -> DataFrame:
 
 
 def mean_pool(df: DataFrame, residues: str = "residues", out: str = "vec") -> DataFrame:
-    """Mean over a list of per-residue vectors."""
+    """Mean over a list of per-residue vectors held in one row."""
     zero = F.transform(F.col(residues)[0], lambda v: F.lit(0.0))
     total = F.aggregate(
         F.col(residues),
@@ -162,3 +187,15 @@ def mean_pool(df: DataFrame, residues: str = "residues", out: str = "vec") -> Da
         lambda acc: F.transform(acc, lambda v: v / F.size(residues)),
     )
     return df.withColumn(out, total).drop(residues)
+
+
+def mean_pool_rows(df: DataFrame, id_col: str = "identifier", vec_col: str = "vec") -> DataFrame:
+    """Mean vector per identifier when every residue is a row.
+
+    Averages are taken per position with map-side combine, so an identifier may
+    have any number of residues.
+    """
+    cells = df.select(id_col, F.posexplode(vec_col).alias("pos", "v"))
+    means = cells.groupBy(id_col, "pos").agg(F.avg("v").alias("m"))
+    ordered = F.array_sort(F.collect_list(F.struct("pos", "m")))
+    return means.groupBy(id_col).agg(F.transform(ordered, lambda e: e["m"]).alias(vec_col))

@@ -12,6 +12,7 @@ from ..functions.entry import PROPERTIES, as_text, entry_struct
 from ..functions.scalars import sequence_digest
 from ..functions.transforms import transform_annotations
 from ..model import SOURCE_FIELDS
+from .align import spread_nulls
 
 # Annotation -> library name in domain match documents.
 MATCH_LIBRARIES = {
@@ -233,9 +234,10 @@ def resolve_entries(
         inactive & (F.col("_e.inactiveReason.inactiveReasonType") == "MERGED"),
         F.get(F.col("_e.inactiveReason.mergeDemergeTo"), 0),
     )
+    # most rows have no merge target or archive id: spread their empty keys
     step = direct.select(
-        "identifier", "json", inactive.alias("_inactive"), target.alias("_target"),
-        F.col("_e.extraAttributes.uniParcId").alias("_parc"),
+        "identifier", "json", inactive.alias("_inactive"), spread_nulls(target, "identifier").alias("_target"),
+        spread_nulls(F.col("_e.extraAttributes.uniParcId"), "identifier").alias("_parc"),
     )
     merged = entries.filter(~F.contains(F.coalesce(F.get_json_object("json", "$.entryType"), F.lit("")), F.lit("Inactive")))
     step = step.join(merged.select(F.col("accession").alias("_target"), F.col("json").alias("_merged")), "_target", "left")

@@ -14,8 +14,10 @@ from . import distances
 from .arrays import matrix, vector
 from .neighbors import distance_ranks, knn
 from .ordering import one_row, with_position
-from .sweep import assign_blocks, bounds, sweep, visit_table
+from .sweep import assign_blocks, bounds, hash_blocks, sweep, visit_table
+from ..functions.cells import first_functional_keyword
 from ..functions.scalars import is_valid_label
+from .align import first_wins
 
 DEFAULT_K = 15
 
@@ -189,14 +191,18 @@ def silhouette(
     coded = coded.join(groups.drop("_classes"), by)
     points = cut_lineage(coded.select(F.monotonically_increasing_id().alias("gid"), "w", "cls", "grp", "vec"))
     shifted, gap = separate_groups(points, "grp")
-    blocks = assign_blocks(shifted, "euclidean", block_rows)
-    visits = None
-    if gap is not None:
+    if gap is None:
+        # every class matters to every point: nothing to leave out
+        rows, n_blocks = hash_blocks(shifted, shifted.count(), block_rows)
+        visits = None
+    else:
+        blocks = assign_blocks(shifted, "euclidean", block_rows)
         near = [np.flatnonzero(bounds(blocks, row)[0] < gap) for row in range(len(blocks.ids))]
         visits = visit_table(df.sparkSession, blocks, near)
+        rows, n_blocks = blocks.points, len(blocks.ids)
     scored = sweep(
-        blocks.points.drop("grp"), blocks.points.drop("grp"), lambda: _Silhouette(gap),
-        "gid bigint, w bigint, silhouette double", len(blocks.ids), visits, ["cls"],
+        rows.drop("grp"), rows.drop("grp"), lambda: _Silhouette(gap),
+        "gid bigint, w bigint, silhouette double", n_blocks, visits, ["cls"],
     )
     mean = scored.join(points.select("gid", "grp"), "gid").groupBy("grp").agg(
         (F.sum(F.col("silhouette") * F.col("w")) / F.sum("w")).alias("silhouette")
@@ -301,6 +307,28 @@ def min_class_labels(df: DataFrame, label_col: str, min_size: int, drop_rows: bo
     return marked.withColumn(label_col, F.when(F.col("_ok"), F.col(label_col))).select(df.columns)
 
 
+def labels_from_annotations(
+    annotations: DataFrame, headers: DataFrame, column: str = "keyword", filter_keywords: bool = True,
+    min_class_size: int = 3, id_col: str | None = None,
+) -> DataFrame:
+    """One label per header from an annotation column (NULL where none).
+
+    For keywords the first functional one is taken; classes below the minimum
+    size lose their label. The id column is ``protein_id`` or ``identifier``.
+    """
+    if column not in annotations.columns:
+        raise ValueError(f"Column '{column}' not found. Available: {sorted(annotations.columns)}")
+    id_col = id_col or next((c for c in ("protein_id", "identifier") if c in annotations.columns), None)
+    if id_col is None:
+        raise ValueError("No identifier column found; expected 'protein_id' or 'identifier'.")
+    raw = F.col(column)
+    label = first_functional_keyword(raw) if filter_keywords and column == "keyword" else F.when(raw != "", raw)
+    labelled = annotations.select(F.col(id_col).alias("identifier"), label.alias("label"))
+    if min_class_size > 1:
+        labelled = min_class_labels(labelled, "label", min_class_size)
+    return headers.join(first_wins(labelled, "identifier", ["label"]), "identifier", "left")
+
+
 def label_summary(df: DataFrame, label_col: str = "label") -> DataFrame:
     return df.agg(
         F.count("*").alias("n_total"),

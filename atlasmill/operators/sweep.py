@@ -115,6 +115,14 @@ def assign_blocks(points: DataFrame, metric: str = "euclidean", block_rows: int
     )
 
 
+def hash_blocks(points: DataFrame, rows: int, block_rows: int = 4096) -> tuple[DataFrame, int]:
+    """Blocks by hash of ``gid``, for sweeps in which every block meets every other."""
+    width = max(points.sparkSession.sparkContext.defaultParallelism, 1)
+    target = max(min(block_rows, max(64, math.ceil(rows / (2 * width)))), math.ceil(rows / MAX_PIVOTS))
+    n_blocks = max(1, math.ceil(rows / target))
+    return points.withColumn("block", F.pmod(F.xxhash64("gid"), F.lit(n_blocks)).cast("int")), n_blocks
+
+
 def center_gap(blocks: Blocks, row: int) -> np.ndarray:
     """Distance of one block centre to all block centres."""
     diff = blocks.centers - blocks.centers[row]

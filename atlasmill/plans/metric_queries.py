@@ -307,6 +307,35 @@ def evaluate_projections(spark, d):
     return out.select("projection_name", "n", r6("length_r2").alias("length_r2"), r6("knn_purity").alias("knn_purity"))
 
 
+EVAL_BOOT = """
+  WITH l AS (SELECT vec_id AS id, label, n_chars::double AS t, embedding AS e FROM embeddings JOIN documents ON doc_id = vec_id),
+  k AS (SELECT l.*, r.round, row_number() OVER (PARTITION BY r.round ORDER BY md5(concat(cast(id AS varchar), '#', cast(r.round AS varchar))), id) AS rn
+        FROM l, (SELECT unnest(range(0, 3)) AS round) r),
+  b AS (SELECT * FROM k WHERE rn <= (SELECT cast(floor(count(*) * 0.8) AS bigint) FROM l)),
+  p AS (SELECT round, 'A' AS projection_name, id, label, t, e[1]::double AS x0, e[2]::double AS y0 FROM b UNION ALL SELECT round, 'B', id, label, t, e[3]::double, e[4]::double FROM b),
+  j AS (SELECT p.*, (x0 - avg(x0) OVER w) / stddev_pop(x0) OVER w AS x, (y0 - avg(y0) OVER w) / stddev_pop(y0) OVER w AS y FROM p WINDOW w AS (PARTITION BY round, projection_name)),
+  m AS (SELECT round, projection_name, var_samp(x) AS sxx, var_samp(y) AS syy, var_samp(t) AS stt, covar_samp(x, y) AS sxy, covar_samp(x, t) AS sxt, covar_samp(y, t) AS syt FROM j GROUP BY 1, 2),
+  lo AS (SELECT a.round, a.projection_name, a.id AS i, a.label AS li, c.label AS lj, row_number() OVER (PARTITION BY a.round, a.projection_name, a.id ORDER BY (a.x - c.x) * (a.x - c.x) + (a.y - c.y) * (a.y - c.y), c.id) AS rl
+         FROM j a JOIN j c ON a.round = c.round AND a.projection_name = c.projection_name AND a.id <> c.id)
+  SELECT round, projection_name, 'length_r2' AS metric, round((syy * sxt * sxt - 2 * sxy * sxt * syt + sxx * syt * syt) / ((sxx * syy - sxy * sxy) * stt), 6) AS value FROM m
+  UNION ALL SELECT round, projection_name, 'knn_purity', round(avg(CASE WHEN li = lj THEN 1.0 ELSE 0.0 END), 6) FROM lo WHERE rl <= 10 GROUP BY 1, 2
+"""
+
+
+@query("bootstrap_evaluation", EVAL_BOOT)
+def bootstrap_evaluation(spark, d):
+    emb = table(spark, d, "embeddings")
+    pick = lambda name, a: emb.select(
+        F.lit(name).alias("projection_name"), F.col("vec_id").alias("identifier"),
+        F.col("embedding")[a].cast("double").alias("x"), F.col("embedding")[a + 1].cast("double").alias("y"),
+    )
+    labels = emb.select(F.col("vec_id").alias("identifier"), "label").join(
+        table(spark, d, "documents").select(F.col("doc_id").alias("identifier"), F.col("n_chars").cast("double").alias("seq_length")), "identifier"
+    )
+    out = benchmark.bootstrap_evaluation(pick("A", 0).unionByName(pick("B", 2)), labels, 3)
+    return out.select(F.col("round").cast("bigint").alias("round"), "projection_name", "metric", r6("value").alias("value"))
+
+
 # ------------------------------------------------------------------ vector statistics
 
 

@@ -9,7 +9,7 @@ from ..functions import scalars
 from ..operators import align, annotate, metrics, style, view
 from ..sources import tables as table_io
 from ..sources.bundle import annotations_output
-from ..sources.vectors import similarity_edges
+from ..sources.vectors import first_rows, inspect_vectors, similarity_edges, subset_limit
 from .registry import query, r6, table
 
 # ------------------------------------------------------------------ alignment
@@ -516,13 +516,61 @@ def table_sizes(spark, d):
 @query("mean_pool", """
   SELECT conv_id, round(avg(length(text)), 6) AS mean_chars, round(avg(turn), 6) AS mean_turn FROM conversations GROUP BY 1""")
 def mean_pool(spark, d):
-    turns = table(spark, d, "conversations").groupBy("conv_id").agg(
-        F.collect_list(F.array(F.length("text").cast("double"), F.col("turn").cast("double"))).alias("residues")
+    turns = table(spark, d, "conversations").select(
+        "conv_id", F.array(F.length("text").cast("double"), F.col("turn").cast("double")).alias("vec")
     )
-    pooled = align.mean_pool(turns)
+    pooled = align.mean_pool_rows(turns, "conv_id")
     return pooled.select("conv_id", r6(F.col("vec")[0]).alias("mean_chars"), r6(F.col("vec")[1]).alias("mean_turn"))
 
 
+@query("mature_lengths", """
+  SELECT doc_id, length(substr(text, cast(10 + doc_id % 30 AS integer) + 1)) AS length, source FROM documents""")
+def mature_lengths(spark, d):
+    docs = table(spark, d, "documents")
+    values = docs.select("doc_id", F.length(scalars.mature_sequence("text", F.col("doc_id") % 30 + 10)).cast("bigint").alias("length"))
+    base = docs.select("doc_id", F.lit(0).cast("bigint").alias("length"), "source", "lang")
+    return align.keep_columns(align.replace_column(base, values, "length", "doc_id"), ["doc_id", "length", "gone", "source"])
+
+
+@query("inspect_vectors", """
+  SELECT count(*) AS entries, min(len(embedding)) AS dim_min, max(len(embedding)) AS dim_max,
+         round(min(list_min(embedding))::double, 6) AS value_min, round(max(list_max(embedding))::double, 6) AS value_max FROM embeddings""")
+def inspect_vectors_query(spark, d):
+    out = inspect_vectors(table(spark, d, "embeddings"), "embedding")
+    return out.select("entries", "dim_min", "dim_max", r6("value_min").alias("value_min"), r6("value_max").alias("value_max"))
+
+
+@query("first_rows", """
+  SELECT doc_id FROM documents ORDER BY doc_id LIMIT (SELECT greatest(1, least(300, cast(ceil(0.1 * count(*)) AS bigint))) FROM documents)""")
+def first_rows_query(spark, d):
+    docs = table(spark, d, "documents").select("doc_id")
+    return first_rows(docs, "doc_id", subset_limit(docs.count(), 0.1, 300))
+
+
+@query("labels_from_annotations", """
+  WITH k AS (SELECT doc_id, [x FOR x IN ['Signal', CASE WHEN doc_id % 3 = 0 THEN 'Toxin' ELSE source END, lang] IF x NOT IN ('Signal', 'Toxin')][1] AS label FROM documents),
+  m AS (SELECT doc_id, CASE WHEN count(*) OVER (PARTITION BY label) >= 20 THEN label END AS label FROM k)
+  SELECT vec_id AS identifier, m.label FROM embeddings LEFT JOIN m ON doc_id = vec_id""")
+def labels_from_annotations(spark, d):
+    kw = F.concat(
+        F.lit("KW-1 (Signal);KW-2 ("), F.when(F.col("doc_id") % 3 == 0, F.lit("Toxin")).otherwise(F.col("source")), F.lit(");"), "lang"
+    )
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("identifier"), kw.alias("keyword"))
+    headers = table(spark, d, "embeddings").select(F.col("vec_id").alias("identifier"))
+    return metrics.labels_from_annotations(docs, headers, min_class_size=20)
+
+
+@query("pinned_settings", FREQ + """,
+  cand AS (SELECT value, row_number() OVER (ORDER BY n DESC, value) - 1 AS place FROM f WHERE annotation = 'name' AND value NOT IN ('', '<NA>', 'NaN', '__NA__')),
+  pal AS (SELECT ['#F3C300', '#875692', '#F38400', '#A1CAF1', '#BE0032', '#C2B280', '#008856'] AS c)
+  SELECT 'name' AS annotation, value, cast(place AS integer) AS zorder, c[place + 1] AS color, 'circle' AS shape FROM cand, pal WHERE place < 7
+  UNION ALL SELECT 'name', '__NA__', 7, '#DDDDDD', 'circle'""")
+def pinned_settings(spark, d):
+    freq = style.value_frequencies(_annotation_table(spark, d))
+    settings = style.build_settings(freq, overrides={"name": {"pinnedValues": [style.REST, ""], "maxVisibleValues": 8}})
+    return style.settings_rows(settings, spark)
+
+
 # ------------------------------------------------------------------ views
 
 PLOT = "SELECT vec_id AS identifier, round(embedding[1]::double, 6) AS x, round(embedding[2]::double, 6) AS y, "
