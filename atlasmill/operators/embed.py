@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import task_width
+from ..session import map_arrow, task_width
 from .align import fan_out, unique_sequences
 from .arrays import list_column
 
@@ -91,7 +91,7 @@ def embed(df: DataFrame, model: Model, id_col: str = "identifier", seq_col: str
                     [batch.column(0), list_column(vecs, pa.float32())], names=[seq_col, "vec"]
                 )
 
-    done = ordered.mapInArrow(run, f"`{seq_col}` string, vec array<float>")
+    done = map_arrow(ordered, run, f"`{seq_col}` string, vec array<float>")
     return fan_out(done, rows.select(id_col, seq_col), seq_col).select(id_col, "vec")
 
 

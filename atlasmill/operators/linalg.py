@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import map_arrow
 from .arrays import list_column, matrix, vector
 from .ordering import one_row
 
@@ -104,8 +105,8 @@ def moments(df: DataFrame, vec_col: str = "vec") -> Moments:
 
     schema = "n bigint, mean array<double>, scatter array<double>"
     fan_in = max(1, min(64, FAN_IN_BYTES // (8 * dim * dim)))
-    parts = df.select(F.col(vec_col).cast("array<double>").alias("vec")).mapInArrow(partial, schema)
-    parts = parts.repartition(fan_in).mapInArrow(combine, schema)
+    parts = map_arrow(df.select(F.col(vec_col).cast("array<double>").alias("vec")), partial, schema)
+    parts = map_arrow(parts.repartition(fan_in), combine, schema)
     rows = parts.collect()  # at most fan_in summaries of bounded size
     n, mean, scatter = _merge(
         [(r["n"], np.array(r["mean"]), np.array(r["scatter"]).reshape(dim, dim)) for r in sorted(rows)]
@@ -142,7 +143,7 @@ def project(df: DataFrame, shift: np.ndarray, axes: np.ndarray, vec_col: str = "
                 [batch.column(n) for n in names] + [list_column(coords)], names=[*names, out]
             )
 
-    return df.select(*names, F.col(vec_col).cast("array<double>").alias(vec_col)).mapInArrow(run, schema)
+    return map_arrow(df.select(*names, F.col(vec_col).cast("array<double>").alias(vec_col)), run, schema)
 
 
 def fix_signs(axes: np.ndarray) -> np.ndarray:

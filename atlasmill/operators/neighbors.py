@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut_lineage
+from ..session import cut_lineage, map_arrow
 from . import distances
 from .arrays import list_column, matrix, vector
 from .sweep import Blocks, assign_blocks, bounds, knn_visits, sweep, visit_table
@@ -45,11 +45,14 @@ class _TopK:
         rows, scores, ids = [], [], []
         for part in distances.tiles(len(self.gid), len(other)):
             rough, slack = distances.screen(self.vec[part], vec, self.metric)
-            limit = self.kth[part]
+            limit = self.kth[part] + 2 * slack
+            near = rough <= limit[:, None]
             need = self.k + 1  # the row itself may be among them
-            if len(other) > need:
-                limit = np.minimum(limit, np.partition(rough, need - 1, axis=1)[:, need - 1])
-            r, c = np.nonzero(rough <= (limit + 2 * slack)[:, None])
+            if len(other) > need and np.count_nonzero(near) > 8 * need * len(rough):
+                # no useful bound yet: take one from this batch
+                kth = np.partition(rough, need - 1, axis=1)[:, need - 1]
+                near = rough <= np.minimum(limit, kth + 2 * slack)[:, None]
+            r, c = np.nonzero(near)
             r += part.start
             keep = self.gid[r] != other[c]
             r, c = r[keep], c[keep]
@@ -103,15 +106,23 @@ class _CountCloser:
     def step(self, batch: pa.RecordBatch) -> None:
         vec = matrix(batch.column("vec"))
         w = vector(batch.column("w"), np.int64)
-        weights = w.astype(np.float64)
+        heavy = np.flatnonzero(w > 1)
+        surplus = (w[heavy] - 1).astype(np.float64)
         for part in distances.tiles(len(self.vec), len(w)):
             rough, slack = distances.screen(self.vec[part], vec, self.metric)
+            heavy_rough = rough[:, heavy] if len(heavy) else None
             for q in range(self.score.shape[1]):
                 limit = self.score[part, q][:, None]
-                sure = rough < limit - 2 * slack
-                add = np.rint(sure @ weights).astype(np.int64)
-                r, c = np.nonzero(~sure & (rough <= limit + 2 * slack))
-                if len(r):
+                below = np.count_nonzero(rough < limit - 2 * slack, axis=1)
+                upto = np.count_nonzero(rough <= limit + 2 * slack, axis=1)
+                add = below.astype(np.int64)
+                if heavy_rough is not None:
+                    add += np.rint((heavy_rough < limit - 2 * slack) @ surplus).astype(np.int64)
+                open_rows = np.flatnonzero(upto > below)
+                if len(open_rows):
+                    some, bar = rough[open_rows], limit[open_rows]
+                    r, c = np.nonzero(~(some < bar - 2 * slack) & (some <= bar + 2 * slack))
+                    r = open_rows[r]
                     close = distances.exact(self.vec[part][r], vec[c], self.metric) < limit[r, 0]
                     np.add.at(add, r[close], w[c[close]])
                 self.total[part, q] += add
@@ -192,7 +203,7 @@ def _unit(df: DataFrame) -> DataFrame:
                 names=["key", "vec"],
             )
 
-    return df.mapInArrow(scale, "key bigint, vec array<double>")
+    return map_arrow(df, scale, "key bigint, vec array<double>")
 
 
 def _distance(score: Column, metric: str) -> Column:
@@ -265,7 +276,7 @@ def pair_scores(pairs: DataFrame, points: DataFrame, metric: str) -> DataFrame:
                 [b.column(n) for n in keep] + [pa.array(distances.exact(a, c, metric))], names=[*keep, "score"]
             )
 
-    return joined.select(*keep, "va", "vb").mapInArrow(measure, f"{kinds}, score double")
+    return map_arrow(joined.select(*keep, "va", "vb"), measure, f"{kinds}, score double")
 
 
 def distance_ranks(

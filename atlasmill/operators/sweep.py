@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, map_arrow
 from . import distances
 from .arrays import list_column, matrix
 
@@ -84,7 +84,7 @@ def assign_blocks(points: DataFrame, metric: str = "euclidean", block_rows: int
                 names=[*names, "vec", "cell", "reach"],
             )
 
-    located = cut_lineage(points.select(*names, "vec").mapInArrow(locate, out_schema))
+    located = cut_lineage(map_arrow(points.select(*names, "vec"), locate, out_schema))
     cells = {r["cell"]: r["n"] for r in located.groupBy("cell").agg(F.count("*").alias("n")).collect()}
     first, plan = 0, []
     for cell in sorted(cells):
@@ -223,4 +223,4 @@ def sweep(
                 state.step(piece)
         yield from close()
 
-    return stream.mapInArrow(run, schema)
+    return map_arrow(stream, run, schema)

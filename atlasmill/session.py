@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,6 +34,30 @@ def build_session(app_name: str = "atlasmill", master: str | None = None, **conf
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers (once per context).
+
+    Code that runs in tasks is imported there by name; the workers need not
+    share the driver's working directory or search path.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_atlasmill_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="atlasmill-package-")) / "atlasmill.zip"
+    with zipfile.ZipFile(archive, "w") as bundle:
+        for path in sorted(root.rglob("*.py")):
+            bundle.write(path, path.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    context._atlasmill_shipped = True
+
+
+def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
+    """``mapInArrow`` with the package available to the workers."""
+    ship_package(df.sparkSession)
+    return df.mapInArrow(function, schema)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster.
 
