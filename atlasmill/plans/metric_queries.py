@@ -183,7 +183,7 @@ def macro_f1_votes(spark, d):
 
 @query("macro_f1")
 def macro_f1(spark, d):
-    return metrics.macro_f1(_points(spark, d).filter("label < 4")).select(r6("macro_f1").alias("macro_f1"))
+    return metrics.macro_f1(_points(spark, d)).select(r6("macro_f1").alias("macro_f1"))
 
 
 R2 = """m AS (SELECT {by} var_samp(x) AS sxx, var_samp(y) AS syy, var_samp(t) AS stt, covar_samp(x, y) AS sxy, covar_samp(x, t) AS sxt, covar_samp(y, t) AS syt FROM j {group})

@@ -52,7 +52,8 @@ def pca3(spark, d):
 
 @query("ppca_explicit")
 def ppca_explicit(spark, d):
-    rows, _ = backgrounds.explicit_background(_vectors(spark, d).filter("identifier % 4 = 0"))
+    other = table(spark, d, "embeddings").filter("label = 1").select(F.col("vec_id").alias("identifier"), F.col("embedding").alias("vec"))
+    rows, _ = backgrounds.explicit_background(other)
     return _out(linalg.contrastive_pca(_vectors(spark, d), rows, 2)[0], 2)
 
 

@@ -359,9 +359,9 @@ def residue_preparation(spark, d):
 
 @query("fasta_records", """
   SELECT item_id, concat('>b', cast(item_id AS varchar), chr(10),
-    regexp_replace(regexp_replace(text, '\\s', '', 'g'), '(.{60})', '\\1' || chr(10), 'g')) AS record,
+    rtrim(regexp_replace(regexp_replace(text, '\\s', '', 'g'), '(.{60})', '\\1' || chr(10), 'g'), chr(10))) AS record,
     length(regexp_replace(text, '\\s', '', 'g')) AS residues
-  FROM benchmark WHERE length(regexp_replace(text, '\\s', '', 'g')) % 60 <> 0""")
+  FROM benchmark""")
 def fasta_records(spark, d):
     from ..sources.sequences import fasta_lines
 
@@ -372,7 +372,7 @@ def fasta_records(spark, d):
     lines = fasta_lines(rows, 60).withColumnRenamed("value", "record")
     joined = lines.withColumn("item_id", F.regexp_extract("record", r"^>b(\d+)", 1).cast("bigint"))
     size = F.length(F.regexp_replace(F.regexp_replace("record", r"^>[^\n]*\n", ""), "\n", ""))
-    return joined.select("item_id", "record", size.cast("bigint").alias("residues")).filter("residues % 60 <> 0")
+    return joined.select("item_id", "record", size.cast("bigint").alias("residues"))
 
 
 # ------------------------------------------------------------------ JSON entries
@@ -470,6 +470,47 @@ def entry_properties(spark, d):
     return entry.select_properties(_entries(spark, d), "json", names)
 
 
+JOB_KEY = """concat('A0A', substr(lpad(cast(p_partkey % 1000000 AS varchar), 6, '0'), 1, 3), 'A', substr(lpad(cast(p_partkey % 1000000 AS varchar), 6, '0'), 4, 3))"""
+
+
+@query("annotation_job", f"""
+  SELECT {JOB_KEY} AS identifier, concat('1.1.1.', cast(p_size AS varchar), coalesce(' (' || n_name || ')', ''), '|EXP;2.7.1.', cast(p_size AS varchar)) AS ec,
+    concat('KW-', cast(p_partkey AS varchar), ' (', p_type, ');KW-1 (', p_brand, ')') AS keyword, cast(length(p_name) AS varchar) AS length,
+    CASE WHEN p_partkey % 3 = 0 THEN 'yes' ELSE '' END AS fragment, concat(p_name, ' family') AS protein_families, 'True' AS xref_pdb,
+    concat(p_name, '|IDA') AS go_mf, p_name AS gene_name, p_name AS protein_name, concat(p_brand, '_X') AS uniprot_kb_id, p_type AS species,
+    concat('PF', cast(p_size AS varchar), ' (', p_brand, ')|1.5') AS pfam
+  FROM part LEFT JOIN nation ON n_nationkey = p_size""")
+def annotation_job(spark, d):
+    from .annotate_job import SourceTables, annotate_headers
+
+    parts = table(spark, d, "part").selectExpr(
+        "p_partkey AS identifier", "p_name", "p_brand", "p_type", "p_size", f"{JOB_KEY.replace('varchar', 'string')} AS accession"
+    )
+    entries = _entries(spark, d).join(parts.select("identifier", "accession"), "identifier").select("accession", "json")
+    lineages = parts.select(F.to_json(F.struct(
+        F.col("identifier").alias("taxonId"), F.lit("species").alias("rank"), F.col("p_type").alias("scientificName"),
+        F.array().cast("array<struct<rank:string,scientificName:string>>").alias("lineage"),
+    )).alias("doc"))
+    names = table(spark, d, "nation").select(F.concat(F.lit("1.1.1."), F.col("n_nationkey").cast("string")).alias("code"), F.col("n_name").alias("name"))
+    headers = parts.select(F.col("accession").alias("identifier"))
+    # one match document per distinct sequence would mix brands; each part gets its own sequence
+    own = parts.select(F.col("accession").alias("identifier"), F.concat("accession", "p_name").alias("sequence"))
+    match = F.struct(
+        F.struct(
+            F.concat(F.lit("PF"), F.col("p_size").cast("string")).alias("accession"), F.col("p_brand").alias("name"),
+            F.struct(F.lit("pfam").alias("library")).alias("signatureLibraryRelease"),
+        ).alias("signature"), F.lit("1.5").alias("score"),
+    )
+    docs = parts.select(F.to_json(F.struct(
+        F.md5(F.concat("accession", "p_name").cast("binary")).alias("md5"), F.lit(True).alias("found"), F.array(match).alias("matches")
+    )).alias("doc"))
+    fields = ["ec", "keyword", "length", "fragment", "protein_families", "xref_pdb", "go_mf", "species", "pfam"]
+    out, _ = annotate_headers(
+        headers, fields, SourceTables(entries=entries, lineages=lineages, matches=docs, enzyme_names=names), sequences=own
+    )
+    return out
+
+
 @query("entry_feature_maps", """
   SELECT p_partkey AS identifier, cast(p_size AS bigint) AS signal_end, 1 AS n_go, p_name AS first_term FROM part""")
 def entry_feature_maps(spark, d):

@@ -2,10 +2,39 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def cached_table(spark: SparkSession, path: str, build: Callable[[], DataFrame], max_age_days: float = 7.0) -> DataFrame:
+    """A dictionary kept as Parquet; rebuilt when older than ``max_age_days``.
+
+    When the rebuild fails a stale copy is used if there is one.
+    """
+    stored = None
+    try:
+        stored = spark.read.parquet(path)
+        newest = stored.select(F.max("_metadata.file_modification_time").cast("double").alias("t")).first()["t"]
+        if newest is not None and time.time() - newest < max_age_days * 86400:
+            return stored
+    except Exception as err:  # noqa: BLE001 - nothing stored yet
+        if "PATH_NOT_FOUND" not in str(err):
+            raise
+    try:
+        # written beside the old copy first: a failing build leaves that one whole
+        fresh = f"{path}.next"
+        build().write.mode("overwrite").parquet(fresh)
+        spark.read.parquet(fresh).write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path)
+    except Exception:  # noqa: BLE001 - fall back to what is there
+        if stored is None:
+            raise
+        return stored
+
+
 def read_enzyme_names(spark: SparkSession, path: str) -> DataFrame:
     """Enzyme flat file (``ID`` / ``DE`` lines, ``//`` between entries) -> (code, name)."""
     entry = spark.read.option("lineSep", "//\n").text(path)

@@ -347,12 +347,18 @@ def test_bootstrap_size_is_exact(spark):
     assert sizes == {0: 797, 1: 797, 2: 797}
 
 
-def test_benchmark_methods(spark):
+def test_benchmark_methods(spark, tmp_path):
     x, label = clusters(80)
     df = frame(spark, x, label=[int(v) for v in label])
     measures = {"trust": benchmark.trust_metric(5), "sil": benchmark.silhouette_metric(), "acc": benchmark.accuracy_metric(5), "bad": lambda rows: 1 / 0}
     results, rows = benchmark.benchmark_methods(df, ["pca", "nope"], measures=measures)
     got = {(r["method"], r["metric"]): r["value"] for r in rows.collect()}
     assert got[("pca", "trust")] > 0.7 and got[("pca", "acc")] > 0.5 and got[("pca", "bad")] is None and ("nope", "error") in got
+    from atlasmill.sources import bundle
+
+    benchmark.write_benchmark(results, rows, df.select("identifier", "label"), str(tmp_path))
+    ann, info, data, _ = bundle.read_tables(spark, str(tmp_path))
+    assert data.count() == 80 and info.first()["projection_name"] == "pca" and ann.columns == ["protein_id", "label"]
+    assert spark.read.csv(f"{tmp_path}/metrics.csv", header=True).count() == rows.count()
     sweep = benchmark.contrastive_sweep(df, frame(spark, np.random.default_rng(0).normal(size=(50, 12))), [1e-3, 1e-1], [True])
     assert sweep.count() == 2

@@ -215,3 +215,26 @@ def test_view(spark):
     assert abs(box["x_min"] + 3.15) < 1e-6 and abs(box["y_max"] - 4.2) < 1e-6
     assert view.highlight(frame, ["2"]).count() == 1
     assert [r["value"] for r in view.category_legend(ann(spark), "fam").orderBy("position").collect()][0] == ""
+
+
+def test_replace_column_and_pooling(spark):
+    base = spark.createDataFrame([("a", 1, "x"), ("b", 2, "y")], "identifier string, n int, s string")
+    new = spark.createDataFrame([("a", 10), ("b", 20)], "identifier string, n int")
+    assert sorted(tuple(r) for r in align.replace_column(base, new, "n").collect()) == [("a", 10, "x"), ("b", 20, "y")]
+    with pytest.raises(Exception, match="no n for b"):
+        align.replace_column(base, new.filter("n < 15"), "n").collect()
+    assert align.keep_columns(base, ["s", "gone", "n"]).columns == ["s", "n"]
+    rows = spark.createDataFrame([("a", [1.0, 2.0]), ("a", [3.0, 6.0]), ("b", [0.0, 1.0])], "identifier string, vec array<double>")
+    assert {r["identifier"]: r["vec"] for r in align.mean_pool_rows(rows).collect()} == {"a": [2.0, 4.0], "b": [0.0, 1.0]}
+
+
+def test_labels_from_annotations(spark):
+    from atlasmill.operators import metrics
+
+    rows = [("1", "KW-1 (Signal);KW-2 (Kinase)"), ("2", "Kinase"), ("3", "Ligase"), ("4", ""), ("5", "Secreted")]
+    table = spark.createDataFrame(rows, "protein_id string, keyword string")
+    heads = spark.createDataFrame([(str(i),) for i in range(1, 7)], "identifier string")
+    got = {r["identifier"]: r["label"] for r in metrics.labels_from_annotations(table, heads, min_class_size=2).collect()}
+    assert got == {"1": "Kinase", "2": "Kinase", "3": None, "4": None, "5": None, "6": None}
+    with pytest.raises(ValueError, match="not found"):
+        metrics.labels_from_annotations(table, heads, "gone")

@@ -167,3 +167,39 @@ def test_bundle(spark, tmp_path):
     assert bundle.inspect(spark, folder, 1)[bundle.PART_NAMES[2]]["rows"] == 2
     with pytest.raises(ValueError):
         bundle.split_parts(b"only one")
+
+
+def test_cached_dictionary(spark, tmp_path):
+    path, calls = str(tmp_path / "d"), []
+
+    def build():
+        calls.append(1)
+        return spark.createDataFrame([("a", str(len(calls)))], "code string, name string")
+
+    def broken():
+        raise RuntimeError("source is down")
+
+    with pytest.raises(RuntimeError):
+        dictionaries.cached_table(spark, path, broken)
+    assert dictionaries.cached_table(spark, path, build).first()["name"] == "1"
+    assert dictionaries.cached_table(spark, path, build).first()["name"] == "1" and len(calls) == 1
+    assert dictionaries.cached_table(spark, path, broken, max_age_days=0).first()["name"] == "1"
+    assert dictionaries.cached_table(spark, path, build, max_age_days=0).first()["name"] == "2"
+
+
+def test_structures(spark, tmp_path):
+    import base64
+    import zipfile
+
+    from atlasmill.sources import structures
+
+    (tmp_path / "s").mkdir()
+    (tmp_path / "s" / "A.1.pdb").write_text("ATOM")
+    (tmp_path / "s" / "note.txt").write_text("x")
+    row = structures.read_structures(spark, str(tmp_path / "s")).collect()
+    assert [(r["identifier"], r["kind"], base64.b64decode(r["content"])) for r in row] == [("A_1", "pdb", b"ATOM")]
+    with zipfile.ZipFile(tmp_path / "z.zip", "w") as z:
+        z.writestr("dir/B.cif", "data_B")
+        z.writestr("readme.md", "x")
+    row = structures.read_structure_archives(spark, str(tmp_path / "z.zip")).collect()
+    assert [(r["identifier"], base64.b64decode(r["content"])) for r in row] == [("B", b"data_B")]
