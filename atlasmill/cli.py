@@ -32,7 +32,7 @@ def _params(args: argparse.Namespace) -> ReducerParams:
 
 def parse_refetch(text: str | None) -> frozenset[str]:
     """Stage names; ``all`` and ``annotations`` are shorthands."""
-    sources = {"uniprot", "taxonomy", "interpro", "ted", "biocentral"}
+    sources = {"uniprot", "taxonomy", "interpro", "ted", "predictions"}
     known = {*sources, "projections", "embeddings", "similarity", "query"}
     out: set[str] = set()
     for token in filter(None, (t.strip() for t in (text or "").split(","))):

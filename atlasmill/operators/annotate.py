@@ -12,6 +12,7 @@ from ..functions.entry import PROPERTIES, as_text, entry_struct
 from ..functions.scalars import sequence_digest
 from ..functions.transforms import transform_annotations
 from ..model import SOURCE_FIELDS
+from ..session import cut_lineage
 from .align import spread_nulls
 
 # Annotation -> library name in domain match documents.
@@ -306,6 +307,8 @@ def finish_annotations(
     ``enzyme_names(code, name)`` and ``clans(accession, clan)`` are joined in.
     """
     done = transform_annotations(merged)
+    if enzyme_names is not None or clans is not None:
+        done = cut_lineage(done)  # read once here, joined back below
     if enzyme_names is not None and "ec" in done.columns:
         done = done.drop("ec").join(name_items(done.select("identifier", "ec"), enzyme_names, "code", "name", cell_col="ec"), "identifier", "left")
     if clans is not None and "pfam" in done.columns:

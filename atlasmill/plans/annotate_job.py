@@ -101,8 +101,8 @@ def annotate_headers(
     if need["ted"] and sources.domains is not None:
         names = sources.fold_names or _empty(spark, "code string, name string")
         domains = attempt("ted", lambda: annotate.structure_domains(sources.domains, names))
-    if need["biocentral"] and sources.predictions is not None:
-        predictions = attempt("biocentral", lambda: annotate.predictions_wide(sources.predictions))
+    if need["predictions"] and sources.predictions is not None:
+        predictions = attempt("predictions", lambda: annotate.predictions_wide(sources.predictions))
     merged = annotate.merge_sources(base, taxonomy, matches, domains, predictions)
     out = annotate.finish_annotations(merged, [w for w in wanted if w not in reuse], sources.enzyme_names, sources.clans)
     if reuse:
