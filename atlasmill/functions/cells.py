@@ -68,9 +68,9 @@ def extract_categories(cell: Column | str) -> Column:
 
 def first_functional_keyword(cell: Column | str, stop_words: list[str] | None = None) -> Column:
     """First keyword of the cell that is not in the stop list, else NULL."""
-    stops = F.array(*[F.lit(s) for s in (STRUCTURAL_KEYWORDS if stop_words is None else stop_words)])
+    stops = STRUCTURAL_KEYWORDS if stop_words is None else stop_words
     names = F.transform(items(cell), strip_keyword_code)
-    kept = F.filter(names, lambda n: (n != "") & ~F.array_contains(stops, n))
+    kept = F.filter(names, lambda n: (n != "") & ~n.isin(stops))
     return F.get(kept, 0)
 
 
