@@ -134,7 +134,8 @@ def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
     size = np.linalg.norm(out, axis=1, keepdims=True)
     out = np.divide(out, size, out=np.zeros_like(out), where=size > 0)
     used = size[:, 0] > 0
-    out[used] -= out[used].mean(axis=0)
+    if used.any():
+        out[used] -= out[used].mean(axis=0)
     return out.astype(np.float32)
 
 
@@ -245,7 +246,7 @@ def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
     def rows(batch: pa.RecordBatch) -> list:
         x = np.frombuffer(b"".join(batch.column("x").to_pylist()), np.float32).reshape(batch.num_rows, -1)
-        return [batch.column("doc"), batch.column("version"), net.score(x)]
+        return [batch.column("doc"), batch.column("version"), np.round(net.score(x), 9)]  # the same in batches of any size
 
     kind = found.schema["doc"].dataType.simpleString()
     scored = arrow_task(found, f"doc {kind}, version bigint, score double", rows)
