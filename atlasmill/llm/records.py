@@ -13,6 +13,7 @@ there is a native implementation at hand.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import uuid
@@ -32,7 +33,8 @@ from .common import raw, texts
 
 #: Bytes after which a task goes on in a new file, and most bytes read at once.
 FILE_BYTES, READ_BYTES = 256 << 20, 8 << 20
-REMEMBERED, LONGEST = 400_000, 48
+#: Words remembered per task, and the longest that is.
+REMEMBERED, LONGEST = 800_000, 48
 #: Bytes of a record beside its ids.
 _FRAME = 16
 
@@ -52,54 +54,65 @@ class Encoder:
     """A byte-level vocabulary of the tokenizers library, with a bounded memory of words.
 
     Its splitting pattern never joins what stands before a single blank or line end with what follows, if there is no
-    other white space beside it; such stretches are given to the library once and remembered.
+    other white space beside it. Such words are given to the library once, many in one text with line ends
+    between them, and remembered; a line end before a word is part of its key. Texts with other or with
+    neighbouring white space are given to the library as they are.
     """
 
-    _LINE, _BLANK = re.compile(r"(?<=\S)\n(?=\S)"), re.compile(r"(?<=\S) (?=\S)")
+    _OTHER = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+    _NEIGHBOURS = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\v", "\f", "\x1c", "\x1d", "\x1e", "\x1f")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are what runs side by side
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.kind = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
-        self.kept: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
-        self.line_end = self._ids(["\n"])[0]
-
-    def _ids(self, parts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch(parts, add_special_tokens=False)]
-
-    def _stretches(self, parts: list[str], blank: bool) -> list[bytes]:
-        table = self.kept[blank]
-        new = set(parts).difference(table)
-        if new:
-            if len(table) + len(new) > REMEMBERED:
-                table.clear()
-                new = set(parts)
-            order = list(new)
-            fresh = dict(zip(order, self._ids([" " + p for p in order] if blank else order), strict=True))
-            table.update((p, ids) for p, ids in fresh.items() if len(p) <= LONGEST)
-            return [table[p] if len(p) <= LONGEST else fresh[p] for p in parts]
-        return list(map(table.__getitem__, parts))
+        self.kept: dict[str, bytes] = {}
+        self.line_end = self._library("\n")
+        if len(self.line_end) != 1:
+            raise ValueError("the vocabulary has no token for a line end")
+
+    def _library(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words that hold no line end but one in front; the others have a blank before them."""
+        out = {}
+        for at in range(0, len(words), 4096):
+            part = words[at:at + 4096]
+            ids = self._library("".join(w if w[0] == "\n" else "\n " + w for w in part))
+            edges = [*np.nonzero(ids == self.line_end[0])[0].tolist(), len(ids)]
+            if len(edges) != len(part) + 1:
+                raise ValueError("a word holds the token of a line end")
+            data, width = ids.tobytes(), self.kind.itemsize
+            for w, a, b in zip(part, edges, edges[1:], strict=False):
+                out[w] = data[(a + (w[0] != "\n")) * width:b * width]
+        return out
 
     def encode(self, text: str) -> bytes:
         """Ids of a text, without special tokens; strings that look like one are ordinary text."""
         if not text:
             return b""
-        out: list[bytes] = []
-        heads, rests = [], []
-        for line in self._LINE.split(text):
-            first, *rest = self._BLANK.split(line)
-            heads.append(first)
-            rests.append(rest)
-        front = self._stretches(heads, False)
-        behind = iter(self._stretches([p for rest in rests for p in rest], True))
-        for i, rest in enumerate(rests):
-            if i:
-                out.append(self.line_end)
-            out.append(front[i])
-            out += [next(behind) for _ in rest]
-        return b"".join(out)
+        if text[0].isspace() or text[-1].isspace() or any(x in text for x in self._NEIGHBOURS) or (not text.isascii() and self._OTHER.search(text)):
+            return self._library(text).tobytes()
+        words = ("\n" + text.replace("\n", " \n")).split(" ")
+        table = self.kept
+        new = set(words).difference(table)
+        if new:
+            if len(table) + len(new) > REMEMBERED:
+                table.clear()
+                new = set(words)
+            fresh = self._learn(list(new))
+            long = [w for w in fresh if len(w) > LONGEST]
+            table.update(fresh)
+            out = b"".join(map(table.__getitem__, words))
+            for w in long:
+                del table[w]
+        else:
+            out = b"".join(map(table.__getitem__, words))
+        return out[self.kind.itemsize:]  # the line end put in front
 
 
 @lru_cache(maxsize=2)
