@@ -9,7 +9,7 @@ from dataclasses import fields
 
 from pyspark.sql import functions as F
 
-from .model import ReducerParams, parse_methods, projection_name
+from .model import ReducerParams, disambiguation_suffix, parse_methods, projection_name
 from .session import build_session, release_all
 
 _PARAMS = {f.name: f.type for f in fields(ReducerParams)}
@@ -157,7 +157,7 @@ def _project(spark, args) -> None:
             if done is None:
                 print(f"skipping unknown method {spec.method}", file=sys.stderr)
                 continue
-            label = projection_name(name, spec.method, spec.dims)
+            label = projection_name(name, spec.method, spec.dims, disambiguation_suffix(spec, specs))
             mode = "append" if entries else "overwrite"
             projection_rows(done[0], label, spec.dims).write.mode(mode).parquet(f"{args.output}/projections_data.parquet")
             entries.append((label, spec.dims, done[1]))

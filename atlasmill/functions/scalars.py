@@ -93,17 +93,17 @@ def wrap_text(sequence: Column | str, width: int = 80) -> Column:
     return F.regexp_replace(as_col(sequence), f"(.{{{width}}})(?=.)", "$1\n")
 
 
-def natural_sort_key(text: Column | str, width: int = 20) -> Column:
+def natural_sort_key(text: Column | str) -> Column:
     """Sortable text in which ``a2`` precedes ``a10``.
 
-    Digit runs lose leading zeros, get their length in front (so longer runs
-    sort later) and letters are lower-cased.
+    Digit runs lose leading zeros, get their length in front (ten digits, which
+    any string's length fits, so longer runs sort later) and letters are lower-cased.
     """
     pieces = F.regexp_extract_all(F.lower(as_col(text)), F.lit(r"([0-9]+|[^0-9]+)"), F.lit(1))
 
     def piece_key(p: Column) -> Column:
         digits = F.regexp_replace(p, "^0+(?=[0-9])", "")
-        return F.when(p.rlike("^[0-9]"), F.lpad(digits, width, "0")).otherwise(p)
+        return F.when(p.rlike("^[0-9]"), F.concat(F.lpad(F.length(digits).cast("string"), 10, "0"), digits)).otherwise(p)
 
     return F.array_join(F.transform(pieces, piece_key), "")
 

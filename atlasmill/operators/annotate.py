@@ -37,21 +37,6 @@ TAXON_SCHEMA = (
 DOMAIN_SCHEMA = "struct<annotations:array<struct<ted_domain_no:int,cath_label:string,plddt:double>>>"
 
 
-IN_CELL_NAMES = 1000
-
-
-def lookup_map(df: DataFrame, key: str, value: str) -> Column:
-    """A small dictionary as a map literal for lookups inside cells.
-
-    Map lookups are linear, so this is for a thousand names at most;
-    :func:`name_items` and :func:`clans_by_join` take dictionaries of any size.
-    """
-    rows = df.select(key, value).limit(IN_CELL_NAMES + 1).collect()
-    if len(rows) > IN_CELL_NAMES:
-        raise ValueError(f"more than {IN_CELL_NAMES} names; use name_items or clans_by_join")
-    return F.from_json(F.lit(json.dumps({r[0]: r[1] for r in rows})), "map<string,string>")
-
-
 def name_items(cells: DataFrame, names: DataFrame, key: str, value: str, id_col: str = "identifier", cell_col: str = "cell") -> DataFrame:
     """Append ``(name)`` to the items of a cell by a join (any dictionary size).
 
@@ -60,7 +45,9 @@ def name_items(cells: DataFrame, names: DataFrame, key: str, value: str, id_col:
     exploded = cells.select(id_col, F.posexplode_outer(F.split(cell_col, ";")).alias("pos", "item"))
     code, evidence = split_last_pipe(F.trim("item"))
     exploded = exploded.select(id_col, "pos", code.alias(key), evidence.alias("_evidence"))
-    joined = exploded.join(names.select(key, F.col(value).alias("_name")), key, "left")
+    # items without a code would otherwise all meet in one task
+    spread = exploded.withColumn("_key", spread_nulls(F.nullif(F.col(key), F.lit("")), id_col))
+    joined = spread.join(names.select(F.col(key).alias("_key"), F.col(value).alias("_name")), "_key", "left")
     named = F.when(
         F.coalesce("_name", F.lit("")) != "", F.concat(F.col(key), F.lit(" ("), "_name", F.lit(")"))
     ).otherwise(F.col(key))
@@ -75,7 +62,8 @@ def clans_by_join(cells: DataFrame, clans: DataFrame, id_col: str = "identifier"
     """Sorted distinct clans of the accessions in a cell, by a join on ``clans(accession, clan)``."""
     found = F.regexp_extract_all(F.coalesce(cell_col, F.lit("")), F.lit(r"(PF\d+)"), F.lit(1))
     exploded = cells.select(id_col, F.explode_outer(F.array_distinct(found)).alias("accession"))
-    joined = exploded.join(clans.select("accession", "clan"), "accession", "left")
+    spread = exploded.withColumn("accession", spread_nulls("accession", id_col))
+    joined = spread.join(clans.select("accession", "clan"), "accession", "left")
     return joined.groupBy(id_col).agg(F.array_join(F.array_sort(F.collect_set("clan")), ";").alias("pfam_clan"))
 
 

@@ -13,7 +13,7 @@ from ..session import cut_lineage
 from . import distances
 from .arrays import matrix, vector
 from .neighbors import distance_ranks, knn
-from .ordering import one_row, with_position
+from .ordering import one_row, position_in_group, with_position
 from .sweep import assign_blocks, bounds, hash_blocks, sweep, visit_table
 from ..functions.cells import first_functional_keyword
 from ..functions.scalars import is_valid_label
@@ -338,8 +338,13 @@ def label_summary(df: DataFrame, label_col: str = "label") -> DataFrame:
 
 
 def stratified_folds(df: DataFrame, id_col: str, label_col: str, folds: int = 5, seed: int = 42) -> DataFrame:
-    """Deterministic folds: rows of a class are spread by hash of the id."""
-    return df.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), label_col, id_col), F.lit(folds)).cast("int"))
+    """Deterministic stratified folds: the rows of a class, in an order by hash, take the folds in turn.
+
+    Fold sizes of a class differ by one at most, so a class of ``folds`` rows is in every fold.
+    """
+    order = [F.xxhash64(F.lit(seed), F.col(label_col), F.col(id_col)), F.col(id_col)]
+    placed = position_in_group(df, [label_col], order, "_turn")
+    return placed.withColumn("fold", (F.col("_turn") % folds).cast("int")).drop("_turn")
 
 
 def macro_f1_from_pairs(pairs: DataFrame, truth: str = "label", predicted: str = "predicted") -> DataFrame:
@@ -366,17 +371,20 @@ def macro_f1(
     if facts["classes"] < 2 or facts["small"] < 2:
         return df.sparkSession.createDataFrame([(None,)], "macro_f1 double")
     folds = min(folds, int(facts["small"]))
-    weight = F.lit(float(facts["n"]) / facts["classes"]) / F.col("_n")
-    rows = rows.join(sizes, label_col).withColumn("weight", weight).drop("_n")
     rows = rows.withColumn("_text", F.col(label_col).cast("string"))
     indexed = StringIndexer(inputCol="_text", outputCol="target", stringOrderType="alphabetAsc").fit(rows).transform(rows)
-    ready = VectorAssembler(inputCols=["x", "y"], outputCol="features").transform(indexed)
-    ready = stratified_folds(ready, id_col, label_col, folds, seed).persist()
+    ready = stratified_folds(indexed, id_col, label_col, folds, seed)
+    ready = cut_lineage(ready.select(id_col, label_col, "target", "x", "y", "fold"))
+    ready = VectorAssembler(inputCols=["x", "y"], outputCol="features").transform(ready)
     parts = []
     for fold in range(folds):
+        train = ready.filter(F.col("fold") != fold)
+        counts = train.groupBy(label_col).agg(F.count("*").alias("_n"))
+        n, classes = counts.agg(F.sum("_n"), F.count("*")).first()
+        weighted = train.join(counts, label_col).withColumn("weight", F.lit(float(n) / classes) / F.col("_n"))
         model = LogisticRegression(
-            labelCol="target", weightCol="weight", maxIter=50, family="multinomial", regParam=1.0 / int(facts["n"])
-        ).fit(ready.filter(F.col("fold") != fold))
+            labelCol="target", weightCol="weight", maxIter=1000, family="multinomial", regParam=1.0 / int(n)
+        ).fit(weighted)
         parts.append(
             model.transform(ready.filter(F.col("fold") == fold)).select(
                 F.col("target").alias("label"), F.col("prediction").alias("predicted")

@@ -19,7 +19,6 @@ SETTING_KEYS = [
 ]
 ZORDER_MISSING = ["", "<NA>", "NaN"]
 REST = "__REST__"
-MAX_CATEGORIES = 100_000
 
 
 def unpivot(annotations: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -122,13 +121,6 @@ def check_style_values(styles: dict, freq: DataFrame) -> None:
         raise ValueError(f"Value '{absent[0]['value']}' does not exist for annotation '{absent[0]['annotation']}'")
 
 
-def _bounded(df: DataFrame, what: str) -> list:
-    rows = df.limit(MAX_CATEGORIES + 1).collect()
-    if len(rows) > MAX_CATEGORIES:
-        raise ValueError(f"more than {MAX_CATEGORIES} {what}: not a categorical annotation, pin values instead")
-    return rows
-
-
 def style_template(freq: DataFrame) -> DataFrame:
     """Pre-filled style rows, values by descending frequency: (annotation, value, color, position)."""
     color = F.when(F.col("value").isin(ZORDER_MISSING), F.lit(colors.MISSING_COLOR)).otherwise(F.lit(""))
@@ -138,7 +130,7 @@ def style_template(freq: DataFrame) -> DataFrame:
 
 def template_dict(freq: DataFrame) -> dict:
     out = {}
-    for r in sorted(_bounded(style_template(freq), "categories"), key=lambda r: (r["annotation"], r["position"])):
+    for r in sorted(style_template(freq).collect(), key=lambda r: (r["annotation"], r["position"])):
         entry = out.setdefault(r["annotation"], {
             "sortMode": "size-desc", "maxVisibleValues": 10, "shapeSize": 30, "selectedPaletteId": "kellys",
             "hiddenValues": [], "colors": {}, "shapes": {},
@@ -180,61 +172,76 @@ def state_rows(state: dict, spark) -> DataFrame:
     return df.withColumn("color", colors.rgba_to_hex("color"))
 
 
-def build_settings(
-    freq: DataFrame, state: dict | None = None, existing: dict | None = None, overrides: dict | None = None
-) -> dict:
-    """Settings document from styles and value frequencies.
+# What a settings document says where nothing else does.
+DEFAULT_SWITCHES = {
+    "enableDuplicateStackUI": False, "hiddenValues": [], "includeShapes": False, "maxVisibleValues": 10, "selectedPaletteId": "kellys",
+    "shapeSize": 30, "sortMode": "size-desc",
+}
+
+
+def _ordered(freq: DataFrame, styled: DataFrame, annotation: str, switches: dict) -> DataFrame:
+    """(annotation, value, zorder, pinned) of one annotation's visible categories.
 
-    Category order and the automatic fill are computed on the frequency table;
-    only the visible categories come back to assemble the document.
+    A style names the values it wants; without one all values of the data are there.
+    """
+    mine = freq.filter(F.col("annotation") == annotation)
+    named = styled.filter(F.col("annotation") == annotation).select("annotation", "value")
+    missing = named.join(mine, ["annotation", "value"], "left_anti").withColumn("n", F.lit(0).cast("bigint"))
+    some = named.limit(1).agg(F.count("*") > 0).scalar()
+    chosen = mine.join(named.withColumn("_named", F.lit(True)), ["annotation", "value"], "left").filter(F.col("_named") | ~some)
+    table = chosen.select("annotation", "value", "n").unionByName(missing)
+    mode, pinned = switches.get("zOrderSort") or switches["sortMode"], switches.get("pinnedValues")
+    visible = rest_autofill(table, pinned, switches["maxVisibleValues"], mode) if pinned else zorder(table, mode)
+    return visible.select("annotation", "value", "zorder", F.lit(bool(pinned)).alias("pinned"))
+
+
+def category_rows(freq: DataFrame, switches: dict[str, dict], state: dict | None = None, existing: dict | None = None) -> DataFrame:
+    """Settings as rows: (annotation, value, key, zorder, color, shape), one per visible category.
+
+    A colour is the style's, else the stored one, else (pinned lists only) the next of the palette among the
+    categories still without one; a shape is the style's, else the stored one, else a circle. ``key`` is the name of the
+    category in a document. Any number of categories stays in Spark.
     """
     spark = freq.sparkSession
+    styled = state_rows(state or {}, spark)
+    stored = settings_rows(existing or {}, spark).withColumnsRenamed({"color": "old_color", "shape": "old_shape"}).drop("zorder")
+    parts = [_ordered(freq, styled, a, s) for a, s in sorted(switches.items())]
+    if not parts:
+        return spark.createDataFrame([], "annotation string, value string, key string, zorder int, color string, shape string")
+    placed = parts[0]
+    for more in parts[1:]:
+        placed = placed.unionByName(more)
+    joined = placed.join(styled, ["annotation", "value"], "left").join(stored, ["annotation", "value"], "left")
+    blank = lambda c: F.nullif(F.col(c), F.lit(""))
+    is_missing = F.col("value").isin(STYLE_MISSING)
+    given = F.coalesce(blank("color"), blank("old_color"))
+    needs = F.col("pinned") & given.isNull() & ~is_missing
+    # only pinned lists draw from the palette, and those are as short as what is shown
+    turn = F.sum(F.when(needs, 1).otherwise(0)).over(Window.partitionBy("annotation", "pinned", F.when(~F.col("pinned"), F.col("value"))).orderBy("zorder"))
+    palette = F.element_at(F.array(*[F.lit(c) for c in colors.KELLY_PALETTE]), ((turn - 1) % len(colors.KELLY_PALETTE) + 1).cast("int"))
+    filled = F.when(F.col("pinned") & is_missing, F.lit(colors.PINNED_MISSING_COLOR)).when(needs, palette)
+    return joined.select(
+        "annotation", "value", F.when(is_missing, F.lit(MISSING_KEY)).otherwise(F.col("value")).alias("key"), "zorder",
+        F.coalesce(given, filled).alias("color"), F.coalesce("shape", "old_shape", F.lit("circle")).alias("shape"))
+
+
+def build_settings(
+    freq: DataFrame, state: dict | None = None, existing: dict | None = None, overrides: dict | None = None
+) -> dict:
+    """Settings document of :func:`category_rows`, with the switches of each annotation beside its categories."""
     state, existing, overrides = state or {}, existing or {}, overrides or {}
-    styled = {(r["annotation"], r["value"]): r for r in state_rows(state, spark).collect()} if state else {}
-    settings: dict = {}
-    names = {a for a, _ in styled} | set(overrides)
-    for annotation in sorted(names):
-        shapes = {v: r["shape"] for (a, v), r in styled.items() if a == annotation and r["shape"]}
-        hues = {v: r["color"] for (a, v), r in styled.items() if a == annotation and r["color"]}
-        base = dict(existing.get(annotation) or {
-            "includeShapes": bool(shapes), "shapeSize": 30, "sortMode": "size-desc", "hiddenValues": [],
-            "enableDuplicateStackUI": False, "selectedPaletteId": "kellys",
-        })
-        before = base.pop("categories", {})
-        base.update({k: v for k, v in overrides.get(annotation, {}).items() if k in SETTING_KEYS})
-        order_by, pinned = base.pop("zOrderSort", None), base.pop("pinnedValues", None) or []
-        mode = order_by or base.get("sortMode", "size-desc")
-        own = freq.filter(F.col("annotation") == annotation)
-        values = set(hues) | set(shapes)
-        if values:
-            wanted = spark.createDataFrame([(annotation, v) for v in values], "annotation string, value string")
-            own = wanted.join(own, ["annotation", "value"], "left").na.fill(0, ["n"])
-        if pinned:
-            table = rest_autofill(own, pinned, base.get("maxVisibleValues", 10), mode)
-        else:
-            table = zorder(own, mode)
-        rows = sorted(_bounded(table.select("value", "zorder"), "categories"), key=lambda r: r["zorder"])
-        categories, slot = {}, 0
-        for place, r in enumerate(rows):
-            value = r["value"]
-            cat = {**before.get(value, {}), "zOrder": place}
-            color = hues.get(value) or cat.get("color", "")
-            if not color and pinned:
-                if value in STYLE_MISSING:
-                    color = colors.PINNED_MISSING_COLOR
-                else:
-                    color = colors.KELLY_PALETTE[slot % len(colors.KELLY_PALETTE)]
-                    slot += 1
-            if color:
-                cat["color"] = color
-            cat["shape"] = shapes.get(value, cat.get("shape", "circle"))
-            categories[MISSING_KEY if value in STYLE_MISSING else value] = cat
-        base["categories"] = categories
-        base.setdefault("maxVisibleValues", 10)
-        if shapes:
-            base["includeShapes"] = True
-        settings[annotation] = base
-    return settings
+    shaped = {a for a, values in state.get("marker_shapes", {}).items() if any(values.values())}
+    switches = {}
+    for annotation in {*state.get("annotation_colors", {}), *shaped, *overrides}:
+        kept = {k: v for k, v in existing.get(annotation, {}).items() if k != "categories"}
+        set_now = {k: v for k, v in overrides.get(annotation, {}).items() if k in SETTING_KEYS}
+        switches[annotation] = DEFAULT_SWITCHES | kept | set_now | ({"includeShapes": True} if annotation in shaped else {})
+    document = {a: {k: v for k, v in s.items() if k not in ("pinnedValues", "zOrderSort")} | {"categories": {}} for a, s in sorted(switches.items())}
+    for r in sorted(category_rows(freq, switches, state, existing).collect(), key=lambda r: (r["annotation"], r["zorder"])):
+        old = existing.get(r["annotation"], {}).get("categories", {}).get(r["value"], {})
+        new = {"zOrder": r["zorder"], "shape": r["shape"]} | ({"color": r["color"]} if r["color"] else {})
+        document[r["annotation"]]["categories"][r["key"]] = old | new
+    return document
 
 
 def apply_styles(annotations: DataFrame, styles: dict, existing: dict | None = None) -> dict:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cells, colors, entry, scalars, transforms
 from ..operators import annotate
+from ..session import cut_lineage
 from .registry import query, table
 
 # ------------------------------------------------------------------ identifiers
@@ -99,7 +100,7 @@ def standardize_missing(spark, d):
 
 
 @query("natural_sort_key", """
-  SELECT DISTINCT source, concat('src', lpad(substr(source, 4), 20, '0')) AS sort_key FROM documents""")
+  SELECT DISTINCT source, concat('src', lpad(cast(length(substr(source, 4)) AS varchar), 10, '0'), substr(source, 4)) AS sort_key FROM documents""")
 def natural_sort_key(spark, d):
     return table(spark, d, "documents").select("source").distinct().select(
         "source", scalars.natural_sort_key("source").alias("sort_key")
@@ -226,19 +227,25 @@ def cath_clean(spark, d):
     return table(spark, d, "part").select("p_partkey", transforms.clean_fold_codes(raw).alias("codes"))
 
 
+def _numbered(rows: DataFrame, keys: list[str], *values) -> DataFrame:
+    """An identifier for each row (its keys may repeat), written once so that it stays the same."""
+    return cut_lineage(rows.select(F.struct(F.monotonically_increasing_id().alias("row"), *keys).alias("identifier"), *values))
+
+
 @query("clan_map", """
   WITH c AS (SELECT n_nationkey AS k, concat('CL', lpad(cast(n_regionkey AS varchar), 4, '0'), ' (', n_name, ')') AS clan FROM nation WHERE n_nationkey % 5 <> 4)
   SELECT l_orderkey, l_linenumber, array_to_string(list_sort(list_distinct([x FOR x IN [a.clan, b.clan] IF x IS NOT NULL])), ';') AS clans
   FROM lineitem LEFT JOIN c a ON a.k = l_partkey % 30 LEFT JOIN c b ON b.k = l_suppkey % 25""")
 def clan_map(spark, d):
     n = table(spark, d, "nation").filter("n_nationkey % 5 <> 4")
-    clans = annotate.lookup_map(n.select(
-        F.concat(F.lit("PF"), F.lpad(F.col("n_nationkey").cast("string"), 5, "0")).alias("acc"),
+    clans = n.select(
+        F.concat(F.lit("PF"), F.lpad(F.col("n_nationkey").cast("string"), 5, "0")).alias("accession"),
         F.concat(F.lit("CL"), F.lpad(F.col("n_regionkey").cast("string"), 4, "0"), F.lit(" ("), "n_name", F.lit(")")).alias("clan"),
-    ), "acc", "clan")
+    )
     acc = lambda c, m: F.concat(F.lit("PF"), F.lpad((F.col(c) % m).cast("string"), 5, "0"))
     raw = F.concat(acc("l_partkey", 30), F.lit(" (x)|12.5;"), acc("l_suppkey", 25), F.lit(" (y)"))
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", transforms.family_clans(raw, clans).alias("clans"))
+    rows = _numbered(table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"], raw.alias("pfam"))
+    return annotate.clans_by_join(rows, clans).select("identifier.l_orderkey", "identifier.l_linenumber", F.col("pfam_clan").alias("clans"))
 
 
 @query("clan_map_join", """
@@ -261,11 +268,10 @@ def clan_map_join(spark, d):
       cast(l_partkey % 25 AS varchar), concat(' (', b.n_name, ')')) AS ec
   FROM lineitem LEFT JOIN nation a ON a.n_nationkey = l_suppkey % 30 LEFT JOIN nation b ON b.n_nationkey = l_partkey % 25""")
 def ec_append_names(spark, d):
-    names = annotate.lookup_map(
-        table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("k"), "n_name"), "k", "n_name"
-    )
+    names = table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("k"), "n_name")
     raw = F.concat((F.col("l_suppkey") % 30).cast("string"), F.lit("|EXP; ;"), (F.col("l_partkey") % 25).cast("string"))
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", transforms.name_enzymes(raw, names).alias("ec"))
+    rows = _numbered(table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"], raw.alias("cell"))
+    return annotate.name_items(rows, names, "k", "n_name").select("identifier.l_orderkey", "identifier.l_linenumber", F.col("cell").alias("ec"))
 
 
 @query("name_items_join", """

@@ -61,7 +61,9 @@ def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster.
 
-    Only when the session names none (unit tests) a scratch folder is used.
+    Only where the session names none and runs on one machine (unit tests) a
+    scratch folder is used; a cluster without one is refused, since executors
+    would write to their own disks.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -69,6 +71,8 @@ def shared_folder(spark: SparkSession) -> str:
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return os.path.join(tempfile.gettempdir(), "atlasmill-checkpoints")
 
 

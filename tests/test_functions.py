@@ -32,19 +32,19 @@ def test_missing(spark):
 
 
 def test_natural_sort(spark):
-    values = ["a10", "a2", "A1", "b", "10", "9", "a2b"]
+    long = ["z1234567890123456789012345", "z1234567890123456789012346", "z99"]
+    values = ["a10", "a2", "A1", "b", "10", "9", "a2b", *long]
     df = spark.createDataFrame([(v,) for v in values], "v string")
     got = [r["v"] for r in df.orderBy(scalars.natural_sort_key("v")).collect()]
-    assert got == ["9", "10", "A1", "a2", "a2b", "a10", "b"]
+    assert got == ["9", "10", "A1", "a2", "a2b", "a10", "b", "z99", *long[:2]]
 
 
 def test_signal_bounds(spark):
-    values = [
-        "SIGNAL 1..21; /evidence=x > y", "SIGNAL ?..30", "SIGNAL <1..25", "SIGNAL >20..30", "SIGNAL 1..2; SIGNAL 3..4", "", None
-    ]
-    got = run(spark, values, scalars.signal_bounds)
-    assert (got[0]["sp_start"], got[0]["sp_end"]) == (1, 21)
-    assert got[1:] == [None] * 6
+    whole = ["SIGNAL 4..37", 'SIGNAL 2..118; /note="made up"', "SIGNAL 7..9; /evidence=ECO:1 > 0"]
+    open_or_twice = ["SIGNAL ?..44", "SIGNAL 3..?", "SIGNAL <6..52", "SIGNAL 6..>52", "SIGNAL >8..61", "SIGNAL 5..8; SIGNAL 11..14"]
+    got = run(spark, [*whole, *open_or_twice, "CHAIN 3..9", "signal", "", None], scalars.signal_bounds)
+    assert [(g["sp_start"], g["sp_end"]) for g in got[:3]] == [(4, 37), (2, 118), (7, 9)]
+    assert got[3:] == [None] * 10
 
 
 def test_segment_outcome(spark):
