@@ -21,8 +21,10 @@ from .common import arrow_task, packed, raw, texts, unpacked, with_text
 
 #: A cut falls on one byte in 2**BITS, but no chunk is shorter than LEAST or longer than MOST bytes.
 BITS, LEAST, MOST = 5, 12, 256
-#: Words that wholly repeated chunks hold at least, and those with the chunks at both ends.
-INNER, OUTER = 20, 50
+#: Words that wholly repeated chunks hold at least, and those with the chunks at both ends. A passage of 50 words may lose a
+#: few word beginnings to the chunk before until the cuts agree, hence 46: of shared passages of 51 words 99 in 100 are found,
+#: of 20 words one.
+INNER, OUTER = 10, 46
 _GEAR = np.random.Generator(np.random.PCG64(20240229)).integers(0, 1 << 32, 256, dtype=np.uint32)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
