@@ -254,7 +254,8 @@ def test_planted_passages(spark):
     assert found <= set(range(30, 90)) and len(found) >= 58
     text = {r[0]: r[1] for r in rows}
     for r in spans:
-        assert text[r["doc_id"]][r["start"]:r["stop"]] in passages[r["doc_id"] % 30] + " " + text[r["doc_id"]] and r["first_doc_id"] == r["doc_id"] % 30
+        assert text[r["doc_id"]][r["start"]:r["stop"]] in passages[r["doc_id"] % 30] + " " + text[r["doc_id"]]
+        assert r["first_doc_id"] < r["doc_id"] and r["first_doc_id"] % 30 == r["doc_id"] % 30
 
 
 def test_shards_are_even_and_groups_stay(spark):
