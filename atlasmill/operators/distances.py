@@ -40,6 +40,16 @@ def exact(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     return (np.abs(diff) if metric == "manhattan" else diff * diff).sum(axis=1)
 
 
+def exact_pairs(a: np.ndarray, rows: np.ndarray, b: np.ndarray, cols: np.ndarray, metric: str) -> np.ndarray:
+    """Scores of the pairs (a[rows], b[cols]), gathered in slices of bounded size."""
+    step = max(1, TILE_CELLS // max(1, a.shape[1]))
+    out = np.empty(len(rows))
+    for at in range(0, len(rows), step):
+        part = slice(at, at + step)
+        out[part] = exact(a[rows[part]], b[cols[part]], metric)
+    return out
+
+
 def to_distance(score, metric: str):
     """Score -> reported distance."""
     if metric == "euclidean":

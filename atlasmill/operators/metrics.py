@@ -14,7 +14,7 @@ from . import distances
 from .arrays import matrix, vector
 from .neighbors import distance_ranks, knn
 from .ordering import one_row, position_in_group, with_position
-from .sweep import assign_blocks, bounds, hash_blocks, sweep, visit_table
+from .sweep import group_blocks, sweep
 from ..functions.cells import first_functional_keyword
 from ..functions.scalars import is_valid_label
 from .align import first_wins
@@ -110,14 +110,7 @@ def standard_scaled(df: DataFrame, columns: list[str], by: list[str] = ()) -> Da
 
 
 class _Silhouette:
-    """Mean distance to every class, streamed class by class; keeps only a and b.
-
-    With ``gap`` points further away than it belong to another group and are
-    ignored (a class lies wholly in one group).
-    """
-
-    def __init__(self, gap: float | None):
-        self.gap = gap
+    """Mean distance to every class, streamed class by class; keeps only a and b."""
 
     def start(self, table: pa.Table) -> None:
         self.key = vector(table["gid"], np.int64)
@@ -136,8 +129,6 @@ class _Silhouette:
         if self.size > 1:
             self.own[mine] = self.sum[mine] / (self.size - 1)
         mean = self.sum[~mine] / self.size
-        if self.gap is not None:
-            mean = np.where(mean < self.gap, mean, np.inf)
         self.nearest[~mine] = np.minimum(self.nearest[~mine], mean)
 
     def step(self, batch: pa.RecordBatch) -> None:
@@ -190,18 +181,10 @@ def silhouette(
     coded = counted.join(classes.drop("_size"), [*by, "label"])
     coded = coded.join(groups.drop("_classes"), by)
     points = cut_lineage(coded.select(F.monotonically_increasing_id().alias("gid"), "w", "cls", "grp", "vec"))
-    shifted, gap = separate_groups(points, "grp")
-    if gap is None:
-        # every class matters to every point: nothing to leave out
-        rows, n_blocks = hash_blocks(shifted, shifted.count(), block_rows)
-        visits = None
-    else:
-        blocks = assign_blocks(shifted, "euclidean", block_rows)
-        near = [np.flatnonzero(bounds(blocks, row)[0] < gap) for row in range(len(blocks.ids))]
-        visits = visit_table(df.sparkSession, blocks, near)
-        rows, n_blocks = blocks.points, len(blocks.ids)
+    # every class of a group matters to every point of it: nothing to leave out within a group
+    rows, n_blocks, visits = group_blocks(points, block_rows)
     scored = sweep(
-        rows.drop("grp"), rows.drop("grp"), lambda: _Silhouette(gap),
+        rows.drop("grp"), rows.drop("grp"), _Silhouette,
         "gid bigint, w bigint, silhouette double", n_blocks, visits, ["cls"],
     )
     mean = scored.join(points.select("gid", "grp"), "gid").groupBy("grp").agg(
@@ -211,65 +194,30 @@ def silhouette(
     return classes.select(*by).distinct().join(named, by, "left")
 
 
-def separate_groups(points: DataFrame, group_col: str) -> tuple[DataFrame, float | None]:
-    """Move groups apart along one extra coordinate.
-
-    Rows of a group keep their distances exactly (the extra coordinate is equal)
-    while rows of other groups end up beyond any distance within a group, so one
-    neighbour search serves all groups. Returns the gap, None for a single group.
-    """
-    facts = points.agg(
-        F.max(F.aggregate("vec", F.lit(0.0), lambda a, v: F.greatest(a, F.abs(v)))).alias("top"),
-        F.max(F.size("vec")).alias("dim"),
-        F.min(group_col).alias("lo"), F.max(group_col).alias("hi"),
-    ).first()
-    if facts["lo"] is None or facts["lo"] == facts["hi"]:
-        return points, None
-    codes = with_position(points.select(group_col).distinct(), [group_col], "_place")
-    # an upper bound on any distance (and any sum of coordinate gaps) within a group
-    gap = 4.0 * (float(facts["top"]) + 1.0) * int(facts["dim"])
-    moved = points.join(codes, group_col).withColumn(
-        "vec", F.concat("vec", F.array(F.col("_place") * F.lit(gap)))
-    )
-    return moved.drop("_place"), gap
-
-
 def stack_groups(df: DataFrame, by: str, id_col: str, vec_cols: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Make one neighbour search serve all groups of ``by``.
+    """Number the rows of all groups of ``by`` so that one neighbour search serves them.
 
-    Returns ``stacked(sid, <vec_cols>)``, groups moved apart in every vector
-    column, and ``names(sid, by, id)``. ``sid`` sorts like the id within a group.
+    Returns ``stacked(sid, <by>, <vec_cols>)`` and ``names(sid, by, id)``. ``sid``
+    sorts like the id within a group.
     """
-    places = cut_lineage(with_position(df.select(by).distinct(), [by], "_place"))
-    joined = df.join(places, by)
-    numbered = with_position(joined.select(by, "_place", id_col), ["_place", id_col], "sid")
-    stacked = joined.join(numbered, [by, "_place", id_col])
-    for c in vec_cols:
-        moved = stacked.withColumn(c, F.col(c).cast("array<double>"))
-        top = moved.agg(
-            F.max(F.aggregate(c, F.lit(0.0), lambda a, v: F.greatest(a, F.abs(v)))).alias("top"), F.max(F.size(c)).alias("dim")
-        ).first()
-        gap = 4.0 * (float(top["top"]) + 1.0) * int(top["dim"])
-        stacked = moved.withColumn(c, F.concat(c, F.array(F.col("_place") * F.lit(gap))))
-    return cut_lineage(stacked.select("sid", *vec_cols)), numbered.select("sid", by, id_col)
+    numbered = cut_lineage(with_position(df.select(by, id_col), [by, id_col], "sid"))
+    stacked = df.join(numbered, [by, id_col]).select("sid", by, *[F.col(c).cast("array<double>").alias(c) for c in vec_cols])
+    return cut_lineage(stacked), numbered.select("sid", by, id_col)
 
 
 def grouped_knn(stacked: DataFrame, names: DataFrame, k: int, vec_col: str, by: str, id_col: str) -> DataFrame:
     """k nearest within the own group: (by, i, j, rank, distance)."""
-    near = knn(stacked, k, "sid", vec_col)
+    near = knn(stacked, k, "sid", vec_col, group_col=by)
     a = names.select(F.col("sid").alias("i"), by, F.col(id_col).alias("_i"))
-    b = names.select(F.col("sid").alias("j"), F.col(by).alias("_by"), F.col(id_col).alias("_j"))
-    joined = near.join(a, "i").join(b, "j").filter(F.col(by) == F.col("_by"))
-    return joined.select(by, F.col("_i").alias("i"), F.col("_j").alias("j"), "rank", "distance")
+    b = names.select(F.col("sid").alias("j"), F.col(id_col).alias("_j"))
+    return near.join(a, "i").join(b, "j").select(by, F.col("_i").alias("i"), F.col("_j").alias("j"), "rank", "distance")
 
 
 def grouped_ranks(stacked: DataFrame, names: DataFrame, k: int, high: str, low: str, by: str) -> DataFrame:
     """Neighbourhood table per group: (by, i, j, rank_lo, rank_hi), ids are sids."""
-    near = knn(stacked, k, "sid", low).select("i", "j", F.col("rank").alias("rank_lo"))
-    a = names.select(F.col("sid").alias("i"), by)
-    b = names.select(F.col("sid").alias("j"), F.col(by).alias("_by"))
-    own = near.join(a, "i").join(b, "j").filter(F.col(by) == F.col("_by")).select(by, "i", "j", "rank_lo")
-    return distance_ranks(cut_lineage(own), stacked.select("sid", high), "sid", high)
+    near = knn(stacked, k, "sid", low, group_col=by).select("i", "j", F.col("rank").alias("rank_lo"))
+    own = near.join(names.select(F.col("sid").alias("i"), by), "i").select(by, "i", "j", "rank_lo")
+    return distance_ranks(cut_lineage(own), stacked.select("sid", by, high), "sid", high, group_col=by)
 
 
 def grouped_trustworthiness(ranked: DataFrame, by: str, n: int, ks: list[int]) -> DataFrame:

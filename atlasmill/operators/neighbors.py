@@ -22,6 +22,7 @@ from .arrays import list_column, matrix, vector
 from .sweep import Blocks, assign_blocks, bounds, knn_visits, sweep, visit_table
 
 THRESHOLDS_PER_ROW = 48
+HOT_SHARE = 1024
 
 
 class _TopK:
@@ -57,7 +58,7 @@ class _TopK:
             keep = self.gid[r] != other[c]
             r, c = r[keep], c[keep]
             rows.append(r)
-            scores.append(distances.exact(self.vec[r], vec[c], self.metric))
+            scores.append(distances.exact_pairs(self.vec, r, vec, c, self.metric))
             ids.append(other[c])
         self._merge(np.concatenate(rows), np.concatenate(scores), np.concatenate(ids))
 
@@ -123,7 +124,7 @@ class _CountCloser:
                     some, bar = rough[open_rows], limit[open_rows]
                     r, c = np.nonzero(~(some < bar - 2 * slack) & (some <= bar + 2 * slack))
                     r = open_rows[r]
-                    close = distances.exact(self.vec[part][r], vec[c], self.metric) < limit[r, 0]
+                    close = distances.exact_pairs(self.vec[part], r, vec, c, self.metric) < limit[r, 0]
                     np.add.at(add, r[close], w[c[close]])
                 self.total[part, q] += add
 
@@ -150,25 +151,26 @@ def ordered_keys(df: DataFrame, id_col: str) -> DataFrame:
 
 
 def collapse_copies(points: DataFrame) -> tuple[DataFrame | None, DataFrame]:
-    """``points(key, vec)`` -> (members(key, gid), distinct(gid, w, vec)).
+    """``points(key, vec[, grp])`` -> (members(key, gid), distinct(gid, w, vec[, grp])).
 
-    ``gid`` is the smallest key that holds the vector; members is None when no
-    vector repeats (then every key is its own gid). The aggregation combines
-    map-side, so a hot vector shrinks to one row per task before the shuffle,
-    and the members join spreads each repeated vector over salted keys.
+    ``gid`` is the smallest key that holds the vector (in its group); members is
+    None when no vector repeats (then every key is its own gid). The aggregation
+    combines map-side, so a hot vector shrinks to one row per task before the
+    shuffle. Members of the vectors that hold more than one row in ``HOT_SHARE``
+    (hence fewer than that many) are found by a broadcast, the others by a shuffle.
     """
-    distinct = cut_lineage(points.groupBy("vec").agg(F.min("key").alias("gid"), F.count("*").alias("w")))
-    shared = distinct.filter("w > 1").select("vec", "gid")
+    same = ["vec", *[c for c in points.columns if c == "grp"]]
+    distinct = cut_lineage(points.groupBy(*same).agg(F.min("key").alias("gid"), F.count("*").alias("w")))
+    shared = distinct.filter("w > 1").select(*same, "gid", "w")
     if shared.isEmpty():
-        return None, distinct.select("gid", "w", "vec")
-    salts = 16
-    spread = shared.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    members = (
-        points.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int"))
-        .join(spread, ["vec", "salt"], "left")
-        .select("key", F.coalesce("gid", "key").alias("gid"))
+        return None, distinct.select("gid", "w", *same)
+    floor = distinct.agg(F.sum("w")).first()[0] / HOT_SHARE
+    hot = F.broadcast(shared.filter(F.col("w") > floor).drop("w"))
+    rare = shared.filter(F.col("w") <= floor).drop("w")
+    members = points.join(hot, same).select("key", "gid").unionByName(
+        points.join(hot, same, "left_anti").join(rare, same, "left").select("key", F.coalesce("gid", "key").alias("gid"))
     )
-    return cut_lineage(members), distinct.select("gid", "w", "vec")
+    return cut_lineage(members), distinct.select("gid", "w", *same)
 
 
 def knn(
@@ -178,10 +180,14 @@ def knn(
     vec_col: str = "vec",
     metric: str = "euclidean",
     block_rows: int = 4096,
+    group_col: str | None = None,
 ) -> DataFrame:
-    """Exact k nearest neighbours, self excluded: ``(i, j, rank, distance)``."""
-    keyed = ordered_keys(points.select(id_col, _vec64(vec_col).alias("vec")), id_col)
-    source = keyed.select("key", "vec") if metric != "cosine" else _unit(keyed.select("key", "vec"))
+    """Exact k nearest neighbours, self excluded: ``(i, j, rank, distance)``.
+
+    With ``group_col`` neighbours are sought within the row's own group; identifiers
+    are unique over all groups.
+    """
+    keyed, source = _sources(points, id_col, vec_col, metric, group_col)
     members, distinct = collapse_copies(source)
     blocks = assign_blocks(distinct, "euclidean" if metric == "cosine" else metric, block_rows)
     lists = _knn_distinct(blocks, k)
@@ -193,17 +199,23 @@ def knn(
     return _named(out, keyed, id_col)
 
 
+def _sources(points: DataFrame, id_col: str, vec_col: str, metric: str, group_col: str | None) -> tuple[DataFrame, DataFrame]:
+    """Rows with their keys, and ``(key, vec[, grp])`` to search in."""
+    group = [F.col(group_col).alias("grp")] if group_col else []
+    keyed = ordered_keys(points.select(id_col, _vec64(vec_col).alias("vec"), *group), id_col)
+    source = keyed.select("key", *(["grp"] if group_col else []), "vec")
+    return keyed, source if metric != "cosine" else _unit(source)
+
+
 def _unit(df: DataFrame) -> DataFrame:
     """Unit vectors, so that directions that agree exactly collapse."""
+    at = df.columns.index("vec")
 
     def scale(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays(
-                [b.column("key"), list_column(distances.prepare(matrix(b.column("vec")), "cosine"))],
-                names=["key", "vec"],
-            )
+            yield b.set_column(at, "vec", list_column(distances.prepare(matrix(b.column("vec")), "cosine")))
 
-    return map_arrow(df, scale, "key bigint, vec array<double>")
+    return map_arrow(df, scale, df.schema)
 
 
 def _distance(score: Column, metric: str) -> Column:
@@ -226,10 +238,10 @@ def _knn_distinct(blocks: Blocks, k: int) -> DataFrame:
     """Top-k list over distinct points: (gid, other, score)."""
     spark = blocks.points.sparkSession
     visits = visit_table(spark, blocks, knn_visits(blocks, k))
-    side = blocks.points.select("gid", "vec", "block")
+    side = blocks.points.select("gid", "vec", "cell", "block")
     metric = blocks.metric
     return sweep(
-        side, side, lambda: _TopK(k, metric), "gid bigint, other bigint, score double, rank int", len(blocks.ids), visits
+        side, side, lambda: _TopK(k, metric), "gid bigint, other bigint, score double, rank int", blocks.n_blocks, visits
     )
 
 
@@ -286,14 +298,14 @@ def distance_ranks(
     vec_col: str = "vec",
     metric: str = "euclidean",
     block_rows: int = 4096,
+    group_col: str | None = None,
 ) -> DataFrame:
-    """Rank of j among all rows by distance from i, for given pairs ``(i, j, ...)``.
+    """Rank of j among all rows (of its group) by distance from i, for given pairs ``(i, j, ...)``.
 
     rank = 1 + number of rows other than i strictly closer to i than j is
     (rows at equal distance share the rank). Adds ``rank_hi``.
     """
-    keyed = ordered_keys(points.select(id_col, _vec64(vec_col).alias("vec")), id_col)
-    source = keyed.select("key", "vec") if metric != "cosine" else _unit(keyed.select("key", "vec"))
+    keyed, source = _sources(points, id_col, vec_col, metric, group_col)
     space = "euclidean" if metric == "cosine" else metric
     members, distinct = collapse_copies(source)
     blocks = assign_blocks(distinct, space, block_rows)
@@ -329,33 +341,33 @@ def distance_ranks(
             F.min("score").alias("lo"),
             F.max("score").alias("hi"),
         )
-        .join(blocks.points.select(F.col("gid").alias("i"), "vec", "block"), "i")
-        .select(F.col("t.pair").alias("pairs"), F.col("t.score").alias("scores"), "lo", "hi", "vec", "block")
+        .join(blocks.points.select(F.col("gid").alias("i"), "vec", "cell", "block"), "i")
+        .select(F.col("t.pair").alias("pairs"), F.col("t.score").alias("scores"), "lo", "hi", "vec", "cell", "block")
     )
 
     reach = {
-        r["block"]: (r["lo"], r["hi"])
-        for r in receivers.groupBy("block").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).collect()
+        r["cell"]: (r["lo"], r["hi"])
+        for r in receivers.groupBy("cell").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).collect()
     }
     squared = space != "manhattan"
     visits, base = [], []
-    for row, block in enumerate(blocks.ids):
-        if block not in reach:
+    for row, cell in enumerate(blocks.ids):
+        if cell not in reach:
             visits.append(np.empty(0, np.int64))
             continue
-        lo, hi = (np.sqrt(reach[block]) if squared else np.array(reach[block]))
+        lo, hi = (np.sqrt(reach[cell]) if squared else np.array(reach[cell]))
         low, high = bounds(blocks, row)
         inside = high < lo
         visits.append(np.flatnonzero((low <= hi) & ~inside))
-        base.append((int(block), int(blocks.weight[inside].sum())))
+        base.append((int(cell), int(blocks.weight[inside].sum())))
     spark = points.sparkSession
-    bases = spark.createDataFrame(base or [(0, 0)], "block int, base bigint")
+    bases = spark.createDataFrame(base or [(0, 0)], "cell int, base bigint")
     counted = sweep(
-        receivers.drop("lo", "hi").join(F.broadcast(bases), "block"),
-        blocks.points.select("w", "vec", "block"),
+        receivers.drop("lo", "hi").join(F.broadcast(bases), "cell"),
+        blocks.points.select("w", "vec", "cell"),
         lambda: _CountCloser(space),
         "pair bigint, closer bigint",
-        len(blocks.ids),
+        blocks.n_blocks,
         visit_table(spark, blocks, visits),
     )
     # the row itself is strictly closer than any row at a positive distance

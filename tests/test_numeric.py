@@ -1,9 +1,12 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from atlasmill.model import ReducerParams
-from atlasmill.operators import layout, linalg, metrics
+from atlasmill.operators import distances as kernels
+from atlasmill.operators import layout, linalg, metrics, neighbors
+from atlasmill.operators import sweep as blocked
 from atlasmill.operators.neighbors import distance_ranks, knn
 from atlasmill.plans import backgrounds, benchmark
 
@@ -362,3 +365,49 @@ def test_benchmark_methods(spark, tmp_path):
     assert spark.read.csv(f"{tmp_path}/metrics.csv", header=True).count() == rows.count()
     sweep = benchmark.contrastive_sweep(df, frame(spark, np.random.default_rng(0).normal(size=(50, 12))), [1e-3, 1e-1], [True])
     assert sweep.count() == 2
+
+
+def test_groups_stay_apart_and_cheap(spark, monkeypatch):
+    """Wide vectors in many groups: brute-force lists, small blocks, and few pairs measured twice."""
+    rng = np.random.default_rng(11)
+    vecs = rng.normal(size=(1200, 256))
+    vecs[5] = vecs[17]  # one vector in one group twice, and in another group
+    vecs[6] = vecs[17]
+    group = np.arange(1200) % 12
+    rows = spark.createDataFrame(
+        [(int(i), f"g{group[i]:02d}", vecs[i].tolist()) for i in range(1200)], "identifier bigint, part string, vec array<double>"
+    )
+    near = neighbors.knn(rows, 4, group_col="part").collect()
+    got = {}
+    for r in sorted(near, key=lambda r: (r["i"], r["rank"])):
+        got.setdefault(r["i"], []).append(r["j"])
+    for i in (0, 5, 6, 17, 700, 1199):
+        others = [j for j in range(1200) if group[j] == group[i] and j != i]
+        d = ((vecs[others] - vecs[i]) ** 2).sum(axis=1)
+        assert got[i] == [others[x] for x in np.lexsort((others, d))[:4]]
+    assert len(near) == 1200 * 4
+    pairs = spark.createDataFrame([(0, 12), (0, 600), (17, 5)], "i bigint, j bigint")
+    for r in neighbors.distance_ranks(pairs, rows, group_col="part").collect():
+        others = [j for j in range(1200) if group[j] == group[r["i"]] and j != r["i"]]
+        d = ((vecs[others] - vecs[r["i"]]) ** 2).sum(axis=1)
+        assert r["rank_hi"] == 1 + (d < ((vecs[r["j"]] - vecs[r["i"]]) ** 2).sum()).sum()
+
+    measured = []
+    state = neighbors._TopK(4, "euclidean")
+    real = kernels.exact_pairs
+    monkeypatch.setattr(kernels, "exact_pairs", lambda a, r, b, c, m: measured.append(len(r)) or real(a, r, b, c, m))
+    mine = np.flatnonzero(group == 3)
+    table = pa.table({"gid": pa.array(mine), "vec": pa.array(vecs[mine].tolist(), pa.list_(pa.float64()))})
+    state.start(table)
+    state.step(table.to_batches()[0])
+    assert sum(measured) < 0.1 * len(mine) ** 2
+
+
+def test_block_sizes_stay_bounded(spark, monkeypatch):
+    monkeypatch.setattr(blocked, "MAX_PIVOTS", 2)
+    rng = np.random.default_rng(3)
+    rows = frame(spark, rng.normal(size=(3000, 3))).select(F.substring("identifier", 2, 9).cast("bigint").alias("gid"), F.lit(1).cast("bigint").alias("w"), "vec")
+    blocks = blocked.assign_blocks(rows, block_rows=100)
+    sizes = [r["count"] for r in blocks.points.groupBy("block").count().collect()]
+    assert len(blocks.ids) == 2 and sum(sizes) == 3000 and max(sizes) <= 400
+    assert max(r["block"] for r in blocks.points.select("block").distinct().collect()) < blocks.n_blocks
