@@ -224,54 +224,55 @@ TICKETS = """
 """
 
 
-@query("bootstrap_samples", TICKETS.format(rounds=5) + "SELECT round, id AS identifier FROM b")
+@query("bootstrap_samples", TICKETS.format(rounds=100) + "SELECT round, id AS identifier FROM b")
 def bootstrap_samples(spark, d):
     pts = _points(spark, d).select("identifier")
-    return metrics.bootstrap_samples(pts, "identifier", 5).select(F.col("round").cast("bigint").alias("round"), "identifier")
+    return metrics.bootstrap_samples(pts, "identifier", 100).select(F.col("round").cast("bigint").alias("round"), "identifier")
 
 
-@query("bootstrap_ci", TICKETS.format(rounds=50) + """, j AS (SELECT b.*, n_chars::double AS t FROM b JOIN documents ON doc_id = id),
+@query("bootstrap_ci", TICKETS.format(rounds=100) + """, j AS (SELECT b.*, n_chars::double AS t FROM b JOIN documents ON doc_id = id),
   m AS (SELECT round, var_samp(x) AS sxx, var_samp(y) AS syy, var_samp(t) AS stt, covar_samp(x, y) AS sxy, covar_samp(x, t) AS sxt, covar_samp(y, t) AS syt FROM j GROUP BY 1),
   r AS (SELECT round, (syy * sxt * sxt - 2 * sxy * sxt * syt + sxx * syt * syt) / ((sxx * syy - sxy * sxy) * stt) AS r2 FROM m)
   SELECT 'length_r2' AS metric, round(avg(r2), 6) AS mean, round(quantile_cont(r2, 0.025), 6) AS ci_low, round(quantile_cont(r2, 0.975), 6) AS ci_high FROM r""")
 def bootstrap_ci(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("identifier"), F.col("n_chars").cast("double").alias("t"))
-    rounds = metrics.bootstrap_samples(_points(spark, d).select("identifier", "x", "y"), "identifier", 50)
+    rounds = metrics.bootstrap_samples(_points(spark, d).select("identifier", "x", "y"), "identifier", 100)
     scores = metrics.two_predictor_r2(rounds.join(docs, "identifier"), "t", by=["round"]).withColumn("metric", F.lit("length_r2"))
     ci = metrics.percentile_ci(scores, "r2", ["metric"])
     return ci.select("metric", r6("mean").alias("mean"), r6("ci_low").alias("ci_low"), r6("ci_high").alias("ci_high"))
 
 
-BOOT = TICKETS.format(rounds=4) + """,
+BOOT = TICKETS.format(rounds=100) + """,
   pr AS (SELECT b.round, b.id, b.label, e.embedding::double[] AS v, x, y FROM b JOIN embeddings e ON vec_id = id),
   lo AS (SELECT a.round, a.id AS i, c.id AS j, a.label AS li, c.label AS lj, row_number() OVER (PARTITION BY a.round, a.id ORDER BY (a.x - c.x) * (a.x - c.x) + (a.y - c.y) * (a.y - c.y), c.id) AS rl,
            list_distance(a.v, c.v) AS dh, sqrt((a.x - c.x) * (a.x - c.x) + (a.y - c.y) * (a.y - c.y)) AS dl
          FROM pr a JOIN pr c ON a.round = c.round AND a.id <> c.id),
   hi AS (SELECT *, rank() OVER (PARTITION BY round, i ORDER BY dh) AS rh FROM lo),
-  n AS (SELECT count(*)::double / 4 AS n FROM pr),
-  tr AS (SELECT round, 1 - 2.0 / (max(n) * 15 * (2 * max(n) - 46)) * sum(CASE WHEN rl <= 15 AND rh > 15 THEN rh - 15 ELSE 0 END) AS value FROM hi, n GROUP BY 1),
+  n AS (SELECT count(*)::double / 100 AS n FROM pr),
+  tr AS (SELECT round, k, 1 - 2.0 / (max(n) * k * (2 * max(n) - 3 * k - 1)) * sum(CASE WHEN rl <= k AND rh > k THEN rh - k ELSE 0 END) AS value
+         FROM hi, n, (SELECT unnest([1, 15]) AS k) GROUP BY 1, 2),
   v AS (SELECT round, i, li, lj, count(*) AS votes FROM lo WHERE rl <= 15 GROUP BY 1, 2, 3, 4),
   w AS (SELECT *, row_number() OVER (PARTITION BY round, i ORDER BY votes DESC, lj) AS place FROM v),
   ac AS (SELECT round, avg(CASE WHEN li = lj THEN 1.0 ELSE 0.0 END) AS value FROM w WHERE place = 1 GROUP BY 1),
   m AS (SELECT round, i, li, lj, avg(dl) AS d FROM lo GROUP BY 1, 2, 3, 4),
   s AS (SELECT round, i, max(CASE WHEN li = lj THEN d END) AS a, min(CASE WHEN li <> lj THEN d END) AS b FROM m GROUP BY 1, 2),
   si AS (SELECT round, avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END) AS value FROM s GROUP BY 1)
-  SELECT round, 'trustworthiness_15' AS metric, round(value, 6) AS value FROM tr UNION ALL SELECT round, 'knn_accuracy', round(value, 6) FROM ac
+  SELECT round, concat('trustworthiness_', k) AS metric, round(value, 6) AS value FROM tr UNION ALL SELECT round, 'knn_accuracy', round(value, 6) FROM ac
   UNION ALL SELECT round, 'silhouette', round(value, 6) FROM si
 """
 
 
 @query("bootstrap_grid", BOOT)
 def bootstrap_grid(spark, d):
-    grid = benchmark.bootstrap_grid(_points(spark, d), 4, [15])
+    grid = benchmark.bootstrap_grid(_points(spark, d), 100, [1, 15])
     return grid.select(F.col("round").cast("bigint").alias("round"), "metric", r6("value").alias("value"))
 
 
-@query("relative_reduction", TICKETS.format(rounds=20) + """,
+@query("relative_reduction", TICKETS.format(rounds=100) + """,
   m AS (SELECT round, avg(x) AS a, avg(y) AS b FROM b GROUP BY 1), g AS (SELECT avg(a) AS a, avg(b) AS b FROM m)
   SELECT round((a - b) / a, 6) AS relative_reduction, round(b - a, 6) AS difference FROM g""")
 def relative_reduction(spark, d):
-    rounds = metrics.bootstrap_samples(_points(spark, d).select("identifier", "x", "y"), "identifier", 20)
+    rounds = metrics.bootstrap_samples(_points(spark, d).select("identifier", "x", "y"), "identifier", 100)
     long = rounds.groupBy("round").agg(F.avg("x").alias("a"), F.avg("y").alias("b")).select(
         "round", F.explode(F.array(F.struct(F.lit("base").alias("method"), F.col("a").alias("v")), F.struct(F.lit("other").alias("method"), F.col("b").alias("v")))).alias("e")
     ).select("e.method", F.col("e.v").alias("value"))
@@ -310,7 +311,7 @@ def evaluate_projections(spark, d):
 EVAL_BOOT = """
   WITH l AS (SELECT vec_id AS id, label, n_chars::double AS t, embedding AS e FROM embeddings JOIN documents ON doc_id = vec_id),
   k AS (SELECT l.*, r.round, row_number() OVER (PARTITION BY r.round ORDER BY md5(concat(cast(id AS varchar), '#', cast(r.round AS varchar))), id) AS rn
-        FROM l, (SELECT unnest(range(0, 3)) AS round) r),
+        FROM l, (SELECT unnest(range(0, 100)) AS round) r),
   b AS (SELECT * FROM k WHERE rn <= (SELECT cast(floor(count(*) * 0.8) AS bigint) FROM l)),
   p AS (SELECT round, 'A' AS projection_name, id, label, t, e[1]::double AS x0, e[2]::double AS y0 FROM b UNION ALL SELECT round, 'B', id, label, t, e[3]::double, e[4]::double FROM b),
   j AS (SELECT p.*, (x0 - avg(x0) OVER w) / stddev_pop(x0) OVER w AS x, (y0 - avg(y0) OVER w) / stddev_pop(y0) OVER w AS y FROM p WINDOW w AS (PARTITION BY round, projection_name)),
@@ -332,7 +333,7 @@ def bootstrap_evaluation(spark, d):
     labels = emb.select(F.col("vec_id").alias("identifier"), "label").join(
         table(spark, d, "documents").select(F.col("doc_id").alias("identifier"), F.col("n_chars").cast("double").alias("seq_length")), "identifier"
     )
-    out = benchmark.bootstrap_evaluation(pick("A", 0).unionByName(pick("B", 2)), labels, 3)
+    out = benchmark.bootstrap_evaluation(pick("A", 0).unionByName(pick("B", 2)), labels, 100)
     return out.select(F.col("round").cast("bigint").alias("round"), "projection_name", "metric", r6("value").alias("value"))
 
 
