@@ -20,6 +20,11 @@ def first_wins(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     return df.groupBy(key).agg(best).select(key, "_row.*").select(df.columns)
 
 
+def first_row(df: DataFrame, key: str) -> DataFrame:
+    """One row per key: the first in the order in which the table is read."""
+    return first_wins(df.withColumn("_read", F.monotonically_increasing_id()), key, ["_read"]).drop("_read")
+
+
 def last_wins(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     rest = [c for c in df.columns if c != key]
     best = F.max_by(F.struct(*rest), F.struct(*order)).alias("_row")
@@ -95,9 +100,9 @@ def overlay_left(base: DataFrame, extra: DataFrame, key: str = "identifier", ord
 
     A replaced column takes the extra value even when that is NULL, so rows
     without a match lose the base value. One row per key of ``extra`` is used
-    (the first in ``order``).
+    (the first in ``order``, or else the first read).
     """
-    one = first_wins(extra, key, order) if order else extra.dropDuplicates([key])
+    one = first_wins(extra, key, order) if order else first_row(extra, key)
     clash = [c for c in one.columns if c != key and c in base.columns]
     return base.drop(*clash).join(one, key, "left")
 
@@ -109,8 +114,8 @@ def overlay_outer(earlier: DataFrame, later: DataFrame, key: str = "identifier")
 
 
 def attach_to_headers(headers: DataFrame, metadata: DataFrame, key: str = "identifier") -> DataFrame:
-    """One output row per header; text columns, '' where nothing is known."""
-    meta = metadata.dropDuplicates([key])
+    """One output row per header; text columns, '' where nothing is known. Of several metadata rows the first read counts."""
+    meta = first_row(metadata, key)
     cols = [c for c in meta.columns if c != key]
     joined = headers.join(meta, key, "left")
     return joined.select(*headers.columns, *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in cols])

@@ -146,7 +146,10 @@ def structure_domains(documents: DataFrame, fold_names: DataFrame, id_col: str =
         id_col, "pos", F.coalesce("a.cath_label", F.lit("-")).alias("code"), F.coalesce("a.plddt", F.lit(0.0)).alias("plddt"),
         F.col("a").isNotNull().alias("real"),
     )
-    joined = flat.join(fold_names.select(F.col("code"), F.col("name").alias("_name")), "code", "left")
+    # domains without a fold would otherwise all meet in one task
+    known = F.when(~F.col("code").isin("-", ""), F.col("code"))
+    spread = flat.withColumn("_key", spread_nulls(known, id_col))
+    joined = spread.join(fold_names.select(F.col("code").alias("_key"), F.col("name").alias("_name")), "_key", "left")
     label = (
         F.when(F.col("code").isin("-", ""), F.lit("unclassified"))
         .when(F.coalesce("_name", F.lit("")) != "", F.concat("code", F.lit(" ("), "_name", F.lit(")")))
@@ -196,7 +199,7 @@ def match_by_sequence(headers: DataFrame, results: DataFrame) -> DataFrame:
 
     ``headers(identifier, sequence)``, ``results(result_key, value)``.
     """
-    digest = F.sha2(F.col("sequence").cast("binary"), 256)
+    digest = spread_nulls(F.sha2(F.col("sequence").cast("binary"), 256), "identifier")
     by_hash = results.select(F.col("result_key").alias("_h"), F.col("value").alias("_vh"))
     by_name = results.select(F.col("result_key").alias("identifier"), F.col("value").alias("_vn"))
     return headers.withColumn("_h", digest).join(by_hash, "_h", "left").join(by_name, "identifier", "left").select(
@@ -278,8 +281,10 @@ def merge_sources(
     if taxonomy is not None:
         ranks = [c for c in taxonomy.columns if c != "taxon_id"]
         out = out.drop(*[r for r in ranks if r in out.columns]).withColumn(
-            "_taxon", F.col("organism_id").try_cast("int")
-        ).join(taxonomy.withColumnRenamed("taxon_id", "_taxon"), "_taxon", "left").drop("_taxon")
+            "_taxon", spread_nulls(F.col("organism_id").try_cast("int").cast("string"), "identifier")
+        ).join(
+            taxonomy.withColumn("_taxon", F.col("taxon_id").cast("string")).drop("taxon_id"), "_taxon", "left"
+        ).drop("_taxon")
     for extra in (matches, domains, predictions):
         if extra is not None:
             out = overlay_left(out, extra)

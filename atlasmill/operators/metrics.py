@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -251,7 +252,9 @@ def min_class_labels(df: DataFrame, label_col: str, min_size: int, drop_rows: bo
     keep = sizes.filter((F.col("_n") >= min_size) & F.col(label_col).isNotNull()).select(label_col)
     if drop_rows:
         return df.join(keep, label_col, "left_semi").select(df.columns)
-    marked = df.join(keep.withColumn("_ok", F.lit(True)), label_col, "left")
+    # rows without a label would otherwise all meet in one task
+    salt = F.when(F.col(label_col).isNull(), F.pmod(F.xxhash64(*df.columns), F.lit(4096))).otherwise(F.lit(0)).cast("int")
+    marked = df.withColumn("_salt", salt).join(keep.withColumns({"_ok": F.lit(True), "_salt": F.lit(0)}), [label_col, "_salt"], "left")
     return marked.withColumn(label_col, F.when(F.col("_ok"), F.col(label_col))).select(df.columns)
 
 
@@ -379,9 +382,15 @@ def bootstrap_samples(df: DataFrame, id_col: str, rounds: int, share: float = 0.
 
 
 def outliers(scores: DataFrame, value_col: str, share: float = 0.1) -> DataFrame:
-    """Rows at or below the given percentile of the score."""
-    cut = scores.agg(F.percentile(value_col, F.lit(share)).alias("_cut"))
-    return scores.filter(F.col(value_col) <= one_row(cut)["_cut"])
+    """Rows at or below the given percentile (linear interpolation) of the score, found by position after a range sort."""
+    placed = with_position(scores.select(F.col(value_col).cast("double").alias("v")).filter("v is not null"), ["v"], "_at")
+    at = max(placed.count() - 1, 0) * share
+    low, high = math.floor(at), math.ceil(at)
+    ends = {r["_at"]: r["v"] for r in placed.filter(F.col("_at").isin(low, high)).collect()}
+    if not ends:
+        return scores.limit(0)
+    cut = ends[low] if low == high else (high - at) * ends[low] + (at - low) * ends[high]
+    return scores.filter(F.col(value_col) <= cut)
 
 
 def group_shares(df: DataFrame, group_col: str) -> DataFrame:

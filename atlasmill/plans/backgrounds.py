@@ -9,7 +9,7 @@ from ..functions.scalars import is_truthy, normalize_value, safe_identifier, seg
 from ..model import ReducerParams
 from ..operators import embed as embedding
 from ..operators import linalg
-from ..operators.align import first_wins, require_rows
+from ..operators.align import first_row, first_wins, require_rows
 
 
 def _selector(params: ReducerParams) -> Column | None:
@@ -20,7 +20,7 @@ def _selector(params: ReducerParams) -> Column | None:
 
 
 def _aligned(vectors: DataFrame, annotations: DataFrame) -> DataFrame:
-    meta = annotations.dropDuplicates(["identifier"])
+    meta = first_row(annotations, "identifier")
     return vectors.select("identifier").join(meta, "identifier", "left")
 
 

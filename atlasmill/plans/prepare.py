@@ -115,10 +115,25 @@ def background_for(vecs: DataFrame, params: ReducerParams, request: PrepareReque
     return backgrounds.explicit_background(load(params.background_path))
 
 
-def cache_key(request: PrepareRequest, name: str, spec: MethodSpec, params: ReducerParams, n: int) -> str:
+def fingerprint(df: DataFrame) -> list:
+    """Row count and order-free sum of row hashes: changes with the content of a table."""
+    total = F.sum(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).cast("decimal(38,0)")).cast("string")
+    return list(df.agg(F.count("*"), total).first())
+
+
+def background_content(spark: SparkSession, params: ReducerParams, request: PrepareRequest, meta: DataFrame) -> list:
+    """Fingerprints of the tables from which a background comes."""
+    load = lambda path: vectors.load_vectors(spark, [path], "background", request.id_col, request.vec_col).select("identifier", "vec")
+    paths = [p for p in (params.background_path, params.paired_full_path, params.paired_mature_path) if p]
+    tables_ = [*map(load, paths), meta, *([] if request.sequences is None else [request.sequences])]
+    return [fingerprint(t) for t in tables_]
+
+
+def cache_key(request: PrepareRequest, name: str, spec: MethodSpec, params: ReducerParams, content: list) -> str:
+    """Key of a projection; ``content`` holds the fingerprints of the tables that it is made of."""
     payload = {
         "inputs": request.inputs, "set": name, "method": spec.method, "dims": spec.dims, "params": asdict(params),
-        "iterations": request.iterations.get(spec.method), "rows": n,
+        "iterations": request.iterations.get(spec.method), "content": content,
     }
     return hashlib.sha256(json.dumps(payload, sort_keys=True, default=str).encode()).hexdigest()[:12]
 
@@ -142,11 +157,16 @@ def prepare(spark: SparkSession, request: PrepareRequest) -> dict:
     sets, headers = align_sets(load_sets(spark, request.inputs, request.id_col, request.vec_col))
     meta = annotation_table(spark, request, headers)
     data, entries, skipped = None, [], []
+    sets = {n: cut_lineage(v) for n, v in sets.items()}  # every method reads them again
+    content = {n: [fingerprint(v)] for n, v in sets.items()} if request.cache else {}
     jobs = [(n, v, s) for n, v in sets.items() for s in specs]
     for name, vecs, spec in jobs:
         params = request.params.merged(spec.options)
         label = model.projection_name(name, spec.method, spec.dims, model.disambiguation_suffix(spec, specs))
-        key = cache_key(request, name, spec, params, vecs.count()) if request.cache else None
+        key = None
+        if request.cache:
+            more = background_content(spark, params, request, meta) if spec.method == "ppca" else []
+            key = cache_key(request, name, spec, params, content[name] + more)
         result = None
         if key and "projections" not in request.refetch:
             result = _cached(spark, f"{request.cache}/{key}")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,17 +15,22 @@ def is_fasta(path: str) -> bool:
     return path.lower().endswith((".fa", ".faa", ".fasta"))
 
 
+#: Order of records: place of the path in the list, file, split of the file, row in the split.
+_ORDER = ["list_idx", "file_path", "split_start", "row_idx"]
+
+
 def _records(spark: SparkSession, paths: list[str]) -> DataFrame:
     """One row per ``>`` record, split by the reader so large files stay splittable.
 
     Records are separated by a line break followed by ``>``; gzip is read as is.
     """
-    text = spark.read.option("lineSep", "\n>").text(paths)
-    return text.select(
-        F.regexp_replace("value", "^>", "").alias("record"),
-        "_metadata.file_path",
-        F.monotonically_increasing_id().alias("row_idx"),
-    )
+    def one(n: int, path: str) -> DataFrame:
+        return spark.read.option("lineSep", "\n>").text(path).select(
+            F.regexp_replace("value", "^>", "").alias("record"), F.lit(n).alias("list_idx"), "_metadata.file_path",
+            F.col("_metadata.file_block_start").alias("split_start"), F.monotonically_increasing_id().alias("row_idx"),
+        )
+
+    return reduce(DataFrame.unionByName, [one(n, p) for n, p in enumerate(paths)])
 
 
 def read_fasta(spark: SparkSession, paths: str | list[str], normalize: bool = False) -> DataFrame:
@@ -38,11 +45,11 @@ def read_fasta(spark: SparkSession, paths: str | list[str], normalize: bool = Fa
     body = F.regexp_replace(F.regexp_replace("record", r"^[^\n]*\n?", ""), r"[ \t\r\f]*\n[ \t\r\f]*", "")
     rows = _records(spark, paths).select(
         F.regexp_extract(header, r"^\s*(\S+)", 1).alias("identifier"), F.trim(F.regexp_replace(body, r"\s+$", "")).alias("sequence"),
-        "row_idx",
+        *_ORDER,
     ).filter("identifier <> '' and sequence <> ''")
-    out = first_wins(rows, "identifier", ["row_idx"])
+    out = first_wins(rows, "identifier", _ORDER)
     if normalize:
-        out = last_wins(out.withColumn("identifier", parse_identifier("identifier")), "identifier", ["row_idx"])
+        out = last_wins(out.withColumn("identifier", parse_identifier("identifier")), "identifier", _ORDER)
     return out.select("identifier", "sequence")
 
 

@@ -106,3 +106,13 @@ def test_incremental_embedding(spark, tmp_path):
 def test_params_reach_the_command_line():
     args = cli.build_parser().parse_args(["project", "-i", "x", "-m", "pca2", "-o", "o", "--no-standard-scale", "--eps", "0.5"])
     assert cli._params(args) == ReducerParams(standard_scale=False, eps=0.5)
+
+
+def test_cache_key_follows_the_content(spark):
+    from atlasmill.model import MethodSpec, ReducerParams
+    from atlasmill.plans.prepare import PrepareRequest, cache_key, fingerprint
+
+    request = PrepareRequest(inputs=["x"], methods=["pca2"], output="o")
+    rows = lambda *values: spark.createDataFrame([(str(i), [v]) for i, v in enumerate(values)], "identifier string, vec array<float>")
+    key = lambda df: cache_key(request, "s", MethodSpec("pca", 2), ReducerParams(), [fingerprint(df)])
+    assert key(rows(1.0, 2.0)) == key(rows(1.0, 2.0).repartition(3)) != key(rows(1.0, 3.0))

@@ -238,3 +238,28 @@ def test_labels_from_annotations(spark):
     assert got == {"1": "Kinase", "2": "Kinase", "3": None, "4": None, "5": None, "6": None}
     with pytest.raises(ValueError, match="not found"):
         metrics.labels_from_annotations(table, heads, "gone")
+
+
+def test_first_metadata_row_counts(spark):
+    heads = spark.createDataFrame([("a",), ("b",)], "identifier string")
+    rows = [("a", f"v{i}") for i in range(50)]
+    meta = spark.createDataFrame(rows, "identifier string, k string").repartition(1).sortWithinPartitions(F.length("k"), "k")
+    got = {r["identifier"]: r["k"] for r in align.attach_to_headers(heads, meta).collect()}
+    assert got == {"a": "v0", "b": ""}
+
+
+def test_rows_without_a_key_do_not_meet(spark):
+    """Nine rows in ten without a label: the join spreads them."""
+    from atlasmill.operators import metrics
+
+    rows = spark.range(2000).select("id", F.when(F.col("id") % 10 == 0, F.concat(F.lit("c"), F.col("id") % 30)).alias("label"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = metrics.min_class_labels(rows, "label", 2)
+        sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sum(sizes) == 2000 and max(sizes) < 1200
+    assert out.filter("label is null").count() == 1800

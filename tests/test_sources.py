@@ -203,3 +203,12 @@ def test_structures(spark, tmp_path):
         z.writestr("readme.md", "x")
     row = structures.read_structure_archives(spark, str(tmp_path / "z.zip")).collect()
     assert [(r["identifier"], base64.b64decode(r["content"])) for r in row] == [("B", b"data_B")]
+
+
+def test_first_fasta_of_the_list_wins(spark, tmp_path):
+    """The place in the list decides, not the size by which the reader packs files."""
+    (tmp_path / "small.fasta").write_text(">X1\nMKV\n")
+    (tmp_path / "large.fasta").write_text(">X1\nAAA\n" + "".join(f">Y{i}\nMKVL\n" for i in range(4000)))
+    small, large = str(tmp_path / "small.fasta"), str(tmp_path / "large.fasta")
+    pick = lambda *paths: sequences.read_fasta(spark, list(paths)).filter("identifier = 'X1'").first()["sequence"]
+    assert pick(small, large) == "MKV" and pick(large, small) == "AAA"
