@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import map_arrow
+from ..session import cut_lineage, map_arrow
 from .arrays import list_column, matrix, vector
 from .ordering import one_row
 
@@ -172,6 +172,104 @@ def pca(df: DataFrame, k: int = 2, vec_col: str = "vec") -> tuple[DataFrame, dic
     return project(df, m.mean, axes, vec_col), info
 
 
+def _runs(batch: pa.RecordBatch, columns: list[str]) -> Iterator[pa.RecordBatch]:
+    """Stretches of a sorted batch in which the columns don't change."""
+    new = np.zeros(batch.num_rows, bool)
+    for c in columns:
+        v = batch.column(c).to_numpy(zero_copy_only=False)
+        new[1:] |= v[1:] != v[:-1]
+    cuts = np.flatnonzero(new).tolist()
+    for lo, hi in zip([0, *cuts], [*cuts, batch.num_rows]):
+        if hi > lo:
+            yield batch.slice(lo, hi - lo)
+
+
+def pca_by_group(df: DataFrame, by: str, k: int = 2, vec_col: str = "vec", out: str = "coords", part_rows: int = 1 << 17) -> DataFrame:
+    """Adds principal component scores of every group, each fitted on the group's own rows.
+
+    All groups share one scan: rows are sorted by group, so a task holds one
+    summary (D x D) at a time; groups larger than ``part_rows`` are summed in
+    parts. Groups with fewer rows than components get NULL scores.
+    """
+    head = df.select(F.size(vec_col).alias("dim")).first()
+    dim = int(head["dim"]) if head else 0
+    if dim > MAX_DIM:
+        raise ValueError(f"vectors of length {dim} exceed the supported {MAX_DIM}")
+    parts = df.groupBy(by).agg(F.ceil(F.count("*") / F.lit(part_rows)).cast("int").alias("_parts"))
+    parts = cut_lineage(parts)
+    group = f"{by} {df.schema[by].dataType.simpleString()}"
+    salted = df.join(parts, by).withColumn("_part", F.pmod(F.xxhash64(vec_col), F.col("_parts")).cast("int")).drop("_parts")
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, total, name = None, None, None
+
+        def close():
+            n, mean, scatter = total
+            return pa.RecordBatch.from_arrays(
+                [name, pa.array([n], pa.int64()), list_column(mean[None, :]), list_column(scatter.reshape(1, -1))],
+                names=[by, "n", "mean", "scatter"],
+            )
+
+        for batch in batches:
+            for run in _runs(batch, [by, "_part"]):
+                x = matrix(run.column("vec"), dim)
+                mean = x.mean(axis=0)
+                part = (len(x), mean, (x - mean).T @ (x - mean))
+                at = (run.column(by)[0].as_py(), run.column("_part")[0].as_py())
+                if at != key and total is not None:
+                    yield close()
+                    total = None
+                key, name = at, run.column(by).slice(0, 1)
+                total = part if total is None else _merge([total, part])
+        if total is not None:
+            yield close()
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, total, name = None, None, None
+
+        def close():
+            m = Moments(*total)
+            enough = m.n >= max(2, k)
+            values, vectors = np.linalg.eigh(m.covariance) if enough else (None, np.zeros((dim, dim)))
+            axes = fix_signs(vectors[:, np.argsort(values)[::-1][:k]]).T if enough else np.full((k, dim), np.nan)
+            return pa.RecordBatch.from_arrays([name, list_column(np.vstack((m.mean, axes)).reshape(1, -1))], names=[by, "fit"])
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                at = row.column(by)[0].as_py()
+                part = (row.column("n")[0].as_py(), matrix(row.column("mean"))[0], matrix(row.column("scatter"))[0].reshape(dim, dim))
+                if at != key and total is not None:
+                    yield close()
+                    total = None
+                key, name = at, row.column(by)
+                total = part if total is None else _merge([total, part])
+        if total is not None:
+            yield close()
+
+    slim = salted.select(by, "_part", F.col(vec_col).cast("array<double>").alias("vec")).repartition(by, "_part").sortWithinPartitions(by, "_part")
+    sums = map_arrow(slim, partial, f"{group}, n bigint, mean array<double>, scatter array<double>")
+    fits = map_arrow(sums.repartition(by).sortWithinPartitions(by), solve, f"{group}, fit array<double>")
+    fits = cut_lineage(fits).join(parts, by).select(by, F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"), "fit")
+    names = df.columns
+    stream = fits.withColumn("_role", F.lit(0)).unionByName(salted.withColumn("_role", F.lit(1)), allowMissingColumns=True)
+    stream = stream.repartition(by, "_part").sortWithinPartitions(by, "_part", "_role")
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fit = None
+        for batch in batches:
+            for run in _runs(batch, [by, "_part", "_role"]):
+                if run.column("_role")[0].as_py() == 0:
+                    fit = matrix(run.column("fit"))[0].reshape(k + 1, dim)
+                    continue
+                scores = (matrix(run.column(vec_col), dim) - fit[0]) @ fit[1:].T
+                column = list_column(scores) if np.isfinite(fit).all() else pa.nulls(len(scores), pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([*[run.column(c) for c in names], column], names=[*names, out])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return map_arrow(stream.select(*names, "_part", "_role", "fit"), place, f"{kinds}, {out} array<double>")
+
+
 def contrastive_axes(target: np.ndarray, background: np.ndarray, k: int, mu: float) -> tuple[np.ndarray, np.ndarray]:
     """Top generalized eigenpairs of ``target v = lambda (background + mu I) v``."""
     shifted = background + mu * np.eye(len(background)) if mu > 0 else background

@@ -268,6 +268,13 @@ def bootstrap_grid(spark, d):
     return grid.select(F.col("round").cast("bigint").alias("round"), "metric", r6("value").alias("value"))
 
 
+@query("bootstrap_refit")
+def bootstrap_refit(spark, d):
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("identifier"), F.col("embedding").alias("vec"), "label")
+    grid = benchmark.bootstrap_refit(rows, 100, [1, 15])
+    return grid.select(F.col("round").cast("bigint").alias("round"), "metric", r6("value").alias("value"))
+
+
 @query("relative_reduction", TICKETS.format(rounds=100) + """,
   m AS (SELECT round, avg(x) AS a, avg(y) AS b FROM b GROUP BY 1), g AS (SELECT avg(a) AS a, avg(b) AS b FROM m)
   SELECT round((a - b) / a, 6) AS relative_reduction, round(b - a, 6) AS difference FROM g""")

@@ -411,3 +411,18 @@ def test_block_sizes_stay_bounded(spark, monkeypatch):
     sizes = [r["count"] for r in blocks.points.groupBy("block").count().collect()]
     assert len(blocks.ids) == 2 and sum(sizes) == 3000 and max(sizes) <= 400
     assert max(r["block"] for r in blocks.points.select("block").distinct().collect()) < blocks.n_blocks
+
+
+def test_pca_by_group_is_pca_of_each_group(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(301, 6)) * [5, 3, 2, 1, 1, 1]
+    part = ["a" if i % 3 else "b" for i in range(300)] + ["one"]
+    rows = frame(spark, x, part=part)
+    got = {r["identifier"]: r["coords"] for r in linalg.pca_by_group(rows, "part", 2, part_rows=40).collect()}
+    assert len(got) == 301 and got["p0300"] is None
+    for name in ("a", "b"):
+        at = [i for i in range(300) if part[i] == name]
+        alone = linalg.pca(rows.filter(F.col("part") == name), 2)[0].collect()
+        assert len(alone) == len(at)
+        for r in alone:
+            np.testing.assert_allclose(got[r["identifier"]], r["coords"], atol=1e-9)
