@@ -326,7 +326,8 @@ def mature_substring(spark, d):
 
 SEGMENTS = """
   WITH s AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN '' ELSE trim(text) END AS seq,
-      CASE WHEN doc_id % 7 = 0 THEN NULL ELSE doc_id % 40 - 2 END AS a, doc_id % 90 AS b FROM documents),
+      CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 40 < 2 THEN -1 ELSE (doc_id % 40 - 2) * coalesce(length(text), 100) // 60 END AS a,
+      (doc_id % 90 + 10) * coalesce(length(text), 100) // 100 AS b FROM documents),
   g AS (SELECT *, CASE
       WHEN seq = '' THEN 'missing_sequence'
       WHEN a IS NULL OR a < 0 OR b <= a OR a >= length(seq) THEN 'bad_coordinates'
@@ -341,8 +342,8 @@ def _segments(spark, d) -> DataFrame:
     docs = table(spark, d, "documents").select(
         "doc_id",
         F.when(F.col("doc_id") % 11 == 0, F.lit("")).otherwise(F.col("text")).alias("seq"),
-        F.when(F.col("doc_id") % 7 == 0, F.lit("x")).otherwise((F.col("doc_id") % 40 - 2).cast("string")).alias("a"),
-        (F.col("doc_id") % 90).alias("b"),
+        F.expr("CASE WHEN doc_id % 7 = 0 THEN 'x' WHEN doc_id % 40 < 2 THEN '-1' ELSE cast((doc_id % 40 - 2) * coalesce(length(text), 100) div 60 AS string) END").alias("a"),
+        F.expr("(doc_id % 90 + 10) * coalesce(length(text), 100) div 100").alias("b"),
     )
     return docs.select("doc_id", scalars.segment_outcome(F.col("seq"), F.col("a"), F.col("b"), 5).alias("o")).select("doc_id", "o.*")
 
@@ -358,27 +359,27 @@ def skip_reason_counts(spark, d):
 
 
 @query("residue_preparation", """
-  SELECT item_id, regexp_replace(upper(replace(text, 'ß', 'ss')), '[BJOUZ]', 'X', 'g') AS residues FROM benchmark""")
+  SELECT doc_id, regexp_replace(upper(replace(text, 'ß', 'ss')), '[BJOUZ]', 'X', 'g') AS residues FROM documents""")
 def residue_preparation(spark, d):
-    return table(spark, d, "benchmark").select("item_id", scalars.clean_residues("text").alias("residues"))
+    return table(spark, d, "documents").select("doc_id", scalars.clean_residues("text").alias("residues"))
 
 
 @query("fasta_records", """
-  SELECT item_id, concat('>b', cast(item_id AS varchar), chr(10),
+  SELECT doc_id, concat('>b', cast(doc_id AS varchar), chr(10),
     rtrim(regexp_replace(regexp_replace(text, '\\s', '', 'g'), '(.{60})', '\\1' || chr(10), 'g'), chr(10))) AS record,
     length(regexp_replace(text, '\\s', '', 'g')) AS residues
-  FROM benchmark""")
+  FROM documents WHERE text IS NOT NULL""")
 def fasta_records(spark, d):
     from ..sources.sequences import fasta_lines
 
-    rows = table(spark, d, "benchmark").select(
-        "item_id", F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("identifier"),
+    rows = table(spark, d, "documents").filter("text is not null").select(
+        "doc_id", F.concat(F.lit("b"), F.col("doc_id").cast("string")).alias("identifier"),
         F.regexp_replace("text", r"[ \t\n\r\f\x0b]", "").alias("sequence"),
     )
     lines = fasta_lines(rows, 60).withColumnRenamed("value", "record")
-    joined = lines.withColumn("item_id", F.regexp_extract("record", r"^>b(\d+)", 1).cast("bigint"))
+    joined = lines.withColumn("doc_id", F.regexp_extract("record", r"^>b(\d+)", 1).cast("bigint"))
     size = F.length(F.regexp_replace(F.regexp_replace("record", r"^>[^\n]*\n", ""), "\n", ""))
-    return joined.select("item_id", "record", size.cast("bigint").alias("residues"))
+    return joined.select("doc_id", "record", size.cast("bigint").alias("residues"))
 
 
 # ------------------------------------------------------------------ JSON entries
