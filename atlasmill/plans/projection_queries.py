@@ -23,7 +23,7 @@ def _annotations(spark: SparkSession, d: str) -> DataFrame:
     emb = table(spark, d, "embeddings").select(F.col("vec_id").alias("identifier"), F.col("label").cast("string").alias("label"))
     docs = table(spark, d, "documents").select(
         F.col("doc_id").alias("identifier"), "lang", F.col("text").alias("sequence"),
-        F.lit("2").alias("seg_start"), (F.col("n_chars") % 60 + 5).cast("string").alias("seg_end"),
+        F.lit("2").alias("seg_start"), F.greatest(F.lit(7), F.expr("length(text) * (doc_id % 50 + 50) div 100")).cast("string").alias("seg_end"),
     )
     return emb.join(docs, "identifier", "left")
 
