@@ -23,6 +23,8 @@ UNIGRAM, BPE = 1, 2
 INFINITE = float("inf")
 #: Distance of an unknown character's score below the lowest score, as unigram models have it.
 UNKNOWN_PENALTY = 10.0
+#: Neighbouring pieces whose verdict is remembered.
+REMEMBERED_PAIRS = 1_000_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -152,6 +154,8 @@ class Transducer:
         key = left << 20 | right
         known = self._pairs.get(key)
         if known is None:
+            if len(self._pairs) >= REMEMBERED_PAIRS:
+                self._pairs.clear()
             known = self._pairs[key] = self._survive(left, right)
         return known
 
