@@ -54,7 +54,8 @@ def cuts(data: np.ndarray, bits: int = BITS, least: int = LEAST, most: int = MOS
 def chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, version, seq, start, stop, words, left, right, d1, d2): chunks with their digests.
 
-    Offsets are bytes; ``words`` counts word beginnings inside, ``left`` and ``right`` those of the neighbours.
+    Offsets are bytes; ``words`` counts word beginnings inside, ``left`` and ``right`` those of the neighbours. A digest
+    has 96 bits: one chance in 40,000 of any two alike among the chunks of 100 TB.
     """
 
     def rows(batch: pa.RecordBatch) -> list:
@@ -74,13 +75,13 @@ def chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
         if not owner:
             return None
         pick = pa.array(np.concatenate(owner))
-        both = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+        both = np.frombuffer(b"".join(digests), np.dtype([("d1", "<i8"), ("d2", "<i4"), ("rest", "<i4")]))
         numbers = np.concatenate(parts, axis=1).astype(np.int32)
-        return [batch.column("doc").take(pick), batch.column("version").take(pick), *numbers, both[:, 0].copy(), both[:, 1].copy()]
+        return [batch.column("doc").take(pick), batch.column("version").take(pick), *numbers, both["d1"].copy(), both["d2"].copy()]
 
     frame = docs.select(F.col(f"`{doc_id}`").alias("doc"), F.xxhash64(F.col(f"`{text}`")).alias("version"), raw(text).alias("t"))
     kind = frame.schema["doc"].dataType.simpleString()
-    return arrow_task(frame, f"doc {kind}, version bigint, seq int, start int, stop int, words int, left int, right int, d1 bigint, d2 bigint", rows)
+    return arrow_task(frame, f"doc {kind}, version bigint, seq int, start int, stop int, words int, left int, right int, d1 bigint, d2 int", rows)
 
 
 def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", inner: int = INNER, outer: int = OUTER) -> DataFrame:
@@ -89,17 +90,29 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Offsets are bytes of the text. ``first_...`` is the earliest occurrence of the passage's first chunk. Rows alike in id and
     text are one document; documents without an id come last; null and empty texts have no chunk.
     """
-    found = cut_lineage(chunks(docs, doc_id, text))
+    size = (F.col("stop") - F.col("start") - 1).alias("size")  # a byte, as the words are
+    found = cut_lineage(chunks(docs, doc_id, text).select("doc", "version", "start", size, "words", "left", "right", "d1", "d2"))
     place = F.struct(F.col("doc").isNull().alias("no_id"), "doc", "version", "start")
     shared = cut_lineage(
-        found.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min(place).alias("first")).where(F.col("n") > 1).drop("n"))
-    again = found.join(shared, ["d1", "d2"]).where(~place.eqNullSafe(F.col("first"))).dropDuplicates(["doc", "version", "seq"])
-    by_doc = Window.partitionBy("doc", "version").orderBy("seq")
-    runs = again.withColumn("run", F.col("seq") - F.row_number().over(by_doc))
-    at = F.struct("seq", "left", "first", "right")
+        found.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min(place).alias("first")).where(F.col("n") > 1)
+        .select("d1", "d2", F.struct("first.doc", "first.version", "first.start").alias("first")))
+    # every chunk is shuffled, so its numbers travel as one long
+    chunk = F.col("start").cast("bigint")
+    for column in ("size", "words", "left", "right"):
+        chunk = F.shiftleft(chunk, 8).bitwiseOR(F.col(column).cast("bigint"))
+    byte = lambda k: F.shiftright("chunk", k).bitwiseAND(F.lit(255))
+    start = F.shiftright("chunk", 32).cast("int")
+    stop = start + byte(24).cast("int") + 1
+    again = found.select("doc", "version", chunk.alias("chunk"), "d1", "d2").join(shared, ["d1", "d2"]).where(
+        ~F.struct("doc", "version", start).eqNullSafe(F.col("first")))
+    by_doc = Window.partitionBy("doc", "version").orderBy("chunk")
+    once = again.select("doc", "version", "chunk", "first", F.lag("chunk").over(by_doc).alias("before")).where(
+        ~F.col("before").eqNullSafe(F.col("chunk")))  # without the chunks of repeated rows
+    behind = once.withColumn("torn", F.coalesce(F.lag(stop).over(by_doc) != start, F.lit(True)).cast("int"))
+    runs = behind.withColumn("run", F.sum("torn").over(by_doc.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     spans = runs.groupBy("doc", "version", "run").agg(
-        F.min("start").alias("start"), F.max("stop").alias("stop"), F.count("*").alias("n_chunks"), F.sum("words").alias("n_words"),
-        F.min(at).alias("a"), F.max(at).alias("b"))
+        F.min(start).alias("start"), F.max(stop).alias("stop"), F.count("*").alias("n_chunks"), F.sum(byte(16)).alias("n_words"),
+        F.min(F.struct("chunk", byte(8).alias("left"), "first")).alias("a"), F.max(F.struct("chunk", byte(0).alias("right"))).alias("b"))
     whole = F.col("n_words") + F.col("a.left") + F.col("b.right")
     return spans.where((F.col("n_words") >= inner) & (whole >= outer)).select(
         F.col("doc").alias("doc_id"), "version", "start", "stop", "n_chunks", "n_words",
