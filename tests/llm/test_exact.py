@@ -258,6 +258,33 @@ def test_planted_passages(spark):
         assert r["first_doc_id"] < r["doc_id"] and r["first_doc_id"] % 30 == r["doc_id"] % 30
 
 
+def test_repeated_spans_are_runs_of_known_chunks(spark, documents):
+    docs = documents.select("doc_id", "text")
+    docs = docs.unionByName(docs.where("doc_id % 5 = 0")).unionByName(docs.where("doc_id % 40 = 0").withColumn("doc_id", F.lit(None).cast("bigint")))
+    rows = {(r["doc"] is None, r["doc"] or 0, r["version"], r["start"]): r for r in chunk_dedup.chunks(docs).collect()}
+    first: dict = {}
+    for place in sorted(rows):
+        first.setdefault((rows[place]["d1"], rows[place]["d2"]), place)
+    wanted, run = set(), []
+
+    def close():
+        words = sum(r["words"] for r in run)
+        if words >= chunk_dedup.INNER and words + run[0]["left"] + run[-1]["right"] >= chunk_dedup.OUTER:
+            head = first[run[0]["d1"], run[0]["d2"]]
+            wanted.add((run[0]["doc"], run[0]["version"], run[0]["start"], run[-1]["stop"], len(run), words, None if head[0] else head[1], head[3]))
+        run.clear()
+
+    for place in sorted(rows):
+        r = rows[place]
+        if run and (run[-1]["doc"], run[-1]["version"], run[-1]["seq"] + 1) != (r["doc"], r["version"], r["seq"]):
+            close()
+        if first[r["d1"], r["d2"]] != place:
+            run.append(r)
+    close() if run else None
+    found = [tuple(r) for r in chunk_dedup.repeated_spans(docs).collect()]
+    assert len(found) == len(set(found)) and set(found) == wanted and len(wanted) > 50
+
+
 def test_shards_are_even_and_groups_stay(spark):
     rng = random.Random(12)
     rows = [(i, f"text {i} " + "x" * rng.randrange(10, 900), "en", "a", 0) for i in range(6000)] + [(10_000 + i, "hot " * 60, "en", "b", 0) for i in range(3000)]
