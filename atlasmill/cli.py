@@ -1,4 +1,4 @@
-"""Command line: prepare, project, annotate, embed, bundle, style, inspect."""
+"""Command line: prepare, project, benchmark, annotate, embed, bundle, style, inspect."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from dataclasses import fields
 from pyspark.sql import functions as F
 
 from .model import ReducerParams, disambiguation_suffix, parse_methods, projection_name
-from .session import build_session, release_all
+from .session import build_session, cut_lineage, release_all
 
 _PARAMS = {f.name: f.type for f in fields(ReducerParams)}
 
@@ -76,6 +76,18 @@ def build_parser() -> argparse.ArgumentParser:
     proj.add_argument("--vec-col", default="vec")
     _add_params(proj)
 
+    ben = sub.add_parser("benchmark", help="compare projection methods on labelled vectors")
+    ben.add_argument("-i", "--input", required=True, help="path or path:name")
+    ben.add_argument("-l", "--labels", required=True, help="Parquet table with identifiers and a label column")
+    ben.add_argument("--label-col", default="label")
+    ben.add_argument("-m", "--methods", default="pca", help="comma-separated")
+    ben.add_argument("-k", "--neighbors", type=int, default=15)
+    ben.add_argument("--min-class-size", type=int, default=1, help="labels of smaller classes are left out")
+    ben.add_argument("-o", "--output", required=True)
+    ben.add_argument("--id-col", default="identifier")
+    ben.add_argument("--vec-col", default="vec")
+    _add_params(ben)
+
     ann = sub.add_parser("annotate", help="annotation table from stored source tables")
     ann.add_argument("-i", "--input", required=True, help="FASTA or a Parquet table with identifiers")
     ann.add_argument("-a", "--annotations", default="default")
@@ -164,6 +176,29 @@ def _project(spark, args) -> None:
     metadata_rows(spark, entries).write.mode("overwrite").parquet(f"{args.output}/projections_metadata.parquet")
 
 
+def _benchmark(spark, args) -> None:
+    from .operators.metrics import min_class_labels
+    from .plans import benchmark
+    from .plans.prepare import align_sets, load_sets
+
+    sets, _ = align_sets(load_sets(spark, [args.input], args.id_col, args.vec_col))
+    (vecs,) = sets.values()
+    labels = spark.read.parquet(args.labels).select(F.col(args.id_col).cast("string").alias("identifier"), F.col(args.label_col).cast("string").alias("label"))
+    labels = labels.where(F.col("label").isNotNull()).groupBy("identifier").agg(F.min("label").alias("label"))
+    if args.min_class_size > 1:
+        labels = min_class_labels(labels, "label", args.min_class_size, drop_rows=True)
+    rows = cut_lineage(vecs.join(labels, "identifier").select("identifier", "vec", "label"))
+    measures = {
+        "trustworthiness": benchmark.trust_metric(args.neighbors), "silhouette": benchmark.silhouette_metric(),
+        "knn_accuracy": benchmark.accuracy_metric(args.neighbors),
+    }
+    methods = [m.strip() for m in args.methods.split(",") if m.strip()]
+    results, table = benchmark.benchmark_methods(rows, methods, _params(args), measures)
+    if not results:
+        raise SystemExit(f"no method succeeded: {[r['info'] for r in table.collect()]}")
+    benchmark.write_benchmark(results, table, rows.select("identifier", "label"), args.output)
+
+
 def _annotate(spark, args) -> None:
     from .functions.scalars import parse_identifier
     from .plans.annotate_job import SourceTables, annotate_headers
@@ -245,7 +280,7 @@ def main(argv: list[str] | None = None) -> int:
     args = build_parser().parse_args(argv)
     spark = build_session()
     {
-        "annotate": _annotate, "bundle": _bundle, "embed": _embed, "inspect": _inspect, "prepare": _prepare,
+        "annotate": _annotate, "benchmark": _benchmark, "bundle": _bundle, "embed": _embed, "inspect": _inspect, "prepare": _prepare,
         "project": _project, "style": _style,
     }[args.command](spark, args)
     release_all(spark)

@@ -65,6 +65,21 @@ def test_prepare_needs_common_ids(spark, tmp_path):
         prepare(spark, PrepareRequest([f"{a}:x", f"{b}:y"], ["pca2"], str(tmp_path / "o")))
 
 
+def test_benchmark_command(spark, tmp_path):
+    ids = [f"x{n:02d}" for n in range(20)]
+    a = write_vectors(spark, str(tmp_path / "a.parquet"), ids)
+    labels = str(tmp_path / "labels.parquet")
+    rows = [(i, "even" if n % 2 == 0 else "odd" if n < 19 else "rare") for n, i in enumerate(ids)] + [("absent", "even"), ("x00", None)]
+    spark.createDataFrame(rows, "identifier string, family string").write.parquet(labels)
+    out = str(tmp_path / "bench")
+    assert cli.main(["benchmark", "-i", f"{a}:m", "-l", labels, "--label-col", "family", "-m", "pca,nothing", "-k", "3", "--min-class-size", "2", "-o", out]) == 0
+    found = {(r["method"], r["metric"]): r["value"] for r in spark.read.csv(f"{out}/metrics.csv", header=True, inferSchema=True).collect()}
+    assert {m for _, m in found} == {"trustworthiness", "silhouette", "knn_accuracy", "seconds", "error"} and ("nothing", "error") in found
+    assert 0.5 < found["pca", "trustworthiness"] <= 1 and 0 <= found["pca", "knn_accuracy"] <= 1
+    placed = spark.read.parquet(f"{out}/projections_data.parquet").collect()
+    assert {r["identifier"] for r in placed} == set(ids) - {"x19"}
+
+
 def test_command_line(spark, tmp_path, capsys):
     ids = [f"x{n:02d}" for n in range(12)]
     a = write_vectors(spark, str(tmp_path / "a.parquet"), ids)
