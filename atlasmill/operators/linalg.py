@@ -299,14 +299,15 @@ def contrastive_pca(
     mu: float = 1e-3,
     standard_scale: bool = True,
     target: DataFrame | None = None,
+    statistics: tuple[Moments, Moments] | None = None,
 ) -> tuple[DataFrame, dict]:
     """Axes with much variance in the target and little in the background.
 
     Each set is scaled by its own statistics for the eigenproblem; every row of
-    ``df`` is then projected in the target's frame.
+    ``df`` is then projected in the target's frame. ``statistics`` are the moments of
+    target and background where they are at hand, so that several fits scan them once.
     """
-    t = moments(df if target is None else target, vec_col)
-    b = moments(background, background_col)
+    t, b = statistics or (moments(df if target is None else target, vec_col), moments(background, background_col))
     if len(t.mean) != len(b.mean):
         raise ValueError(f"background has {len(b.mean)} features but input has {len(t.mean)}")
     if k > len(t.mean):

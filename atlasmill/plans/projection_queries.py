@@ -50,6 +50,32 @@ def pca3(spark, d):
     return _out(linalg.pca(_vectors(spark, d), 3)[0], 3)
 
 
+@query("pca_geometry", """
+  WITH e AS (SELECT vec_id, unnest(range(0, 64)) AS pos, unnest(embedding::double[]) AS v FROM embeddings),
+  c AS (SELECT vec_id, pos, v - avg(v) OVER (PARTITION BY pos) AS v FROM e),
+  norms AS (SELECT vec_id, sum(v * v) AS norm2 FROM c GROUP BY 1),
+  dots AS (SELECT a.vec_id, sum(a.v * b.v) AS dot_next FROM c a JOIN c b ON b.vec_id = a.vec_id + 1 AND a.pos = b.pos GROUP BY 1)
+  SELECT vec_id AS identifier, round(norm2, 6) + 0.0 AS norm2, round(dot_next, 6) + 0.0 AS dot_next FROM norms LEFT JOIN dots USING (vec_id)""")
+def pca_geometry(spark, d):
+    """Norms and neighbouring products of the scores on all axes: those of the centred vectors, as the axes are a rotation."""
+    scores, _ = linalg.pca(_vectors(spark, d), 64)
+    following = scores.select((F.col("identifier") - 1).alias("identifier"), F.col("coords").alias("other"))
+    add = lambda t, v: t + v
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), add)
+    return scores.join(following, "identifier", "left").select(
+        "identifier", r6(dot("coords", "coords")).alias("norm2"), r6(dot("coords", "other")).alias("dot_next"))
+
+
+@query("pca_total_variance", """
+  SELECT round(sum(s), 6) AS total FROM (SELECT var_samp(v) AS s FROM
+    (SELECT unnest(range(0, 64)) AS pos, unnest(embedding::double[]) AS v FROM embeddings) GROUP BY pos)""")
+def pca_total_variance(spark, d):
+    """Variance of the scores summed over all axes: the trace of the covariance."""
+    scores, _ = linalg.pca(_vectors(spark, d), 64)
+    axes = scores.select(F.posexplode("coords").alias("axis", "v")).groupBy("axis").agg(F.var_samp("v").alias("s"))
+    return axes.agg(r6(F.sum("s")).alias("total"))
+
+
 @query("ppca_explicit")
 def ppca_explicit(spark, d):
     other = table(spark, d, "embeddings").filter("label = 1").select(F.col("vec_id").alias("identifier"), F.col("embedding").alias("vec"))
