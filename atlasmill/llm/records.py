@@ -56,7 +56,8 @@ class Encoder:
     Its splitting pattern never joins what stands before a single blank or line end with what follows, if there is no
     other white space beside it. Such words are given to the library once, many in one text with line ends
     between them, and remembered; a line end before a word is part of its key. Texts with other or with
-    neighbouring white space are given to the library as they are.
+    neighbouring white space, and texts that hold an added token (such as ``<|endoftext|>``), are given to the
+    library as they are.
     """
 
     _OTHER = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -67,7 +68,10 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are what runs side by side
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        added = self.library.get_added_tokens_decoder().values()
+        self.added = tuple(t.content for t in added)
+        # such tokens could be met in normalised or joined text alone
+        self.whole = any(re.search(r"\s", t.content) or (t.normalized and self.library.normalizer is not None) for t in added)
         self.kind = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.kept: dict[str, bytes] = {}
         self.line_end = self._library("\n")
@@ -92,10 +96,10 @@ class Encoder:
         return out
 
     def encode(self, text: str) -> bytes:
-        """Ids of a text, without special tokens; strings that look like one are ordinary text."""
+        """Ids of a text as the library gives them by default: none is put around it, an added token in the text is one id."""
         if not text:
             return b""
-        if text[0].isspace() or text[-1].isspace() or any(x in text for x in self._NEIGHBOURS) or (not text.isascii() and self._OTHER.search(text)):
+        if self.whole or any(x in text for x in self.added) or text[0].isspace() or text[-1].isspace() or any(x in text for x in self._NEIGHBOURS) or (not text.isascii() and self._OTHER.search(text)):
             return self._library(text).tobytes()
         words = ("\n" + text.replace("\n", " \n")).split(" ")
         table = self.kept

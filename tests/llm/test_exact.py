@@ -187,6 +187,25 @@ def test_encoder_is_the_library():
         assert np.frombuffer(encoder.encode(text), encoder.kind).tolist() == encoder.library.encode(text, add_special_tokens=False).ids
 
 
+def test_encoder_takes_added_tokens_as_the_library_does(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(records.default_vocabulary())
+    encoder, rng = records.encoder(records.default_vocabulary()), random.Random(4)
+    parts = ["a", "see", "<|endoftext|>", "<|endof", "text|>", "é", "\n", "  ", "日本"]
+    some = ["see a <|endoftext|> b", "<|endoftext|>", "a<|endoftext|>b\n<|endoftext|>"]
+    some += ["".join(rng.choice(parts) + rng.choice(["", " ", "\n"]) for _ in range(rng.randrange(1, 9))) for _ in range(1000)]
+    wanted = [library.encode(t, add_special_tokens=False).ids for t in some]
+    assert wanted[0] == [3826, 257, 220, 50256, 275]
+    assert [np.frombuffer(encoder.encode(t), encoder.kind).tolist() for t in some] == wanted
+    index, folder = records.write_records(plain([(i, t, "en", "a", 0) for i, t in enumerate(some[:40])], spark), str(tmp_path / "r"))
+    start = 0
+    for r in sorted(records.read_records(index, folder).collect(), key=lambda r: r["doc_id"]):
+        ids = [*wanted[r["doc_id"]], 0]
+        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+
+
 def test_context_sums(spark):
     rng = random.Random(6)
     lists = [[f"w{rng.randrange(40)}" for _ in range(n)] for n in (0, 1, 2, 5, 700, 1500)]
