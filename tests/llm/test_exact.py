@@ -64,6 +64,30 @@ def test_simhash_groups_of_documents(documents, spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == roots(near, ids)
 
 
+def test_near_texts_of_the_pipeline_are_all_pairs_at_four_fifths(spark, documents):
+    """Near copies with a few edited words, of which fingerprints within four bits missed most, against all pairs."""
+    rng = random.Random(21)
+    word = lambda: f"w{rng.randrange(5000)}"
+    rows = [(r["doc_id"], r["text"]) for r in documents.collect()]
+    for g in range(40):
+        base = [word() for _ in range((100, 200, 400)[g % 3])]
+        rows.append((10_000 + 100 * g, " ".join(base)))
+        for c in range(1, 6):
+            copy = list(base)
+            for _ in range(rng.choice((1, 1, 2, 4, 9, 16))):
+                copy[rng.randrange(len(copy))] = word()
+            rows.append((10_000 + 100 * g + c, " ".join(copy)))
+    sets = {}
+    for d, t in rows:
+        w = t.encode().lower().split()
+        sets[d] = {b" ".join(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    ids = sorted(sets)
+    near = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1:] if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    wanted = set(roots(near, ids).values())
+    docs = plain([(d, t, "en", "a", 0) for d, t in rows], spark)
+    assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()} == wanted and len(near) > 100
+
+
 @pytest.mark.parametrize("tile", [8, 64, 2048])
 def test_simhash_links_in_crowded_cells(spark, tile):
     rng = random.Random(9)
