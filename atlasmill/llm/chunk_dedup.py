@@ -4,6 +4,8 @@ A gear hash over the last 32 bytes decides where a text is cut, so the cuts move
 changes the chunks around it alone. Chunks are grouped by digest; the first occurrence (smallest id, then place)
 stays. A passage counts as repeated if consecutive chunks that occurred before hold at least ``inner`` words and,
 with the two partly shared chunks around them, ``outer`` words: common phrases and single lines stay untouched.
+Words are what stands between ASCII white space, so repeated passages in scripts without blanks are out of reach,
+however long they are.
 """
 
 from __future__ import annotations
