@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunk_dedup, decontaminate, language_id, line_dedup, quality_classifier, quality_rules, records, sentencepiece_codec, sharding, simhash
+from . import (
+    chunk_dedup,
+    decontaminate,
+    language_id,
+    lexical_search,
+    line_dedup,
+    quality_classifier,
+    quality_rules,
+    records,
+    sentencepiece_codec,
+    sharding,
+    simhash,
+    toxicity,
+    vector_codes,
+)
 from .common import read
 
 
@@ -65,12 +79,70 @@ def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.report(decontaminate.hits(read(spark, folder, "documents"), read(spark, folder, "benchmark")))
 
 
+def op11_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 best documents of every benchmark item."""
+    return lexical_search.search(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
+def op12_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    """Code and error of every vector, the error of its label and the digest of the codebooks."""
+    return vector_codes.encode(read(spark, folder, "embeddings")).drop("label")
+
+
+def op13_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Chance that a document is toxic, for every document."""
+    return toxicity.score(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_line_dedup, op2_simhash, op3_fertility_rules, op4_sentencepiece, op5_token_records, op6_quality_classifier,
-                            op7_language_id, op8_chunk_dedup, op9_sampled_splitters, op10_decontaminate)
+                            op7_language_id, op8_chunk_dedup, op9_sampled_splitters, op10_decontaminate, op11_lexical_search, op12_vector_codes,
+                            op13_toxicity)
 }
 
+
+def _codes_sql() -> str:
+    """Two rounds of learning and the final assignment, a component a row."""
+    rounds = []
+    for k in range(vector_codes.ROUNDS + 1):
+        rounds.append(f"""
+        apart{k} AS (SELECT c.vec_id, c.p, b.e, CAST(sum((c.x - b.x) * (c.x - b.x)) AS BIGINT) AS d FROM parts c JOIN book{k} b USING (p, j) GROUP BY ALL),
+        owner{k} AS (SELECT vec_id, p, min(d * 64 + e) % 64 AS e, min(d * 64 + e) // 64 AS d FROM apart{k} GROUP BY ALL),
+        mean{k} AS (SELECT p, e, j, CAST(floor(sum(x) / count(*)) AS BIGINT) AS x FROM parts JOIN owner{k} USING (vec_id, p) GROUP BY ALL),
+        book{k + 1} AS (SELECT b.p, b.e, b.j, coalesce(m.x, b.x) AS x FROM book{k} b LEFT JOIN mean{k} m USING (p, e, j))""")
+    last = vector_codes.ROUNDS
+    return f"""
+        WITH kept AS (
+            SELECT vec_id, label, [CAST(floor(256.0 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS v FROM embeddings
+            WHERE len(embedding) > 0 AND len([x for x in embedding if x IS NOT NULL AND isfinite(x)]) = len(embedding)
+        ), parts AS (
+            SELECT vec_id, (i - 1) // (len(v) // 16) AS p, (i - 1) % (len(v) // 16) AS j, x
+            FROM (SELECT vec_id, v, unnest(v) AS x, unnest(generate_series(1, len(v))) AS i FROM kept)
+        ), first AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM (SELECT vec_id FROM kept ORDER BY vec_id LIMIT 64)),
+        book0 AS (SELECT p, e, j, x FROM parts JOIN first USING (vec_id)), {",".join(rounds)},
+        coded AS (
+            SELECT vec_id, string_agg(lpad(lower(hex(e)), 2, '0'), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM owner{last} GROUP BY vec_id
+        ), hashed AS (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY p, e, j)) AS codebooks_sha256 FROM book{last}),
+        by_label AS (SELECT label, CAST(sum(error) AS BIGINT) AS label_error FROM coded JOIN kept USING (vec_id) GROUP BY label)
+        SELECT c.vec_id, c.code, c.error, l.label_error, h.codebooks_sha256
+        FROM coded c JOIN kept k USING (vec_id) JOIN by_label l ON l.label IS NOT DISTINCT FROM k.label, hashed h"""
+
+
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
 ORACLES: dict[str, str] = {
+    "op11_lexical_search": f"""
+        WITH docs AS (SELECT doc_id, w, len(w) AS n FROM (SELECT doc_id, {_TERMS} AS w FROM documents) WHERE len(w) > 0),
+        sizes AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS length FROM docs),
+        asked AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY ALL),
+        tf AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, n, unnest(w) AS term FROM docs) SEMI JOIN asked USING (term) GROUP BY ALL),
+        weight AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), sizes),
+        impact AS (SELECT doc_id, term, (1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // length)) AS i FROM tf, sizes),
+        scored AS (
+            SELECT item_id, doc_id, CAST(sum(times * w * i) AS BIGINT) AS score FROM asked JOIN weight USING (term) JOIN impact USING (term) GROUP BY ALL
+        ), ranked AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+        SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 20""",
+    "op12_vector_codes": _codes_sql(),
     "op1_line_dedup": r"""
         WITH lines AS (
             SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, unnest(generate_series(0, len(string_split(text, chr(10))) - 1)) AS pos
