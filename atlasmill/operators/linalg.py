@@ -191,6 +191,43 @@ def pca_by_group(df: DataFrame, by: str, k: int = 2, vec_col: str = "vec", out:
     summary (D x D) at a time; groups larger than ``part_rows`` are summed in
     parts. Groups with fewer rows than components get NULL scores.
     """
+
+    def principal(m: Moments) -> np.ndarray | None:
+        if m.n < max(2, k):
+            return None
+        values, vectors = np.linalg.eigh(m.covariance)
+        return fix_signs(vectors[:, np.argsort(values)[::-1][:k]])
+
+    return _fitted_by_group(df, by, k, lambda: principal, vec_col, out, part_rows)
+
+
+def contrastive_pca_by_group(
+    df: DataFrame, by: str, background: Moments, k: int = 2, vec_col: str = "vec", mu: float = 1e-3, standard_scale: bool = True,
+    out: str = "coords", part_rows: int = 1 << 17,
+) -> DataFrame:
+    """Adds scores of :func:`contrastive_pca` for every group, each against the same background; all groups share one scan.
+
+    Groups of fewer than two rows get NULL scores.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(background)  # D x D, D is checked
+
+    def fitted():
+        other = shared.value
+
+        def fit(m: Moments) -> np.ndarray | None:
+            if m.n < 2:
+                return None
+            if standard_scale:
+                return contrastive_axes(m.correlation, other.correlation, k, mu)[1] / m.std[:, None]
+            return contrastive_axes(m.covariance, other.covariance, k, mu)[1]
+
+        return fit
+
+    return _fitted_by_group(df, by, k, fitted, vec_col, out, part_rows)
+
+
+def _fitted_by_group(df: DataFrame, by: str, k: int, fitted, vec_col: str, out: str, part_rows: int) -> DataFrame:
+    """Scores of every group on the axes that ``fitted()`` finds from its moments."""
     head = df.select(F.size(vec_col).alias("dim")).first()
     dim = int(head["dim"]) if head else 0
     if dim > MAX_DIM:
@@ -225,13 +262,12 @@ def pca_by_group(df: DataFrame, by: str, k: int = 2, vec_col: str = "vec", out:
             yield close()
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, total, name = None, None, None
+        key, total, name, fit = None, None, None, fitted()
 
         def close():
             m = Moments(*total)
-            enough = m.n >= max(2, k)
-            values, vectors = np.linalg.eigh(m.covariance) if enough else (None, np.zeros((dim, dim)))
-            axes = fix_signs(vectors[:, np.argsort(values)[::-1][:k]]).T if enough else np.full((k, dim), np.nan)
+            found = fit(m)
+            axes = np.full((k, dim), np.nan) if found is None else found.T
             return pa.RecordBatch.from_arrays([name, list_column(np.vstack((m.mean, axes)).reshape(1, -1))], names=[by, "fit"])
 
         for batch in batches:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from . import distances
+from . import distances, logistic
 from .arrays import matrix, vector
 from .neighbors import distance_ranks, knn
 from .ordering import one_row, position_in_group, with_position
@@ -281,6 +281,7 @@ def labels_from_annotations(
 
 
 def label_summary(df: DataFrame, label_col: str = "label") -> DataFrame:
+    """How many rows there are, how many have a label, and how many labels; :func:`class_sizes` has their sizes."""
     return df.agg(
         F.count("*").alias("n_total"),
         F.count(label_col).alias("n_labelled"),
@@ -288,63 +289,62 @@ def label_summary(df: DataFrame, label_col: str = "label") -> DataFrame:
     )
 
 
-def stratified_folds(df: DataFrame, id_col: str, label_col: str, folds: int = 5, seed: int = 42) -> DataFrame:
-    """Deterministic stratified folds: the rows of a class, in an order by hash, take the folds in turn.
+def class_sizes(df: DataFrame, label_col: str = "label") -> DataFrame:
+    """(label, n): rows of every class, the largest first."""
+    return df.where(F.col(label_col).isNotNull()).groupBy(label_col).agg(F.count("*").alias("n")).orderBy(F.desc("n"), label_col)
+
+
+def stratified_folds(df: DataFrame, id_col: str, label_col: str, folds: int | Column = 5, seed: int = 42, by: list[str] = ()) -> DataFrame:
+    """Deterministic stratified folds: the rows of a class (within the group of ``by``), in an order by hash, take the folds in turn.
 
     Fold sizes of a class differ by one at most, so a class of ``folds`` rows is in every fold.
     """
     order = [F.xxhash64(F.lit(seed), F.col(label_col), F.col(id_col)), F.col(id_col)]
-    placed = position_in_group(df, [label_col], order, "_turn")
+    placed = position_in_group(df, [*by, label_col], order, "_turn")
     return placed.withColumn("fold", (F.col("_turn") % folds).cast("int")).drop("_turn")
 
 
-def macro_f1_from_pairs(pairs: DataFrame, truth: str = "label", predicted: str = "predicted") -> DataFrame:
-    """Macro F1 over the classes of (truth, predicted) rows."""
-    cells = pairs.groupBy(truth, predicted).agg(F.count("*").alias("n"))
+def macro_f1_from_pairs(pairs: DataFrame, truth: str = "label", predicted: str = "predicted", by: list[str] = (), n: Column | None = None) -> DataFrame:
+    """Macro F1 over the classes of (truth, predicted) rows, or of cells that stand for ``n`` rows; per group of ``by``."""
+    by = list(by)
+    cells = pairs.groupBy(*by, truth, predicted).agg((F.count("*") if n is None else F.sum(n)).alias("n"))
     hit = F.when(F.col(truth) == F.col(predicted), F.col("n")).otherwise(0)
-    by_truth = cells.groupBy(F.col(truth).alias("c")).agg(F.sum("n").alias("support"), F.sum(hit).alias("tp"))
-    by_guess = cells.groupBy(F.col(predicted).alias("c")).agg(F.sum("n").alias("guessed"))
-    joined = by_truth.join(by_guess, "c", "full").na.fill(0, ["support", "tp", "guessed"])
+    by_truth = cells.groupBy(*by, F.col(truth).alias("c")).agg(F.sum("n").alias("support"), F.sum(hit).alias("tp"))
+    by_guess = cells.groupBy(*by, F.col(predicted).alias("c")).agg(F.sum("n").alias("guessed"))
+    joined = by_truth.join(by_guess, [*by, "c"], "full").na.fill(0, ["support", "tp", "guessed"])
     f1 = F.lit(2.0) * F.col("tp") / (F.col("support") + F.col("guessed"))
-    return joined.agg(F.avg(f1).alias("macro_f1"))
+    return joined.groupBy(*by).agg(F.avg(f1).alias("macro_f1"))
 
 
 def macro_f1(
-    df: DataFrame, id_col: str = "identifier", label_col: str = "label", folds: int = 5, seed: int = 42
+    df: DataFrame, id_col: str = "identifier", label_col: str = "label", folds: int = 5, seed: int = 42, by: list[str] = ()
 ) -> DataFrame:
-    """Cross-validated macro F1 of a class-balanced logistic regression on scaled x, y."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import StringIndexer, VectorAssembler
-
-    rows = standard_scaled(df.select(id_col, label_col, "x", "y"), ["x", "y"])
-    sizes = rows.groupBy(label_col).agg(F.count("*").alias("_n"))
-    facts = sizes.agg(F.min("_n").alias("small"), F.count("*").alias("classes"), F.sum("_n").alias("n")).first()
-    if facts["classes"] < 2 or facts["small"] < 2:
-        return df.sparkSession.createDataFrame([(None,)], "macro_f1 double")
-    folds = min(folds, int(facts["small"]))
-    rows = rows.withColumn("_text", F.col(label_col).cast("string"))
-    indexed = StringIndexer(inputCol="_text", outputCol="target", stringOrderType="alphabetAsc").fit(rows).transform(rows)
-    ready = stratified_folds(indexed, id_col, label_col, folds, seed)
-    ready = cut_lineage(ready.select(id_col, label_col, "target", "x", "y", "fold"))
-    ready = VectorAssembler(inputCols=["x", "y"], outputCol="features").transform(ready)
-    parts = []
-    for fold in range(folds):
-        train = ready.filter(F.col("fold") != fold)
-        counts = train.groupBy(label_col).agg(F.count("*").alias("_n"))
-        n, classes = counts.agg(F.sum("_n"), F.count("*")).first()
-        weighted = train.join(counts, label_col).withColumn("weight", F.lit(float(n) / classes) / F.col("_n"))
-        model = LogisticRegression(
-            labelCol="target", weightCol="weight", maxIter=1000, family="multinomial", regParam=1.0 / int(n)
-        ).fit(weighted)
-        parts.append(
-            model.transform(ready.filter(F.col("fold") == fold)).select(
-                F.col("target").alias("label"), F.col("prediction").alias("predicted")
-            )
-        )
-    scored = parts[0]
-    for p in parts[1:]:
-        scored = scored.unionByName(p)
-    return macro_f1_from_pairs(scored)
+    """Cross-validated macro F1 of a class-balanced logistic regression on scaled x, y; all groups of ``by`` in one job.
+
+    Folds are stratified, at most as many as the smallest class has rows. Groups with fewer than two classes, or with
+    a class of one row, get NULL. Rows without a label don't count.
+    """
+    by = list(by)
+    labelled = df.select(*by, id_col, F.col(label_col).cast("string").alias("_label"), "x", "y").where("_label is not null")
+    rows = standard_scaled(labelled, ["x", "y"], by)
+    sizes = rows.groupBy(*by, "_label").agg(F.count("*").alias("_n"))
+    facts = sizes.groupBy(*by).agg(F.min("_n").alias("_small"), F.count("*").alias("_classes"))
+    facts = facts.withColumns({"grp": F.xxhash64(*by) if by else F.lit(0).cast("bigint"), "_folds": F.least(F.lit(folds), F.col("_small")).cast("int")})
+    facts = cut_lineage(facts.withColumn("_fit", F.coalesce((F.col("_classes") > 1) & (F.col("_small") > 1), F.lit(False))))
+    # classes by name; a group has one row a class here
+    classes = sizes.withColumn("class", F.row_number().over(Window.partitionBy(*by).orderBy("_label")) - 1).drop("_n")
+    usable = facts.where("_fit").select(*by, "grp", "_folds")
+    if by:
+        joined = rows.join(usable, by)
+    else:
+        one = usable.first()
+        joined = rows.withColumns({"grp": F.lit(0).cast("bigint"), "_folds": F.lit(one["_folds"] if one else 1)}).where(F.lit(one is not None))
+    placed = stratified_folds(joined.join(classes, [*by, "_label"]), id_col, "_label", F.col("_folds"), seed, by)
+    placed = cut_lineage(placed.select("grp", F.xxhash64(id_col).alias("row"), "x", "y", F.col("class").cast("bigint").alias("class"), F.col("fold").cast("bigint").alias("fold")))
+    counted = placed.groupBy("grp", "fold", "class").agg(F.count("*").alias("n"))
+    cells = logistic.confusion(placed, counted)
+    scores = macro_f1_from_pairs(cells, "truth", "guess", ["grp"], F.col("n"))
+    return facts.join(scores, "grp", "left").select(*by, "macro_f1")
 
 
 def percentile_ci(df: DataFrame, value_col: str, by: list[str]) -> DataFrame:

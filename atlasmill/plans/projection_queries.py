@@ -130,17 +130,17 @@ def tsne2(spark, d):
 
 @query("umap2")
 def umap2(spark, d):
-    return _out(layout.umap(_vectors(spark, d), 2, iterations=30)[0], 2)
+    return _out(layout.umap(_vectors(spark, d), 2)[0], 2)
 
 
 @query("pacmap2")
 def pacmap2(spark, d):
-    return _out(layout.pacmap(_vectors(spark, d), 2, iterations=30)[0], 2)
+    return _out(layout.pacmap(_vectors(spark, d), 2)[0], 2)
 
 
 @query("localmap2")
 def localmap2(spark, d):
-    return _out(layout.localmap(_vectors(spark, d), 2, iterations=30)[0], 2)
+    return _out(layout.localmap(_vectors(spark, d), 2)[0], 2)
 
 
 @query("embed_sequences")
