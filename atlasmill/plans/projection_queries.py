@@ -125,7 +125,7 @@ def mds_similarity(spark, d):
 
 @query("tsne2")
 def tsne2(spark, d):
-    return _out(layout.tsne(_vectors(spark, d), 2, ReducerParams(learning_rate=50.0), iterations=50)[0], 2)
+    return _out(layout.tsne(_vectors(spark, d), 2, ReducerParams(learning_rate=50.0))[0], 2)
 
 
 @query("umap2")
