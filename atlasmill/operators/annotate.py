@@ -36,11 +36,27 @@ TAXON_SCHEMA = (
 DOMAIN_SCHEMA = "struct<annotations:array<struct<ted_domain_no:int,cath_label:string,plddt:double>>>"
 
 
+def _by_text(cells: DataFrame, id_col: str, cell_col: str, resolve) -> DataFrame:
+    """Cells resolved once per distinct text and joined back: ``resolve(texts)`` turns (_id, cell) rows into (_id, result) rows.
+
+    One side of the join has every text once, so a text that very many rows share can be split.
+    """
+    texts = cells.select(F.col(cell_col).alias("_id"), F.col(cell_col)).distinct()
+    done = cut_lineage(resolve(texts))
+    result = next(c for c in done.columns if c != "_id")
+    rows = cells.select(id_col, F.col(cell_col).alias("_text"))
+    return rows.join(done, F.col("_text").eqNullSafe(F.col("_id")), "left").select(id_col, result)
+
+
 def name_items(cells: DataFrame, names: DataFrame, key: str, value: str, id_col: str = "identifier", cell_col: str = "cell") -> DataFrame:
-    """Append ``(name)`` to the items of a cell by a join (any dictionary size).
+    """Append ``(name)`` to the items of a cell by a join (any dictionary size); every distinct cell text is resolved once.
 
     Item order and evidence are kept, blank items are dropped.
     """
+    return _by_text(cells, id_col, cell_col, lambda texts: _named_items(texts, names, key, value, "_id", cell_col))
+
+
+def _named_items(cells: DataFrame, names: DataFrame, key: str, value: str, id_col: str, cell_col: str) -> DataFrame:
     exploded = cells.select(id_col, F.posexplode_outer(F.split(cell_col, ";")).alias("pos", "item"))
     code, evidence = split_last_pipe(F.trim("item"))
     exploded = exploded.select(id_col, "pos", code.alias(key), evidence.alias("_evidence"))
@@ -58,7 +74,11 @@ def name_items(cells: DataFrame, names: DataFrame, key: str, value: str, id_col:
 
 
 def clans_by_join(cells: DataFrame, clans: DataFrame, id_col: str = "identifier", cell_col: str = "pfam") -> DataFrame:
-    """Sorted distinct clans of the accessions in a cell, by a join on ``clans(accession, clan)``."""
+    """Sorted distinct clans of the accessions in a cell, by a join on ``clans(accession, clan)``; every distinct text is resolved once."""
+    return _by_text(cells, id_col, cell_col, lambda texts: _clans(texts, clans, "_id", cell_col))
+
+
+def _clans(cells: DataFrame, clans: DataFrame, id_col: str, cell_col: str) -> DataFrame:
     found = F.regexp_extract_all(F.coalesce(cell_col, F.lit("")), F.lit(r"(PF\d+)"), F.lit(1))
     exploded = cells.select(id_col, F.explode_outer(F.array_distinct(found)).alias("accession"))
     spread = exploded.withColumn("accession", spread_nulls("accession", id_col))

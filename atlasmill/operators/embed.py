@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..model import refuse_unknown
 from ..session import map_arrow, task_width
 from .align import fan_out, unique_sequences
 from .arrays import list_column
@@ -41,12 +42,8 @@ _MODELS: dict[str, Model] = {}
 
 
 def resolve_model_key(name: str) -> str:
-    if name in MODEL_KEYS:
-        return MODEL_KEYS[name]
-    import difflib
-
-    close = difflib.get_close_matches(name, MODEL_KEYS, n=3, cutoff=0.5)
-    raise ValueError(f"Unknown embedder '{name}'." + (f" Did you mean: {', '.join(close)}?" if close else ""))
+    refuse_unknown("embedder", [name], MODEL_KEYS)
+    return MODEL_KEYS[name]
 
 
 def register_model(name: str, model: Model) -> None:
@@ -60,18 +57,20 @@ def get_model(name: str) -> Model:
 
 
 def composition(dim: int) -> Model:
-    """A stand-in model: hashed 3-mer frequencies, for runs without a language model."""
+    """A stand-in model: hashed 3-mer frequencies, for runs without a language model.
+
+    A 3-mer's code is 961 a + 31 b + c of its code points (0 behind the end of a short sequence), modulo ``dim``.
+    """
     return partial(_composition, dim=dim)
 
 
 def _composition(sequences: list[str], dim: int) -> np.ndarray:
-    from zlib import crc32
-
     out = np.zeros((len(sequences), dim))
     for row, s in enumerate(sequences):
-        codes = np.array([crc32(s[i : i + 3].encode()) % dim for i in range(max(len(s) - 2, 1))])
-        np.add.at(out[row], codes, 1.0)
-        out[row] /= len(codes)
+        points = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        points = np.concatenate((points, np.zeros(max(0, 3 - len(points)), np.int64)))
+        codes = (961 * points[:-2] + 31 * points[1:-1] + points[2:]) % dim
+        out[row] = np.bincount(codes, minlength=dim) / len(codes)
     return out
 
 

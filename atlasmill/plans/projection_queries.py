@@ -143,8 +143,15 @@ def localmap2(spark, d):
     return _out(layout.localmap(_vectors(spark, d), 2)[0], 2)
 
 
-@query("embed_sequences")
+@query("embed_sequences", r"""
+  WITH c AS (SELECT doc_id, unnest(l) AS ch, unnest(generate_series(1, len(l))) AS i, len(l) AS n FROM (SELECT doc_id, regexp_extract_all(text, '(?s).') AS l FROM documents)),
+  w AS (SELECT doc_id, i, greatest(n - 2, 1) AS n, 961 * unicode(ch) + 31 * coalesce(lead(unicode(ch)) OVER p, 0) + coalesce(lead(unicode(ch), 2) OVER p, 0) AS code
+        FROM c WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
+  h AS (SELECT doc_id, code % 16 AS pos, n, count(*) AS m FROM w WHERE i <= n GROUP BY ALL)
+  SELECT d.doc_id AS identifier, CAST(p.pos AS INTEGER) AS pos,
+    round(CAST(CAST(CASE WHEN length(d.text) = 0 THEN CAST(p.pos = 0 AS INTEGER) ELSE coalesce(h.m / h.n, 0) END AS FLOAT) AS DOUBLE), 6) AS v
+  FROM documents d, (SELECT unnest(range(0, 16)) AS pos) p LEFT JOIN h ON h.doc_id = d.doc_id AND h.pos = p.pos WHERE d.text IS NOT NULL""")
 def embed_sequences(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("identifier"), F.col("text").alias("sequence"))
     out = embed.embed(docs, embed.composition(16))
-    return out.select("identifier", F.posexplode("vec").alias("pos", "v")).select("identifier", "pos", r6("v").alias("v"))
+    return out.select("identifier", F.posexplode("vec").alias("pos", "v")).select("identifier", "pos", r6(F.col("v").cast("double")).alias("v"))
