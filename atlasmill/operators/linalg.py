@@ -1,13 +1,17 @@
 """Linear algebra from sufficient statistics.
 
 A data set of any length is reduced to (n, mean, scatter) by one pass of
-per-partition partial statistics merged pairwise in a fan-in stage. Only that
+per-partition partial statistics merged pairwise in one or two fan-in stages, so
+that no task receives more than about the square root of all summaries. Only that
 D x D summary (D is checked) reaches the driver, where the small eigenproblem
-is solved; the rows themselves stay distributed.
+is solved; the rows themselves stay distributed. Beyond ``MAX_DIM`` dimensions
+principal components are found without that matrix, by passes that multiply it with
+a few vectors.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,6 +26,8 @@ from .ordering import one_row
 
 MAX_DIM = 4096
 FAN_IN_BYTES = 256 << 20
+#: Components by passes: extra vectors of a block, passes at most, residual (share of the largest eigenvalue) that ends them.
+EXTRA, PASSES, RESIDUAL = 8, 40, 1e-7
 
 
 @dataclass(frozen=True)
@@ -73,6 +79,21 @@ def _emit(part) -> Iterator[pa.RecordBatch]:
         )
 
 
+def fan_widths(df: DataFrame, most: int) -> list[int]:
+    """Widths of the fan-in stages behind one summary per task of ``df``: the last has ``most`` tasks at most.
+
+    The number of tasks is estimated from the sizes of the tables that are read; one of unknown size counts as the cluster's width.
+    """
+    spark = df.sparkSession
+    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    leaves, tasks = df._jdf.queryExecution().optimizedPlan().collectLeaves(), 0
+    for i in range(leaves.size()):
+        size = int(str(leaves.apply(i).stats().sizeInBytes()))
+        tasks += size // split + 1 if size < 1 << 60 else spark.sparkContext.defaultParallelism
+    first = min(4096, math.isqrt(tasks) + 1)
+    return [first] if first <= most else [first, max(1, min(most, math.isqrt(first)))]
+
+
 def moments(df: DataFrame, vec_col: str = "vec") -> Moments:
     """Count, mean and scatter matrix of a vector column."""
     head = df.select(F.size(vec_col).alias("dim")).first()
@@ -106,7 +127,8 @@ def moments(df: DataFrame, vec_col: str = "vec") -> Moments:
     schema = "n bigint, mean array<double>, scatter array<double>"
     fan_in = max(1, min(64, FAN_IN_BYTES // (8 * dim * dim)))
     parts = map_arrow(df.select(F.col(vec_col).cast("array<double>").alias("vec")), partial, schema)
-    parts = map_arrow(parts.repartition(fan_in), combine, schema)
+    for width in fan_widths(df, fan_in):
+        parts = map_arrow(parts.repartition(width), combine, schema)
     rows = parts.collect()  # at most fan_in summaries of bounded size
     n, mean, scatter = _merge(
         [(r["n"], np.array(r["mean"]), np.array(r["scatter"]).reshape(dim, dim)) for r in sorted(rows)]
@@ -155,6 +177,9 @@ def fix_signs(axes: np.ndarray) -> np.ndarray:
 
 def pca(df: DataFrame, k: int = 2, vec_col: str = "vec") -> tuple[DataFrame, dict]:
     """Principal component scores (column ``coords``) and the fit's parameters."""
+    head = df.select(F.size(vec_col).alias("dim")).first()
+    if head is not None and head["dim"] > MAX_DIM:
+        return _pca_by_passes(df, k, vec_col, int(head["dim"]))
     m = moments(df, vec_col)
     dim = len(m.mean)
     if k > min(m.n, dim):
@@ -166,12 +191,84 @@ def pca(df: DataFrame, k: int = 2, vec_col: str = "vec") -> tuple[DataFrame, dic
     total = values.sum()
     info = {
         "n_components": k,
-        "svd_solver": "full" if k >= min(m.n, dim) else "arpack",
+        "svd_solver": "full",
         "explained_variance_ratio": (values[:k] / total if total > 0 else values[:k] * 0.0).tolist(),
     }
     return project(df, m.mean, axes, vec_col), info
 
 
+def _summed(df: DataFrame, vec_col: str, shape: tuple[int, ...], of) -> np.ndarray:
+    """Sum over all rows of ``of(x)``, an array of that shape for a block of rows ``x``."""
+    size = int(np.prod(shape))
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(shape)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                total += of(matrix(batch.slice(at, 256).column(0)))
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["total"])
+
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for batch in batches:
+            for value in batch.column(0):
+                total += np.frombuffer(value.as_buffer())
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["total"])
+
+    parts = map_arrow(df.select(F.col(vec_col).cast("array<double>").alias("vec")), partial, "total binary")
+    for width in fan_widths(df, max(1, min(64, FAN_IN_BYTES // (8 * size)))):
+        parts = map_arrow(parts.repartition(width), combine, "total binary")
+    return np.sum([np.frombuffer(r["total"]) for r in parts.collect()], axis=0).reshape(shape)
+
+
+def _pca_by_passes(df: DataFrame, k: int, vec_col: str, dim: int) -> tuple[DataFrame, dict]:
+    """Principal components of long vectors: block Lanczos steps on the covariance, which is never formed.
+
+    A pass multiplies the centred rows with a block of vectors and back (D x block numbers a task); Ritz vectors over all blocks so far
+    stand when their residuals are below ``RESIDUAL`` of the largest eigenvalue.
+    """
+    n = df.count()
+    if k > min(n, dim):
+        raise ValueError(f"n_components={k} exceeds min(rows, features)={min(n, dim)}")
+    if n < 2:
+        raise ValueError(f"need at least 2 rows for a covariance, got {n}")
+    facts = _summed(df, vec_col, (2, dim), lambda x: np.stack((x.sum(axis=0), (x * x).sum(axis=0))))
+    mean = facts[0] / n
+    total = float(np.maximum(facts[1] - n * mean * mean, 0.0).sum() / (n - 1))
+    block = min(k + EXTRA, n, dim)
+    step = np.linalg.qr(np.random.Generator(np.random.PCG64(0)).standard_normal((dim, block)))[0]
+    basis, image = np.zeros((dim, 0)), np.zeros((dim, 0))
+    for passes in range(1, PASSES + 1):
+        shared = df.sparkSession.sparkContext.broadcast((mean, step))  # D x block numbers
+
+        def product(x: np.ndarray, shared=shared) -> np.ndarray:
+            center, v = shared.value
+            rows = x - center
+            return rows.T @ (rows @ v)
+
+        out = _summed(df, vec_col, step.shape, product) / (n - 1)
+        shared.unpersist()
+        basis, image = np.hstack((basis, step)), np.hstack((image, out))
+        inner = basis.T @ image
+        values, ritz = np.linalg.eigh(0.5 * (inner + inner.T))
+        top = np.argsort(values)[::-1][:k]
+        values, vectors = np.maximum(values[top], 0.0), basis @ ritz[:, top]
+        residual = np.linalg.norm(image @ ritz[:, top] - vectors * values, axis=0).max() / max(values[0], 1e-300)
+        if residual <= RESIDUAL or basis.shape[1] >= min(n, dim):
+            break
+        for _ in range(2):  # twice is enough against rounding
+            out = out - basis @ (basis.T @ out)
+        step, size = np.linalg.qr(out)
+        step = step[:, np.abs(np.diag(size)) > 1e-12 * max(values[0], 1e-300)]
+        if not step.shape[1]:
+            break
+    info = {
+        "n_components": k, "svd_solver": "lanczos", "passes": passes, "residual": float(residual),
+        "explained_variance_ratio": (values / total if total > 0 else values * 0.0).tolist(),
+    }
+    return project(df, mean, fix_signs(vectors), vec_col), info
+
+
 def _runs(batch: pa.RecordBatch, columns: list[str]) -> Iterator[pa.RecordBatch]:
     """Stretches of a sorted batch in which the columns don't change."""
     new = np.zeros(batch.num_rows, bool)

@@ -225,3 +225,34 @@ def test_fields_of_blocks_and_of_one_task(spark):
     whole = states(block_steps.run_steps(nodes, edges, rule, 3))
     cut = states(block_steps.run_steps(nodes, edges, rule, 3, block=100, part=400))
     assert len(whole) == 340 and max(np.abs(whole[k] - cut[k]).max() for k in whole) < 1e-7 * max(np.abs(v).max() for v in whole.values())
+
+
+def test_components_of_long_vectors(spark, monkeypatch):
+    """Beyond the limit of the covariance matrix: the same components by passes, with a small residual."""
+    rng = np.random.default_rng(0)
+    n, dim = 60, 5000
+    x = rng.normal(size=(n, 4)) @ rng.normal(size=(4, dim)) + 0.3 * rng.normal(size=(n, dim)) + rng.normal(size=dim)
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "identifier int, vec array<double>").repartition(3)
+    coords, info = linalg.pca(df, 2)
+    got = np.array([r["coords"] for r in coords.orderBy("identifier").collect()])
+    u, s, vt = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
+    want = u[:, :2] * s[:2] * np.sign(vt[np.arange(2), np.abs(vt[:2]).argmax(axis=1)])
+    assert info["svd_solver"] == "lanczos" and info["residual"] < 1e-6 and np.allclose(got, want, atol=1e-4 * np.abs(want).max())
+    assert np.allclose(info["explained_variance_ratio"], s[:2] ** 2 / (s ** 2).sum(), rtol=1e-6)
+    small = spark.createDataFrame([(i, r[:40].tolist()) for i, r in enumerate(x)], "identifier int, vec array<double>")
+    whole = {r["identifier"]: r["coords"] for r in linalg.pca(small, 3)[0].collect()}
+    monkeypatch.setattr(linalg, "MAX_DIM", 30)
+    passed = {r["identifier"]: r["coords"] for r in linalg.pca(small, 3)[0].collect()}
+    assert all(np.allclose(whole[i], passed[i], atol=1e-5) for i in whole)
+
+
+def test_widths_of_the_fan_in(spark, tmp_path):
+    spark.range(20_000).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    assert linalg.fan_widths(df, 64) == [2]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1b")
+    try:
+        first, last = linalg.fan_widths(df, 64)
+        assert first > 64 and last <= 64 and last == int(first ** 0.5)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
