@@ -72,6 +72,16 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+#: Rows of a table of keys (a few numbers each) that is broadcast at most.
+BROADCAST_ROWS = 4_000_000
+
+
+def bounded(keys: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table of keys for a join: broadcast if it has no more than ``rows`` rows, so that the other side need not be
+    shuffled; larger ones are joined by a shuffle."""
+    return F.broadcast(keys) if keys.count() <= rows else keys
+
+
 def sample_of(df: DataFrame, key: Column, rows: int) -> DataFrame:
     """About ``rows`` rows at most, chosen by a hash of the key: the same ones in every run."""
     n = df.count()

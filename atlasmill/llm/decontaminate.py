@@ -34,7 +34,10 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 def windows(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", window: int = WINDOW) -> DataFrame:
-    """(words, items): each distinct window, words joined by a blank, with the ids of the items that hold it, as text."""
+    """(words, win, item): each window of each item, words joined by a blank, with a number (hash) and the item's id as text; written.
+
+    Items without an id have windows like others; their ``item`` is null.
+    """
 
     def rows(batch: pa.RecordBatch) -> list:
         out = []
@@ -43,20 +46,20 @@ def windows(benchmark: DataFrame, item_id: str = "item_id", text: str = "text",
             out += [(item, b" ".join(words[i:i + window])) for i in range(max(1, len(words) - window + 1))] if words else []
         return [pa.array([i for i, _ in out], pa.string()), pa.array([w for _, w in out], pa.binary())]
 
-    items = benchmark.where(F.col(f"`{item_id}`").isNotNull()).select(F.col(f"`{item_id}`").cast("string").alias("item"), raw(text).alias("t"))
-    return arrow_task(items, "item string, words binary", rows).groupBy("words").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    items = benchmark.select(F.col(f"`{item_id}`").cast("string").alias("item"), raw(text).alias("t"))
+    return cut_lineage(arrow_task(items, "item string, words binary", rows).distinct().withColumn("win", F.xxhash64("words")))
 
 
 class Scanner:
     """Finds the windows of one block."""
 
-    def __init__(self, block: list[tuple[bytes, list[str]]]):
+    def __init__(self, block: list[tuple[bytes, int]]):
         vocabulary = sorted({w for words, _ in block for w in words.split()})
         self.number = {w: i + 1 for i, w in enumerate(vocabulary)}
-        self.known: dict[int, dict[tuple, list[str]]] = {}
-        for words, items in block:
+        self.known: dict[int, dict[tuple, int]] = {}
+        for words, win in block:
             key = tuple(self.number[w] for w in words.split())
-            self.known.setdefault(len(key), {})[key] = items
+            self.known.setdefault(len(key), {})[key] = win
         self.hashes = {n: np.unique(self._hash(np.array(list(keys), np.uint64))) for n, keys in self.known.items()}
 
     @staticmethod
@@ -66,11 +69,11 @@ class Scanner:
             h = h * np.uint64(0x9E3779B97F4A7C15) + rows[:, k]
         return h
 
-    def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
-        """Hit stretches of words (first, behind the last) in order, not overlapping, and the items."""
+    def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
+        """Hit stretches of words (first, behind the last) in order, not overlapping, and the windows' numbers."""
         numbers = np.fromiter(map(self.number.get, words, repeat(0)), np.uint64, len(words))
         total = np.concatenate(([0], np.cumsum(numbers > 0)))
-        hit, items = np.zeros(len(words) + 1, np.int64), set()
+        hit, wins = np.zeros(len(words) + 1, np.int64), set()
         for n, known in self.known.items():
             if len(words) < n:
                 continue
@@ -80,66 +83,79 @@ class Scanner:
                 for i in np.nonzero(np.isin(self._hash(rows), self.hashes[n]))[0].tolist():
                     found = known.get(tuple(rows[i].tolist()))
                     if found is not None:
-                        items.update(found)
+                        wins.add(found)
                         hit[part[i]] += 1
                         hit[part[i] + n] -= 1
         inside = np.concatenate(([False], np.cumsum(hit)[:-1] > 0, [False]))
         edges = np.nonzero(inside[1:] != inside[:-1])[0]
-        return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)), items
+        return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)), wins
 
 
 _SPANS = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 
 
 def _scan(docs: DataFrame, block: list) -> DataFrame:
-    """(doc, version, n_words, spans, items) of every row, for one block."""
+    """(doc, version, n_words, spans, wins) of every row, for one block."""
     shared = docs.sparkSession.sparkContext.broadcast(block)
     kind = docs.schema["doc"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(shared.value)
         for batch in batches:
-            count, spans, items = [], [], []
+            count, spans, wins = [], [], []
             for text in texts(batch.column("t")):
                 words = words_of(text)
                 found, ids = scanner.scan(words)
                 count.append(len(words))
                 spans.append([{"a": a, "b": b} for a, b in found])
-                items.append(sorted(ids))
+                wins.append(sorted(ids))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc"), batch.column("version"), pa.array(count, pa.int64()), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string()))],
-                ["doc", "version", "n_words", "spans", "items"])
+                [batch.column("doc"), batch.column("version"), pa.array(count, pa.int64()), pa.array(spans, _SPANS), pa.array(wins, pa.list_(pa.int64()))],
+                ["doc", "version", "n_words", "spans", "wins"])
 
-    return map_arrow(docs, run, f"doc {kind}, version bigint, n_words bigint, spans array<struct<a:bigint,b:bigint>>, items array<string>")
+    return map_arrow(docs, run, f"doc {kind}, version bigint, n_words bigint, spans array<struct<a:bigint,b:bigint>>, wins array<bigint>")
 
 
 def _blocks(found: DataFrame, size: int) -> Iterator[list]:
-    n = max(1, -(-found.count() // size))
+    """The distinct windows, without items: what goes to the tasks does not depend on how many items share one."""
+    distinct = found.select("words", "win").distinct()
+    n = max(1, -(-distinct.count() // size))
     for i in range(n):
-        part = found if n == 1 else found.where(F.pmod(F.xxhash64("words"), F.lit(n)) == i)
-        yield [(bytes(r["words"]), list(r["items"])) for r in part.collect()]
+        part = distinct if n == 1 else distinct.where(F.pmod("win", F.lit(n)) == i)
+        yield [(bytes(r["words"]), r["win"]) for r in part.collect()]
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
-         item_text: str = "text", window: int = WINDOW, block: int = BLOCK) -> DataFrame:
-    """(doc, version, n_words, spans, items) per row of ``docs``: word positions inside benchmark windows, and the items.
-
-    Null and empty texts have no words; items without an id, or without a word, hold no window. Several items may share
-    an id. With more windows than ``block`` the documents are scanned once per block and the findings joined.
-    """
-    found = cut_lineage(windows(benchmark, item_id, item_text, window))
+def _found(docs: DataFrame, known: DataFrame, doc_id: str, text: str, block: int) -> DataFrame:
+    """(doc, version, n_words, spans, wins) per row of ``docs``, over all blocks."""
     frame = docs.select(F.col(f"`{doc_id}`").alias("doc"), F.xxhash64(F.col(f"`{text}`")).alias("version"), raw(text).alias("t"))
-    scans = [cut_lineage(_scan(frame, part)) for part in _blocks(found, block)]
+    scans = [cut_lineage(_scan(frame, part)) for part in _blocks(known, block)]
     if len(scans) == 1:
         return scans[0]
-    more = reduce(DataFrame.unionByName, [s.where(F.size("items") > 0) for s in scans[1:]]).groupBy("doc", "version").agg(
-        F.flatten(F.collect_list("spans")).alias("more"), F.flatten(F.collect_list("items")).alias("also"))
+    # rows alike in id and text have equal findings: one of them stands for all
+    hit = reduce(DataFrame.unionByName, [s.where(F.size("wins") > 0).dropDuplicates(["doc", "version"]) for s in scans[1:]])
+    more = hit.groupBy("doc", "version").agg(F.flatten(F.collect_list("spans")).alias("more"), F.flatten(F.collect_list("wins")).alias("also"))
     first = scans[0].alias("f")
     both = first.join(more.alias("m"), F.col("f.doc").eqNullSafe(F.col("m.doc")) & (F.col("f.version") == F.col("m.version")), "left")
-    none = F.array().cast("array<string>")
     spans = F.coalesce("m.more", F.array().cast(scans[0].schema["spans"].dataType))
-    return both.select("f.doc", "f.version", "n_words", _union(F.concat("spans", spans)).alias("spans"),
-                       F.sort_array(F.array_union("items", F.coalesce("also", none))).alias("items"))
+    return cut_lineage(both.select("f.doc", "f.version", "n_words", _union(F.concat("spans", spans)).alias("spans"),
+                                   F.array_union("wins", F.coalesce("also", F.array().cast("array<bigint>"))).alias("wins")))
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
+         item_text: str = "text", window: int = WINDOW, block: int = BLOCK) -> DataFrame:
+    """(doc, version, n_words, spans, items) per row of ``docs``: word positions inside benchmark windows, and the items.
+
+    Null and empty texts have no words; items without a word hold no window. Windows of items without an id are found
+    like others, but such items are not listed. Several items may share an id. With more windows than ``block`` the
+    documents are scanned once per block and the findings joined. Windows meet their items in a join.
+    """
+    known = windows(benchmark, item_id, item_text, window)
+    found = _found(docs, known, doc_id, text, block)
+    pairs = found.select("doc", "version", F.explode("wins").alias("win")).distinct()
+    named = pairs.join(known.where("item is not null").select("win", "item"), "win").select("doc", "version", "item").distinct()
+    listed = named.groupBy(F.col("doc").alias("d"), F.col("version").alias("v")).agg(F.sort_array(F.collect_list("item")).alias("listed"))
+    joined = found.join(listed, F.col("doc").eqNullSafe(F.col("d")) & (F.col("version") == F.col("v")), "left")
+    return joined.select("doc", "version", "n_words", "spans", F.coalesce("listed", F.array().cast("array<string>")).alias("items"))
 
 
 @F.udf(T.ArrayType(T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])), useArrow=True)
@@ -179,7 +195,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
                   window: int = WINDOW, block: int = BLOCK) -> DataFrame:
     """``docs`` without benchmark passages: hit stretches are cut out of the texts, and a document goes if more than
     ``drop_share`` of its words are hit. Rows that are not hit come back as they are (null and empty texts too)."""
-    found = cut_lineage(hits(docs, benchmark, doc_id, text, window=window, block=block).where(F.size("spans") > 0).select("doc", "version", "n_words", "spans").dropDuplicates(["doc", "version"]))
+    found = _found(docs, windows(benchmark, window=window), doc_id, text, block)
+    found = cut_lineage(found.where(F.size("spans") > 0).select("doc", "version", "n_words", "spans").dropDuplicates(["doc", "version"]))
     rows = docs.select(packed(docs).alias("row"), F.col(f"`{doc_id}`").alias("k"), F.xxhash64(F.col(f"`{text}`")).alias("v"))
     joined = rows.join(found, F.col("k").eqNullSafe(F.col("doc")) & (F.col("v") == F.col("version")), "left")
     n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda t, s: t + s["b"] - s["a"])

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_task, raw, texts
-from .wfst import BYTE, CONTROL, MARK, UNKNOWN, Model, Transducer
+from .wfst import BYTE, CONTROL, MARK, UNKNOWN, Model, Normalizer, Transducer
 
 #: Stretches remembered per task, and the longest that is.
 REMEMBERED, LONGEST = 400_000, 48
@@ -33,7 +33,7 @@ class Codec:
 
     def __init__(self, model: Model):
         self.model = model
-        self.machine = Transducer(model)
+        self.normalizer, self.machine = Normalizer(model), Transducer(model)
         inner = [p for p, _, kind in model.pieces if kind not in (BYTE, CONTROL, UNKNOWN)]
         self.by_space = not any(MARK in p.lstrip(MARK) for p in inner)
         self.by_line = self.by_space and not any("\n" in p for p in inner)
@@ -62,10 +62,18 @@ class Codec:
         return list(map(table.__getitem__, parts))
 
     def encode(self, text: str) -> bytes:
-        """Ids of a text as little-endian unsigned 32-bit integers."""
-        if not text:
+        """Ids of a text as little-endian unsigned 32-bit integers; without byte fallback a run of unknown characters is one id."""
+        ids = self._encoded(text) if text else b""
+        if self.model.byte_fallback or not ids:
+            return ids
+        values = np.frombuffer(ids, np.uint32)
+        unknown = values == self.machine.unknown
+        return values[~(unknown & np.concatenate(([False], unknown[:-1])))].tobytes()
+
+    def _encoded(self, text: str) -> bytes:
+        marked = self.normalizer(text)
+        if not marked:
             return b""
-        marked = (MARK if self.model.dummy_prefix else "") + text.replace(" ", MARK)
         if not self.by_space:
             return self._ids(marked)
         out: list[bytes] = []
@@ -90,9 +98,16 @@ class Codec:
 
     def decode(self, ids: list[int]) -> bytes:
         """UTF-8 text of ids; bytes that are no UTF-8 become the replacement character."""
-        text = b"".join(map(self.out.__getitem__, ids))
-        if self.model.dummy_prefix and text.startswith(b" "):
-            text = text[1:]
+        parts = list(map(self.out.__getitem__, ids))
+        if self.model.squeeze or self.model.dummy_prefix:  # the mark in front is not part of the text
+            for k, i in enumerate(ids):
+                if self.model.pieces[i][2] == UNKNOWN:
+                    break
+                marked = parts[k].startswith(b" ")
+                parts[k] = parts[k][marked:]
+                if parts[k] or (marked and not self.model.squeeze):
+                    break
+        text = b"".join(parts)
         try:
             text.decode()
         except UnicodeDecodeError:
@@ -114,7 +129,7 @@ def _lists(values: list[bytes]) -> pa.Array:
 def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: str | None = None) -> DataFrame:
     """(doc_id, version, ids): piece ids of every row's whole text; ``version`` is the md5 of the text.
 
-    Null and empty texts have no ids. Every worker reads the model from its own ``model`` path.
+    Null and empty texts have no ids; repeated rows come back as often as they are given. Every worker reads the model from its own ``model`` path.
     """
     path = model or default_model()
 

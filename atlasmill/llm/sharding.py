@@ -27,9 +27,18 @@ SHARDS, RANGES, SAMPLE, ROUNDS = 24, 128, 32, 4
 OVERFULL = 2.0
 
 
+#: Low bits of the second key that tell rows of one id and text apart.
+SALT = (1 << 24) - 1
+
+
 def _keys(doc_id: str, text: str) -> dict[str, Column]:
+    """Size, checksum and the two sort keys of a row: hash of the text; hash of the id, with low bits drawn per row.
+
+    The drawn bits depend on the row's place in its file, so keys are read from a written table wherever they are used twice.
+    """
+    own = F.xxhash64(F.monotonically_increasing_id(), F.lit("row")).bitwiseAND(F.lit(SALT))
     t = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    return {"size": (F.octet_length(t) + 8).cast("bigint"), "text_crc32": F.crc32(t.cast("binary")), "h1": F.xxhash64(t), "h2": F.xxhash64(F.col(f"`{doc_id}`"))}
+    return {"size": (F.octet_length(t) + 8).cast("bigint"), "text_crc32": F.crc32(t.cast("binary")), "h1": F.xxhash64(t), "h2": F.xxhash64(F.col(f"`{doc_id}`")).bitwiseAND(F.lit(~SALT)).bitwiseOR(own)}
 
 
 @dataclass(frozen=True)
@@ -42,10 +51,11 @@ class Ranges:
     def place(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
         low, high = np.searchsorted(self.h1, h1, "left"), np.searchsorted(self.h1, h1, "right")
         inside = np.nonzero(high > low)[0]
+        out = low.copy()  # rows of one hash may end where the splitters of the next begin
         for at in np.unique(low[inside]).tolist():
             rows = inside[low[inside] == at]
-            low[rows] = at + np.searchsorted(self.h2[at:high[rows[0]]], h2[rows], "right")
-        return low
+            out[rows] = at + np.searchsorted(self.h2[at:high[rows[0]]], h2[rows], "right")
+        return out
 
     def with_more(self, pairs: list[tuple[int, int]]) -> Ranges:
         every = sorted(set(zip(self.h1.tolist(), self.h2.tolist(), strict=True)) | set(pairs))
@@ -115,7 +125,7 @@ def plan_shards(keys: DataFrame, shards: int = SHARDS, ranges: int = RANGES, sam
             more += _splitters((h1[mine], h2[mine], w[mine]), ceil(size * wanted / total))
         wider = found.with_more(more)
         if len(wider.h1) == len(found.h1):
-            break  # single rows, or rows alike in text and id
+            break  # single rows
         found = wider
     sizes = np.array([count.get(k, (0, 0)) for k in range(len(found.h1) + 1)], np.int64)
     middle = np.cumsum(sizes[:, 0]) - sizes[:, 0] / 2
@@ -128,8 +138,8 @@ def plan_shards(keys: DataFrame, shards: int = SHARDS, ranges: int = RANGES, sam
 def assign_shards(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shards: int = SHARDS) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard): one row per row of ``docs``.
 
-    ``size`` is the UTF-8 length of the text (null: none) plus 8. Slots count from 0 within a shard without gaps. Rows alike in
-    text and id take neighbouring slots; equal texts share a shard unless a boundary has to divide them. A row larger
+    ``size`` is the UTF-8 length of the text (null: none) plus 8. Slots count from 0 within a shard without gaps. Equal texts
+    share a shard unless a boundary has to divide them, which it can at any row, even between rows alike in text and id. A row larger
     than a shard's share fills one alone, and with fewer rows than shards some stay empty.
     """
     keys = cut_lineage(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), *[v.alias(k) for k, v in _keys(doc_id, text).items()]))

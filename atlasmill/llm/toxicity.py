@@ -28,15 +28,15 @@ from ..session import cut_lineage, map_arrow
 from .common import arrow_task, raw, sample_of, texts
 
 #: Labelled documents of each class used for the fit at most; terms of the lexicon; misspelt forms and context words remembered.
-SAMPLE, LEXICON, FORMS, CONTEXTS = 10_000, 1_000, 20_000, 5_000
+SAMPLE, LEXICON, FORMS, CONTEXTS = 10_000, 400, 20_000, 5_000
 #: Toxic documents that hold a term at least (number, share), share of them with a surrounding of their own, letters of a stem.
 LEAST, LEAST_SHARE, OWN_SHARE, STEMS = 3, 0.005, 0.5, range(4, 9)
 #: Toxic documents from which the context words and the weights are learned from two halves.
 HALVES = 200
 #: Words on each side of a hit; words to a quotation mark; edits for terms of that length or more; score from which a text counts as toxic.
-WINDOW, QUOTE_REACH, EDITS, THRESHOLD = 6, 12, ((8, 2), (5, 1)), 0.3
-#: Words remembered by a task, states of the automaton kept.
-REMEMBERED, STATES = 300_000, 50_000
+WINDOW, QUOTE_REACH, EDITS, THRESHOLD = 6, 12, ((9, 2), (5, 1)), 0.3
+#: Strongest words whose misspellings are sought; words remembered by a task, words counted at once, pairs kept in the automaton's states.
+SPELLED, REMEMBERED, COUNTED, PAIRS = 100, 200_000, 200_000, 500_000
 #: Characters that stand for letters, quotation marks, words of reporting.
 LOOKS_LIKE = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "il", "*": "aeiou"}
 QUOTES = set("\"“”„«»")
@@ -58,13 +58,14 @@ class Speller:
 
     def __init__(self, terms: list[str]):
         self.terms = terms
+        words = [t for t in terms if not t.endswith("*")]
+        self.edits = [self.allowed(t) if t in set(words[:SPELLED]) else 0 for t in terms]
         self.child: list[dict[str, int]] = [{}]
         self.term: list[int] = [-1]
         self.limit = [0]
-        self.stem: dict[int, bool] = {}
+        self.stem: set[int] = set()
         for number, term in enumerate(terms):
-            allowed = self.allowed(term)
-            node = 0
+            allowed, node = self.edits[number], 0
             self.limit[0] = max(self.limit[0], allowed)
             for c in term.removesuffix("*"):
                 if c not in self.child[node]:
@@ -75,7 +76,8 @@ class Speller:
                 node = self.child[node][c]
                 self.limit[node] = max(self.limit[node], allowed)
             self.term[node] = number if self.term[node] < 0 else min(number, self.term[node])
-            self.stem[node] = self.stem.get(node, False) or term.endswith("*")
+            if term.endswith("*"):
+                self.stem.add(node)
         self._forget()
 
     @staticmethod
@@ -85,6 +87,7 @@ class Speller:
     def _forget(self) -> None:
         self.number: dict[frozenset, int] = {}
         self.states: list[frozenset] = []
+        self.pairs = 0
         self.accepts: list[tuple[int, int] | None] = []
         self.steps: list[dict[str, int]] = []
         self.start = self._state({0: 0})
@@ -100,32 +103,40 @@ class Speller:
                 if edits + 1 <= self.limit[to] and edits + 1 < least.get(to, 99):
                     least[to] = edits + 1
                     todo.append((to, edits + 1))
-        key = frozenset(least.items())
+        key = frozenset(4 * node + edits for node, edits in least.items())
         if key not in self.number:
             self.number[key] = len(self.states)
             self.states.append(key)
-            good = [(e, self.term[n]) for n, e in key if self.term[n] >= 0 and e <= self.allowed(self.terms[self.term[n]])]
+            self.pairs += len(key)
+            good = [(p % 4, self.term[p // 4]) for p in key if self.term[p // 4] >= 0 and p % 4 <= self.edits[self.term[p // 4]]]
             self.accepts.append(min(good) if good else None)
             self.steps.append({})
         return self.number[key]
 
     def _step(self, state: int, c: str) -> int:
         least: dict[int, int] = {}
-
-        def put(node: int, edits: int) -> None:
-            if edits <= self.limit[node] and edits < least.get(node, 99):
-                least[node] = edits
-
         same = c + LOOKS_LIKE.get(c, "")
-        for node, edits in self.states[state]:
-            put(node, edits if self.stem.get(node) else edits + 1)  # the rest of a stem's word, or a letter too many
-            for letter, to in self.child[node].items():
-                put(to, edits if letter in same else edits + 1)
+        for pair in self.states[state]:
+            node, edits = divmod(pair, 4)
+            if node in self.stem and edits < least.get(node, 99):  # the rest of a stem's word
+                least[node] = edits
+            if edits < self.limit[node]:
+                if edits + 1 < least.get(node, 99):  # a letter too many
+                    least[node] = edits + 1
+                for letter, to in self.child[node].items():
+                    now = edits if letter in same else edits + 1
+                    if now <= self.limit[to] and now < least.get(to, 99):
+                        least[to] = now
+            else:
+                for letter in same:
+                    to = self.child[node].get(letter)
+                    if to is not None and edits <= self.limit[to] and edits < least.get(to, 99):
+                        least[to] = edits
         return self._state(least) if least else -1
 
     def find(self, word: str) -> tuple[int, int] | None:
         """(edits, term) of the nearest term within its edits, by the order of the lexicon on ties."""
-        if len(self.states) > STATES:
+        if self.pairs > PAIRS:
             self._forget()
         state = self.start
         for c in word:
@@ -223,13 +234,21 @@ def _spread(taught: DataFrame) -> DataFrame:
     """(word, toxic, clean): in how many documents of each class every word, and every stem, occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[str, list[int]] = {}
+
+        def counted() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([v[1] for v in total.values()], pa.int64()),
+                                              pa.array([v[0] for v in total.values()], pa.int64())], ["word", "toxic", "clean"])
+            total.clear()
+            return out
+
         for batch in batches:
-            total: dict[str, list[int]] = {}
             for y, t in zip(batch.column("y").to_pylist(), texts(batch.column("t")), strict=True):
                 for w in _forms(set(tokens(t))):
                     total.setdefault(w, [0, 0])[y] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([v[1] for v in total.values()], pa.int64()),
-                                              pa.array([v[0] for v in total.values()], pa.int64())], ["word", "toxic", "clean"])
+                if len(total) > COUNTED:
+                    yield counted()
+        yield counted()
 
     rows = map_arrow(taught.select("y", "t"), run, "word string, toxic bigint, clean bigint")
     return rows.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))

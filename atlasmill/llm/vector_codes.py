@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage, map_arrow, release
 
 #: Parts of a vector, entries of a codebook, rounds of learning, rows of a block, points of a leaf.
-PARTS, ENTRIES, ROUNDS, BLOCK, LEAF = 16, 64, 2, 8192, 32
+PARTS, ENTRIES, ROUNDS, BLOCK, LEAF = 16, 64, 2, 8192, 64
 #: Largest component (after scaling) for which all sums of squares stay within 64 bits.
 LARGEST = 1 << 26
 _TOO_LARGE = f"components beyond {LARGEST // 256} are out of reach of exact 64-bit sums"

@@ -1,9 +1,10 @@
 """SentencePiece models as weighted finite-state transducers over the tropical semiring.
 
-Three machines are compiled from a model file: the normaliser (white space to its mark, one mark in front), the
-lexicon (a trie whose final states emit a piece) and byte fallback (a character outside the lexicon emits its
-bytes). Composed with an input they give a lattice of positions whose arcs are pieces; the encoding is the
-shortest path from the first to the last position.
+Three machines are compiled from a model file: the normaliser (the model's character map, white space squeezed where the model
+asks for it and turned to its mark, one mark in front), the lexicon (a trie whose final states emit a piece) and byte
+fallback (a character outside the lexicon emits its bytes). Composed with an input they give a lattice of positions whose arcs are
+pieces; the encoding is the shortest path from the first to the last position. User-defined symbols pass the
+normaliser unchanged; in byte-pair models they are cut out before anything merges.
 
 Arc weights are negated piece scores for unigram models. For byte-pair models the sum of scores does not
 decide; there the lattice is also composed with an acceptor of piece bigrams: an arc weighs nothing after a piece
@@ -14,6 +15,7 @@ model's encoding.
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
 
@@ -53,14 +55,19 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
 class Model:
     """Pieces, scores and switches of a model file."""
 
-    def __init__(self, pieces: list[tuple[str, float, int]], kind: int, byte_fallback: bool = True, dummy_prefix: bool = True):
+    def __init__(self, pieces: list[tuple[str, float, int]], kind: int, byte_fallback: bool = True, dummy_prefix: bool = True,
+                 charsmap: bytes = b"", squeeze: bool = False):
         self.pieces, self.kind, self.byte_fallback, self.dummy_prefix = pieces, kind, byte_fallback, dummy_prefix
+        self.charsmap, self.squeeze = charsmap, squeeze
 
     @classmethod
     def load(cls, path: str) -> Model:
         with open(path, "rb") as f:
-            data = f.read()
-        pieces, kind, fallback, prefix = [], UNIGRAM, False, True
+            return cls.parse(f.read())
+
+    @classmethod
+    def parse(cls, data: bytes) -> Model:
+        pieces, kind, fallback, prefix, charsmap, squeeze = [], UNIGRAM, False, True, b"", True
         for number, value in _fields(data):
             if number == 1:
                 part = dict(_fields(value))
@@ -68,14 +75,99 @@ class Model:
             elif number == 2:
                 spec = dict(_fields(value))
                 kind, fallback = spec.get(3, UNIGRAM), bool(spec.get(35, 0))
+                if spec.get(24):
+                    raise ValueError("models that put white space behind words are not supported")
             elif number == 3:
                 spec = dict(_fields(value))
-                if spec.get(2) or spec.get(4, 1) or not spec.get(5, 1):
-                    raise ValueError("only models without a character map that keep and mark white space are supported")
-                prefix = bool(spec.get(3, 1))
+                if not spec.get(5, 1):
+                    raise ValueError("only models that mark white space are supported")
+                prefix, charsmap, squeeze = bool(spec.get(3, 1)), spec.get(2, b""), bool(spec.get(4, 1))
         if kind not in (UNIGRAM, BPE):
             raise ValueError(f"model type {kind} is not supported")
-        return cls(pieces, kind, fallback, prefix)
+        return cls(pieces, kind, fallback, prefix, charsmap, squeeze)
+
+    def symbols(self) -> dict[str, int]:
+        """User-defined symbols and their ids."""
+        return {piece: i for i, (piece, _, kind) in enumerate(self.pieces) if kind == USER}
+
+
+def _longest_first(symbols) -> re.Pattern | None:
+    return re.compile("|".join(re.escape(p) for p in sorted(symbols, key=lambda p: (-len(p), p)))) if symbols else None
+
+
+class Normalizer:
+    """The first machine: from raw text to marked text.
+
+    A character map is a trie over UTF-8 bytes, stored as a double array (a unit has a label, an offset to its children and
+    a flag that a value follows), and the strings that its values point to. At each place the longest match is rewritten; what
+    nothing matches is copied. States of the trie are walked in the array itself.
+    """
+
+    def __init__(self, model: Model):
+        self.prefix, self.squeeze = model.dummy_prefix, model.squeeze
+        self.symbol = _longest_first(model.symbols())
+        self.units: tuple[int, ...] = ()
+        self.strings, self.single = b"", {}
+        if model.charsmap:
+            size = struct.unpack_from("<I", model.charsmap)[0]
+            self.units = struct.unpack_from(f"<{size // 4}I", model.charsmap, 4)
+            self.strings = model.charsmap[4 + size:]
+
+    def _match(self, data: bytes, at: int) -> tuple[int, bytes] | None:
+        """Behind the longest match at a place, and what it becomes."""
+        units, found = self.units, None
+        offset = lambda unit: (unit >> 10) << ((unit & 512) >> 6)
+        node = offset(units[0])
+        for end in range(at, len(data)):
+            node ^= data[end]
+            if node >= len(units) or units[node] & 0x800000FF != data[end]:
+                break
+            unit = units[node]
+            node ^= offset(unit)
+            if unit >> 8 & 1:
+                found = end + 1, units[node] & 0x7FFFFFFF
+        if found is None:
+            return None
+        start = found[1]
+        return found[0], self.strings[start:self.strings.index(0, start)]
+
+    def _pieces(self, text: str) -> Iterator[str]:
+        """The rewritten text in small parts."""
+        at = 0
+        while at < len(text):
+            symbol = self.symbol and self.symbol.match(text, at)
+            if symbol:
+                yield symbol.group()
+                at = symbol.end()
+                continue
+            if not self.units:
+                yield text[at]
+                at += 1
+                continue
+            data = text[at:at + 32].encode("utf-8", "replace")  # keys of a map are short
+            found = self._match(data, 0)
+            if found is None:
+                yield text[at]
+                at += 1
+            else:
+                yield found[1].decode(errors="replace")
+                at += len(data[:found[0]].decode())
+
+    def __call__(self, text: str) -> str:
+        if not self.units and not self.squeeze:
+            return (MARK if self.prefix and text else "") + text.replace(" ", MARK)
+        if not self.squeeze:
+            text = "".join(self._pieces(text))
+            return (MARK if self.prefix and text else "") + text.replace(" ", MARK)
+        out, space = [], True
+        for part in self._pieces(text):
+            if space:
+                part = part.lstrip(" ")
+            if part:
+                out.append(part)
+                space = part.endswith(" ")
+        text = "".join(out).rstrip(" ")
+        return (MARK if self.prefix and text else "") + text.replace(" ", MARK)
 
 
 class Transducer:
@@ -93,8 +185,10 @@ class Transducer:
                 self.bytes[int(piece[3:5], 16)] = i
             elif kind == UNKNOWN:
                 self.unknown = i
-            elif kind in (NORMAL, USER):
+            elif kind == NORMAL or (kind == USER and model.kind == UNIGRAM):
                 self.id[piece] = i
+        self.symbols = model.symbols() if model.kind == BPE else {}
+        self.symbol = _longest_first(self.symbols)
         self.emit: list[tuple[int, ...]] = [(i,) for i in range(len(self.text))]
         known = [self.score[i] for i in self.id.values()]
         self.unknown_weight = UNKNOWN_PENALTY - min(known, default=0.0)
@@ -178,6 +272,17 @@ class Transducer:
     # --- composition with an input and shortest path
 
     def encode(self, text: str) -> list[int]:
+        """Piece ids of marked text."""
+        if self.symbol is None:
+            return self._path(text)
+        out, at = [], 0
+        for found in self.symbol.finditer(text):
+            out += self._path(text[at:found.start()])
+            out.append(self.symbols[found.group()])
+            at = found.end()
+        return out + self._path(text[at:])
+
+    def _path(self, text: str) -> list[int]:
         n, trie, score = len(text), self.trie, self.score
         weight = [INFINITE] * (n + 1)
         back: list[tuple[int, int]] = [(-1, -1)] * (n + 1)  # position before, piece (-1: a character outside the lexicon)

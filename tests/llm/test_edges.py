@@ -120,3 +120,20 @@ def test_stages(spark, odd, none, labels, items, tmp_path, k):
         out = stage(spark, docs, folder)
         assert k == 4 or out.columns == docs.columns
         assert out.count() <= docs.count()
+
+
+def test_items_without_an_id_and_windows_of_many_items(spark, odd):
+    """Passages of items without an id are hit and cut, but not listed; a window that a third of the items share lists them all."""
+    words = [f"w{i}" for i in range(40)]
+    docs = spark.createDataFrame([(1, "a b " + " ".join(words[:30]) + " c d"), (2, "x " + " ".join(words[25:40])), (None, " ".join(words[:12])), (3, "clean text")],
+                                 "doc_id bigint, text string")
+    unnamed = spark.createDataFrame([(None, " ".join(words[:30]))], "item_id bigint, text string")
+    got = {r["doc_id"]: r for r in decontaminate.report(decontaminate.hits(docs, unnamed)).collect()}
+    assert got[1]["n_hit"] == 30 and got[1]["n_items"] == 0 and got[1]["contaminated"] and got[None]["n_hit"] == 12 and not got[3]["contaminated"]
+    left = {r["doc_id"]: r["text"] for r in decontaminate.decontaminate(docs, unnamed, drop_share=1.0).collect()}
+    assert left[1] == "a b  c d"
+    many = spark.createDataFrame([(i, " ".join(words[28:40]) + (f" tail{i}" if i % 2 else "")) for i in range(200)] + [(500 + i, f"other {i} item") for i in range(400)],
+                                 "item_id bigint, text string")
+    for block in (200_000, 60):
+        found = {r["doc"]: r for r in decontaminate.hits(docs, many.unionByName(unnamed), block=block).collect()}
+        assert found[2]["items"] == sorted(str(i) for i in range(200)) and found[1]["items"] == []
