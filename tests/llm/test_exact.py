@@ -473,3 +473,21 @@ def test_pipeline(spark, documents):
     out = {r["doc_id"]: list(r["ids"]) for r in corpus_pipeline.STAGES[4][1](spark, docs, SF).collect()}
     assert out == {d: library.encode(t) for d, t in before.items()}
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, SF).select("doc_id").collect()} == set(out)
+
+
+def test_groups_of_the_same_texts_are_searched_once():
+    import pyarrow as pa
+
+    from atlasmill.llm.near_text import _apart
+
+    # keys 1 and 2 hold the same two sets, key 3 one more, key 4 sets that are joined already
+    keys, nodes = [1, 1, 2, 2, 3, 3, 3, 4, 4], [7, 8, 7, 8, 7, 8, 9, 5, 6]
+    labels = [None] * 7 + [5, 5]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(keys, pa.int64()), pa.array(nodes, pa.int64()), pa.array([10] * 9, pa.int32()), pa.array(labels, pa.int64())], ["key", "node", "n", "label"]
+    )
+    out = pa.Table.from_batches(_apart((4, 5))(iter([batch.slice(0, 3), batch.slice(3)]))).to_pylist()
+    groups = {}
+    for r in out:
+        groups.setdefault(r["key"], set()).add((r["node"], r["total"]))
+    assert sorted(map(sorted, groups.values())) == [[(7, 2), (8, 2)], [(7, 3), (8, 3), (9, 3)]]
