@@ -3,36 +3,46 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _versions(spark: SparkSession, path: str) -> list[tuple[str, float]]:
+    """Complete versions below ``path``, oldest first: folder and the second it was published."""
+    marks = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/*.ready")
+    found = marks.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(marks) or []
+    named = sorted((m.getPath().getName(), m.getModificationTime() / 1000) for m in found)
+    return [(f"{path}/{name.removesuffix('.ready')}", at) for name, at in named]
+
+
 def cached_table(spark: SparkSession, path: str, build: Callable[[], DataFrame], max_age_days: float = 7.0) -> DataFrame:
     """A dictionary kept as Parquet; rebuilt when older than ``max_age_days``.
 
-    When the rebuild fails a stale copy is used if there is one.
+    Each build is a folder of its own below ``path``, published by a mark written last, so the copy in use is never touched
+    and an interrupted build is never read. When the rebuild fails a stale copy is used if there is one. The version before
+    the newest is kept for those that still read it; older ones are deleted.
     """
-    stored = None
-    try:
-        stored = spark.read.parquet(path)
-        newest = stored.select(F.max("_metadata.file_modification_time").cast("double").alias("t")).first()["t"]
-        if newest is not None and time.time() - newest < max_age_days * 86400:
-            return stored
-    except Exception as err:  # noqa: BLE001 - nothing stored yet
-        if "PATH_NOT_FOUND" not in str(err):
-            raise
+    ready = _versions(spark, path)
+    if ready and time.time() - ready[-1][1] < max_age_days * 86400:
+        return spark.read.parquet(ready[-1][0])
+    fresh = f"{path}/{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    file = spark._jvm.org.apache.hadoop.fs.Path
     try:
-        # written beside the old copy first: a failing build leaves that one whole
-        fresh = f"{path}.next"
-        build().write.mode("overwrite").parquet(fresh)
-        spark.read.parquet(fresh).write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
+        build().write.parquet(fresh)
+        mark = file(f"{fresh}.ready")
+        files = mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.create(mark).close()
     except Exception:  # noqa: BLE001 - fall back to what is there
-        if stored is None:
+        if not ready:
             raise
-        return stored
+        return spark.read.parquet(ready[-1][0])
+    for old, _ in ready[:-1]:
+        files.delete(file(f"{old}.ready"), False)
+        files.delete(file(old), True)
+    return spark.read.parquet(fresh)
 
 
 def read_enzyme_names(spark: SparkSession, path: str) -> DataFrame:

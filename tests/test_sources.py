@@ -184,7 +184,18 @@ def test_cached_dictionary(spark, tmp_path):
     assert dictionaries.cached_table(spark, path, build).first()["name"] == "1"
     assert dictionaries.cached_table(spark, path, build).first()["name"] == "1" and len(calls) == 1
     assert dictionaries.cached_table(spark, path, broken, max_age_days=0).first()["name"] == "1"
+    held = dictionaries.cached_table(spark, path, build)
     assert dictionaries.cached_table(spark, path, build, max_age_days=0).first()["name"] == "2"
+    assert held.first()["name"] == "1"  # the copy in use outlives the next build
+
+    def halfway():
+        return build().withColumn("name", F.raise_error(F.lit("lost while writing")))
+
+    assert dictionaries.cached_table(spark, path, halfway, max_age_days=0).first()["name"] == "2"
+    assert dictionaries.cached_table(spark, path, broken).first()["name"] == "2"  # what was written halfway is not read
+    for n in ("4", "5"):
+        assert dictionaries.cached_table(spark, path, build, max_age_days=0).first()["name"] == n
+    assert len(dictionaries._versions(spark, path)) == 2
 
 
 def test_structures(spark, tmp_path):
