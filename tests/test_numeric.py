@@ -416,3 +416,27 @@ def test_pca_by_group_is_pca_of_each_group(spark):
         assert len(alone) == len(at)
         for r in alone:
             np.testing.assert_allclose(got[r["identifier"]], r["coords"], atol=1e-9)
+
+
+def test_distance_tiles_are_small_and_screens_bound_their_error():
+    from atlasmill.operators import distances as kernel
+    from atlasmill.operators import neighbors
+
+    for cols in (100, 10_000):
+        tile = next(iter(kernel.tiles(100_000, cols)))
+        assert (tile.stop - tile.start) * cols <= 1 << 20
+    rng = np.random.default_rng(5)
+    a, b = rng.normal(size=(300, 64)), rng.normal(size=(2500, 64)) * 100
+    whole = np.abs(a[:, None] - b[None]).sum(axis=2)
+    rough, slack = kernel.screen(a, b, "manhattan", True)
+    assert rough.dtype == np.float32 and np.abs(rough - whole).max() <= slack < 1.0
+    assert np.abs(kernel.screen(a, b, "manhattan")[0] - whole).max() < 1e-9
+    assert np.allclose(kernel.planar(a[:, :2], b[:, :2]), np.sqrt(((a[:, None, :2] - b[None, :, :2]) ** 2).sum(axis=2)))
+    # one pass for 50 thresholds, by a sort of the row or by comparisons
+    values = rng.integers(0, 30, (40, 500)).astype(float)
+    low, high = np.sort(values[:, :50], axis=1) - 0.25, np.sort(values[:, :50], axis=1) + 0.25
+    for width in (3, 50):
+        below, upto = neighbors._CountCloser._places(values, low[:, :width], high[:, :width])
+        assert np.array_equal(below, (values[:, None] < low[:, :width, None]).sum(axis=2))
+        assert np.array_equal(upto, (values[:, None] <= high[:, :width, None]).sum(axis=2))
+    assert neighbors.THRESHOLDS_PER_ROW >= 50
