@@ -256,3 +256,24 @@ def test_widths_of_the_fan_in(spark, tmp_path):
         assert first > 64 and last <= 64 and last == int(first ** 0.5)
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_a_group_of_ten_thousand_runs_in_one_task_and_large_ones_keep_their_edges_packed(spark, monkeypatch):
+    from atlasmill.operators import layout
+
+    edges = spark.createDataFrame([(0, 2, k, k % 2, 0, 0, 1.0, 1 - k % 2) for k in range(5, 0, -1)], "grp bigint, block bigint, i0 int, b int, part int, src int, w double, kind int")
+    edges = edges.selectExpr("grp", "block", "part", "cast(20 + i0 as bigint) as i", "cast(7 * i0 as bigint) as j", "w", "kind")
+    row = block_steps._packed_edges(edges, 10).toArrow()
+    got = block_steps._unpacked_edges(row)
+    assert got["i"].tolist() == [1, 2, 3, 4, 5] and got["j"].tolist() == [7, 14, 21, 28, 35] and got["kind"].tolist() == [0, 1, 0, 1, 0]
+    assert len(block_steps._unpacked_edges(row[:0])["i"]) == 0
+
+    def refuse(*_):
+        raise AssertionError("a job per step")
+
+    monkeypatch.setattr(block_steps, "_open", refuse)
+    n = 10_000
+    nodes = spark.range(n).selectExpr("cast(0 as bigint) as grp", "id as pos", "array(cast(id as double), 0D, 1D) as s")
+    links = spark.range(n).selectExpr("cast(0 as bigint) as grp", "id as i", f"(id + 1) % {n} as j", "1D as w", "0 as kind")
+    rule = layout._CurveRule(2, 1.5, 0.9, 2, 1, 1)
+    assert block_steps.run_steps(nodes, links, rule, 2).count() == n
