@@ -2,45 +2,49 @@
 
 Every group (a projection, a resampling round) is fitted once per fold: multinomial, classes balanced, weights (not intercepts)
 shrunk as with C = 1. Newton steps need a gradient, a Hessian and a loss per group and fold, which are sums over rows: a
-group is cut into parts of bounded size that stay where they were shuffled to, coefficients travel to the parts, sums travel
-back. A group of one part is fitted where it lies, by the same functions. The Hessian has (3 x classes)^2 cells.
+group is cut into parts of bounded size, each packed in one row once, coefficients travel to the parts, sums travel back.
+A group of one part is fitted where it lies, by the same functions. The Hessian has (3 x classes)^2 cells.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, release, ship_package
+from ..session import cut_lineage, map_arrow, release, ship_package
 from .arrays import vector
+from .sweep import MAX_TASKS
 
-#: Rows of a part; Newton steps at most; change of a coefficient at which a fit stands.
-PART, STEPS, STILL = 1 << 16, 60, 1e-8
+#: Rows of a part; Newton steps at most; change of a coefficient at which a fit stands; cells of a sum at a time.
+PART, STEPS, STILL, CELLS = 1 << 18, 60, 1e-8, 1 << 17
 
 
 def fold_sums(x: np.ndarray, y: np.ndarray, weight: np.ndarray, coef: np.ndarray) -> np.ndarray:
     """Loss, gradient and Hessian of weighted rows, in one array; ``x`` ends in a column of ones, ``coef`` is (classes, features)."""
     c, f = coef.shape
-    loss, slope, bend = 0.0, np.zeros((c, f)), np.zeros((c, c, f * f))
-    width = max(1, (1 << 21) // (c * c))
+    loss, slope, bend = 0.0, np.zeros((c, f)), np.zeros((c * f, c * f))
+    corner = bend.reshape(c, f, c, f)
+    width = max(1, CELLS // (c * f))
     for at in range(0, len(x), width):
         part, w, label = x[at:at + width], weight[at:at + width], y[at:at + width]
         z = part @ coef.T
         z -= z.max(axis=1, keepdims=True)
         p = np.exp(z)
-        p /= p.sum(axis=1, keepdims=True)
+        total = p.sum(axis=1, keepdims=True)
+        p /= total
         here = np.arange(len(part))
-        loss -= float(w @ (z[here, label] - np.log(np.exp(z).sum(axis=1))))
-        square = (part[:, :, None] * part[:, None, :]).reshape(len(part), -1)
-        bend -= np.tensordot((p * w[:, None])[:, :, None] * p[:, None, :], square, axes=(0, 0))
-        bend[np.arange(c), np.arange(c)] += (p * w[:, None]).T @ square
+        loss -= float(w @ (z[here, label] - np.log(total[:, 0])))
+        spread = (p[:, :, None] * part[:, None, :]).reshape(len(part), -1)
+        scaled = spread * w[:, None]
+        bend -= scaled.T @ spread
+        corner[np.arange(c), :, np.arange(c), :] += (scaled.T @ part).reshape(c, f, f)
         p[here, label] -= 1.0
         slope += (p * w[:, None]).T @ part
-    hessian = bend.reshape(c, c, f, f).transpose(0, 2, 1, 3)
-    return np.concatenate(([loss], slope.ravel(), hessian.ravel()))
+    return np.concatenate(([loss], slope.ravel(), bend.ravel()))
 
 
 class Fit:
@@ -96,10 +100,14 @@ def _closed(rows: pa.Table, facts: pa.Table) -> pa.Table:
     for k in range(folds):
         train, weight = fold != k, _weights(counts, k)
         fit = Fit(counts.shape[1], x.shape[1])
+        if coefs:  # folds share most rows: the fit without the last one is near
+            fit.coef = coefs[-1].ravel().copy()
+        tx, ty = x[train], y[train]
+        tw = weight[ty]
         for _ in range(STEPS):
             if fit.still:
                 break
-            fit.take(fold_sums(x[train], y[train], weight[y[train]], fit.coef.reshape(fit.shape)))
+            fit.take(fold_sums(tx, ty, tw, fit.coef.reshape(fit.shape)))
         coefs.append(fit.coef.reshape(fit.shape))
         guess[~train] = (x[~train] @ coefs[-1].T).argmax(axis=1)
     cells, n = np.unique(y * counts.shape[1] + guess, return_counts=True)
@@ -107,17 +115,36 @@ def _closed(rows: pa.Table, facts: pa.Table) -> pa.Table:
     return pa.table({"grp": pa.array([grp] * len(cells), pa.int64()), "truth": cells // counts.shape[1], "guess": cells % counts.shape[1], "n": n})
 
 
-def _partial(rows: pa.Table, facts: pa.Table) -> pa.Table:
-    """Sums of one part for every fold that still moves."""
+def _packed(rows: pa.Table) -> pa.Table:
+    """A part as one row: its coordinates, classes and folds by row number."""
     x, y, fold = _rows(rows)
-    grp, folds = facts["grp"][0].as_py(), facts["folds"][0].as_py()
-    counts, states = _counts(facts["counts"][0].as_py(), folds), np.frombuffer(facts["state"][0].as_py()).reshape(folds, -1)
-    out = []
-    for k in range(folds):
-        fit, train, weight = Fit(counts.shape[1], x.shape[1], states[k]), fold != k, _weights(counts, k)
-        if not fit.still:
-            out.append((k, fold_sums(x[train], y[train], weight[y[train]], fit.coef.reshape(fit.shape)).tobytes()))
-    return pa.table({"grp": pa.array([grp] * len(out), pa.int64()), "fold": pa.array([k for k, _ in out], pa.int32()), "sums": pa.array([s for _, s in out], pa.binary())})
+    value = x[:, :2].tobytes() + y.astype(np.int32).tobytes() + fold.astype(np.int32).tobytes()
+    return pa.table({"grp": rows["grp"][:1], "part": rows["part"][:1], "n": pa.array([len(y)], pa.int32()), "value": pa.array([value], pa.binary())})
+
+
+def _unpacked(value: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    x = np.column_stack((np.frombuffer(value, np.float64, 2 * n).reshape(n, 2), np.ones(n)))
+    y, fold = np.frombuffer(value, np.int32, 2 * n, 16 * n).reshape(2, n)
+    return x, y.astype(np.int64), fold.astype(np.int64)
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Part after part with the state of its group: (grp, x, y, fold, counts, states)."""
+    for b in batches:
+        for at in range(b.num_rows):
+            one = {c: b.column(c)[at].as_py() for c in ("grp", "n", "value", "folds", "counts", "state")}
+            states = np.frombuffer(one["state"]).reshape(one["folds"], -1)
+            yield one["grp"], *_unpacked(one["value"], one["n"]), _counts(one["counts"], one["folds"]), states
+
+
+def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of one part for every fold that still moves."""
+    for grp, x, y, fold, counts, states in _parts(batches):
+        for k, state in enumerate(states):
+            fit, train, weight = Fit(counts.shape[1], x.shape[1], state), fold != k, _weights(counts, k)
+            if not fit.still:
+                sums = fold_sums(x[train], y[train], weight[y[train]], fit.coef.reshape(fit.shape)).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([grp], pa.int64()), pa.array([k], pa.int32()), pa.array([sums], pa.binary())], names=["grp", "fold", "sums"])
 
 
 def _stepped(facts: pa.Table, sums: pa.Table) -> pa.Table:
@@ -134,16 +161,14 @@ def _stepped(facts: pa.Table, sums: pa.Table) -> pa.Table:
         facts.schema.get_field_index("still"), "still", pa.array([bool(states[:, -1].all())]))
 
 
-def _guessed(rows: pa.Table, facts: pa.Table) -> pa.Table:
-    x, y, fold = _rows(rows)
-    folds = facts["folds"][0].as_py()
-    counts, states = _counts(facts["counts"][0].as_py(), folds), np.frombuffer(facts["state"][0].as_py()).reshape(folds, -1)
-    guess = np.zeros(len(x), np.int64)
-    for k in range(folds):
-        guess[fold == k] = (x[fold == k] @ Fit(counts.shape[1], x.shape[1], states[k]).coef.reshape(counts.shape[1], -1).T).argmax(axis=1)
-    cells, n = np.unique(y * counts.shape[1] + guess, return_counts=True)
-    grp = facts["grp"][0].as_py()
-    return pa.table({"grp": pa.array([grp] * len(cells), pa.int64()), "truth": cells // counts.shape[1], "guess": cells % counts.shape[1], "n": n})
+def _guessed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for grp, x, y, fold, counts, states in _parts(batches):
+        guess = np.zeros(len(x), np.int64)
+        for k, state in enumerate(states):
+            guess[fold == k] = (x[fold == k] @ Fit(counts.shape[1], x.shape[1], state).coef.reshape(counts.shape[1], -1).T).argmax(axis=1)
+        cells, n = np.unique(y * counts.shape[1] + guess, return_counts=True)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([grp] * len(cells), pa.int64()), pa.array(cells // counts.shape[1]), pa.array(cells % counts.shape[1]), pa.array(n)], names=["grp", "truth", "guess", "n"])
 
 
 _CELLS = "grp bigint, truth bigint, guess bigint, n bigint"
@@ -172,27 +197,17 @@ def confusion(rows: DataFrame, sizes: DataFrame, part: int = PART) -> DataFrame:
     if large.isEmpty():
         return cells
     cut = rows.join(large.select("grp", "parts"), "grp").withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")).drop("parts")
-    held = cut.repartition("grp", "part").persist(StorageLevel.MEMORY_AND_DISK)
-    spread = lambda f: f.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).groupBy("grp", "part")
+    n_parts = large.agg(F.sum("parts")).first()[0]
+    held = cut_lineage(cut.repartition(min(n_parts, MAX_TASKS), "grp", "part").groupBy("grp", "part").applyInArrow(_packed, "grp bigint, part int, n int, value binary"))
+    told = lambda f: held.join(F.broadcast(f.select("grp", "folds", "counts", "state")), "grp")  # noqa: E731 - few groups have several parts
     now = cut_lineage(large)
     for _ in range(STEPS):
-        sums = held.groupBy("grp", "part").cogroup(spread(now.where("not still"))).applyInArrow(_skipping(_partial), "grp bigint, fold int, sums binary")
+        sums = map_arrow(told(now.where("not still")), _partial, "grp bigint, fold int, sums binary")
         after = cut_lineage(now.groupBy("grp").cogroup(sums.groupBy("grp")).applyInArrow(_stepped, _FACTS))
         release(now)
         now = after
         if now.where("not still").isEmpty():
             break
-    guesses = cut_lineage(held.groupBy("grp", "part").cogroup(spread(now)).applyInArrow(_guessed, _CELLS))
-    held.unpersist()
+    guesses = cut_lineage(map_arrow(told(now), _guessed, _CELLS))
+    release(held)
     return cells.unionByName(guesses.groupBy("grp", "truth", "guess").agg(F.sum("n").alias("n")))
-
-
-def _skipping(function):
-    """Parts of groups that stand already give no rows."""
-
-    def run(rows: pa.Table, facts: pa.Table) -> pa.Table:
-        if not len(facts):
-            return pa.table({"grp": pa.array([], pa.int64()), "fold": pa.array([], pa.int32()), "sums": pa.array([], pa.binary())})
-        return function(rows, facts)
-
-    return run
