@@ -120,7 +120,7 @@ def mds_similarity(spark, d):
     )
     nodes = table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("identifier"))
     edges = linalg.similarity_to_distance(similarity_edges(hits, nodes))
-    return _out(layout.mds_from_edges(nodes, edges, 2, iterations=6, missing=1.0)[0], 2)
+    return _out(layout.mds_from_edges(nodes, edges, 2, missing=1.0)[0], 2)
 
 
 @query("tsne2")
