@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from atlasmill.operators import logistic, metrics, resampled
+from atlasmill.operators import logistic, metrics, resampled, sweep
 from atlasmill.plans import benchmark
 
 
@@ -93,3 +93,10 @@ def test_a_round_of_a_large_table_is_fitted_in_one_task(spark, monkeypatch):
     monkeypatch.setattr(logistic, "map_arrow", refused)
     cells = logistic.confusion(df, df.groupBy("grp", "fold", "class").agg(F.count("*").alias("n"))).collect()
     assert sum(c["n"] for c in cells) == 82_051
+
+
+def test_large_tables_are_not_copied_to_hundreds_of_blocks(spark):
+    """A sweep sends every row to every block: 600,000 rows of 64 numbers must not become more than 24 GB."""
+    rows = 600_000
+    _, blocks = sweep.hash_blocks(spark.range(rows).withColumnRenamed("id", "gid"), rows, resampled.BLOCK_ROWS)
+    assert blocks * rows * 600 < 24e9
